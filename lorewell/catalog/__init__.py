@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lorewell.session import configure
 
-AREAS = ["ingest"]
+AREAS = ["ingest", "texts"]
 
 
 def _plain(df: DataFrame) -> DataFrame:

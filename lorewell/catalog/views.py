@@ -256,6 +256,41 @@ FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM
 )
 
 
+# --- whole texts -----------------------------------------------------------
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with some of its line breaks turned into paragraphs, lists or headings."""
+    n, text = F.col("doc_id"), F.col("text")
+    shaped = (
+        F.when(n % 5 == 0, F.replace(text, F.lit("\n"), F.lit("\n\n")))
+        .when(n % 5 == 1, F.replace(text, F.lit("\n"), F.lit("\n- ")))
+        .when(n % 5 == 2, F.concat(F.lit("# Título\n"), text))
+        .when(n % 5 == 3, F.concat(F.lit("  \u00a0"), text, F.lit("\t\n \u2003")))
+        .otherwise(text)
+    )
+    return table(spark, d, "documents").select(
+        n.alias("doc_id"),
+        F.concat(F.lit("d"), n.cast("string")).alias("source"),
+        F.when(n % 17 != 0, F.col("lang")).alias("user_id"),
+        F.concat(F.lit("doc_"), n.cast("string"), pick(EXTENSIONS, n % 8)).alias("filename"),
+        F.when(n % 31 != 30, shaped).alias("text"),
+        F.when(n % 6 == 0, "2026-3-5").when(n % 6 == 1, "2024-02-30").when(n % 6 == 2, "nope")
+        .when(n % 6 == 3, "2025-12-31T10:00").when(n % 6 == 4, "").alias("document_date"),
+    )
+
+
+_sql(
+    "v_texts",
+    f"""SELECT doc_id, 'd' || doc_id AS source, CASE WHEN doc_id % 17 <> 0 THEN lang END AS user_id,
+  'doc_' || doc_id || {sql_list(EXTENSIONS)}[(doc_id % 8) + 1] AS filename,
+  CASE WHEN doc_id % 31 <> 30 THEN CASE doc_id % 5 WHEN 0 THEN replace(text, chr(10), chr(10) || chr(10))
+    WHEN 1 THEN replace(text, chr(10), chr(10) || '- ') WHEN 2 THEN '# Título' || chr(10) || text
+    WHEN 3 THEN '  ' || chr(160) || text || chr(9) || chr(10) || ' ' || chr(8195) ELSE text END END AS text,
+  CASE doc_id % 6 WHEN 0 THEN '2026-3-5' WHEN 1 THEN '2024-02-30' WHEN 2 THEN 'nope' WHEN 3 THEN '2025-12-31T10:00'
+    WHEN 4 THEN '' END AS document_date FROM documents""",
+)
+
+
 # --- text lines ------------------------------------------------------------
 
 def lines(spark: SparkSession, d: str) -> DataFrame:

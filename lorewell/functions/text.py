@@ -86,13 +86,7 @@ def sentences(c: Column) -> Column:
 def propositions(c: Column) -> Column:
     """Statements of a whole text: blank-line paragraphs first, then sentences; blank paragraphs skipped."""
     paragraphs = F.filter(F.split(c, "\n\n", -1), lambda p: ~is_blank(p))
-    return F.flatten(
-        F.transform(
-            paragraphs,
-            # a paragraph that yields no statement stands for itself
-            lambda p: F.when(F.size(sentences(p)) > 0, sentences(p)).otherwise(F.array(p)),
-        )
-    )
+    return F.flatten(F.transform(paragraphs, sentences))
 
 
 def has_structure(c: Column) -> Column:
