@@ -307,6 +307,71 @@ FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM documents)"
 )
 
 
+# --- stored and incoming index rows ----------------------------------------
+
+def _index_key(df: DataFrame) -> DataFrame:
+    key = F.sha2(F.concat_ws("\x1f", "content", "source", F.col("chunk_index").cast("string")), 256)
+    return df.select("source", "chunk_index", "content", key.alias("chunk_key"))
+
+
+def index_current(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation row and every page as stored chunks."""
+    conv = table(spark, d, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("source"),
+        F.col("turn").alias("chunk_index"), F.col("text").alias("content"),
+    )
+    pages = table(spark, d, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("source"),
+        F.lit(0).cast("bigint").alias("chunk_index"), F.col("html").alias("content"),
+    )
+    return _index_key(conv.unionByName(pages))
+
+
+def index_incoming(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations again, system rows gone and some rows edited, and all labels as new sources."""
+    edited = (F.col("conv_id") + F.col("turn")) % 4 == 0
+    conv = table(spark, d, "conversations").filter(F.col("role") != "system").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("source"),
+        F.col("turn").alias("chunk_index"),
+        F.when(edited, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text")).alias("content"),
+    )
+    labels = table(spark, d, "labels").select(
+        F.concat(F.lit("l"), F.col("doc_id").cast("string")).alias("source"),
+        F.lit(0).cast("bigint").alias("chunk_index"),
+        F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("content"),
+    )
+    return _index_key(conv.unionByName(labels))
+
+
+_SQL_KEY = "sha256(content || chr(31) || source || chr(31) || chunk_index) AS chunk_key"
+_sql(
+    "v_index_current",
+    f"""SELECT *, {_SQL_KEY} FROM (SELECT 'c' || conv_id AS source, turn AS chunk_index, text AS content FROM conversations
+  UNION ALL SELECT 'p' || page_id, 0, html FROM pages)""",
+)
+_sql(
+    "v_index_incoming",
+    f"""SELECT *, {_SQL_KEY} FROM (SELECT 'c' || conv_id AS source, turn AS chunk_index,
+    CASE WHEN (conv_id + turn) % 4 = 0 THEN text || ' (edited)' ELSE text END AS content FROM conversations WHERE role <> 'system'
+  UNION ALL SELECT 'l' || doc_id, 0, 'quality ' || quality FROM labels)""",
+)
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    return index_current(spark, d).select(
+        F.col("chunk_key").alias("key"), F.lit("main").alias("namespace"), F.col("source").alias("group_id"),
+        F.col("chunk_index").cast("double").alias("updated_at"),
+    )
+
+
+_sql(
+    "v_records",
+    """SELECT chunk_key AS key, 'main' AS namespace, source AS group_id, CAST(chunk_index AS DOUBLE) AS updated_at
+FROM v_index_current""",
+    ("v_index_current",),
+)
+
+
 # --- conversations ---------------------------------------------------------
 
 TOOLS = [RETRIEVER_TOOL, WEB_TOOL, NOTE_TOOL]
