@@ -181,11 +181,16 @@ SELECT * FROM a WHERE thread_id NOT IN (SELECT thread_id FROM gone)""",
 # --- memory ------------------------------------------------------------------
 
 _REAL = "(role = 'human' AND NOT starts_with(content, '[SISTEMA]'))"
-_BOUNDS = f"""b AS (SELECT thread_id, max(seq) FILTER (WHERE {_REAL}) AS last_user, max(seq) AS last_row,
+
+
+def _bounds(source: str) -> str:
+    return f"""b AS (SELECT thread_id, max(seq) FILTER (WHERE {_REAL}) AS last_user, max(seq) AS last_row,
   max(seq) FILTER (WHERE role = 'ai') AS last_ai, count(*) FILTER (WHERE {_REAL}) AS user_rows,
   arg_max(content, seq) FILTER (WHERE {_REAL}) AS user_text, arg_max(content, seq) AS answer,
-  arg_max(len(tool_calls), seq) AS n_calls, arg_max(role, seq) AS last_role,
-  max(seq) FILTER (WHERE role = 'ai' AND len(tool_calls) = 0) AS keep_answer FROM v_messages GROUP BY thread_id)"""
+  max(seq) FILTER (WHERE role = 'ai' AND len(tool_calls) = 0) AS keep_answer FROM {source} GROUP BY thread_id)"""
+
+
+_BOUNDS = _bounds("v_messages")
 
 
 @query
@@ -198,7 +203,7 @@ def reduce_messages(spark, d):
         m.select("thread_id", "id", "content", base.alias("version"), F.lit(False).alias("removed"))
         .unionByName(
             m.filter(n % 3 != 0).select(
-                "thread_id", "id", F.upper("content").alias("content"), (base + 1000).alias("version"), F.lit(False).alias("removed")
+                "thread_id", "id", F.concat("content", F.lit(" (edited)")).alias("content"), (base + 1000).alias("version"), F.lit(False).alias("removed")
             )
         )
         .unionByName(
@@ -215,7 +220,7 @@ SQL["reduce_messages"] = V.with_views(
     "v_messages",
     """WITH n AS (SELECT *, thread_id + seq AS n FROM v_messages)
 SELECT thread_id, id, CASE WHEN n % 4 = 0 THEN seq * 10 + 1000 ELSE seq * 10 END AS seq,
-  CASE WHEN n % 3 <> 0 THEN upper(content) ELSE content END AS content
+  CASE WHEN n % 3 <> 0 THEN content || ' (edited)' ELSE content END AS content
 FROM n WHERE NOT (n % 8 = 0) AND NOT (n % 4 = 0 AND n % 3 = 0)""",
 )
 
@@ -269,29 +274,47 @@ SQL["truncate_tool_rows"] = V.with_views(
 FROM v_messages""",
 )
 
-_STEPS = """steps AS (SELECT m.* FROM v_messages m JOIN b USING (thread_id) WHERE seq > last_user AND seq < last_row)"""
+def _audited(spark, d):
+    """Messages whose last row also shows tool code, a refusal, or nothing, depending on the thread."""
+    m = V.messages(spark, d)
+    n = F.col("thread_id")
+    extra = m.groupBy("thread_id").agg((F.max("seq") + 1).alias("seq")).filter(n % 3 != 2).select(
+        "thread_id", "seq", F.concat(F.lit("x"), n.cast("string")).alias("id"), F.lit("ai").alias("role"),
+        F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("tool_calls"),
+        F.when(n % 7 == 0, "call default_api.search()").when(n % 7 == 1, " \n").when(n % 7 == 2, "No encontré información sobre eso")
+        .when(n % 7 == 3, "").otherwise("en fin el resumen").alias("content"),
+    )
+    return m.unionByName(extra)
+
+
+_AUDITED = """audited AS (SELECT thread_id, seq, id, role, name, tool_calls, content FROM v_messages
+  UNION ALL SELECT thread_id, max(seq) + 1, 'x' || thread_id, 'ai', NULL, CAST([] AS VARCHAR[]),
+    CASE thread_id % 7 WHEN 0 THEN 'call default_api.search()' WHEN 1 THEN ' ' || chr(10) WHEN 2 THEN 'No encontré información sobre eso'
+      WHEN 3 THEN '' ELSE 'en fin el resumen' END FROM v_messages WHERE thread_id % 3 <> 2 GROUP BY thread_id)"""
+
+_STEPS = """steps AS (SELECT m.* FROM audited m JOIN b USING (thread_id) WHERE seq > last_user AND seq < last_row)"""
 
 
 @query
 def turn_steps(spark, d):
-    return M.turn_steps(V.messages(spark, d))
+    return M.turn_steps(_audited(spark, d))
 
 
 SQL["turn_steps"] = V.with_views(
     "v_messages",
-    f"""WITH {_BOUNDS}, {_STEPS} SELECT thread_id, seq, id, name, CASE role WHEN 'ai' THEN 'Asistente (Plan): ' || substr(content, 1, 200)
+    f"""WITH {_AUDITED}, {_bounds("audited")}, {_STEPS} SELECT thread_id, seq, id, name, CASE role WHEN 'ai' THEN 'Asistente (Plan): ' || substr(content, 1, 200)
   WHEN 'tool' THEN 'Herramienta (' || coalesce(name, 'unknown') || '): ' || substr(content, 1, 200) END AS log_line FROM steps""",
 )
 
 
 @query
 def summarize_turn(spark, d):
-    return M.summarize_turn(V.messages(spark, d))
+    return M.summarize_turn(_audited(spark, d))
 
 
 SQL["summarize_turn"] = V.with_views(
     "v_messages",
-    f"""WITH {_BOUNDS}, {_STEPS}, u AS (SELECT thread_id, name, min(seq) AS f FROM steps WHERE name IS NOT NULL GROUP BY ALL),
+    f"""WITH {_AUDITED}, {_bounds("audited")}, {_STEPS}, u AS (SELECT thread_id, name, min(seq) AS f FROM steps WHERE name IS NOT NULL GROUP BY ALL),
 t AS (SELECT thread_id, string_agg(name, ', ' ORDER BY f) AS tools FROM u GROUP BY thread_id)
 SELECT thread_id, substr(user_text, 1, 200) || ' → ' || coalesce(tools, '') || ' → ' || substr(answer, 1, 200) AS summary
 FROM b LEFT JOIN t USING (thread_id) WHERE last_user IS NOT NULL""",
@@ -300,11 +323,11 @@ FROM b LEFT JOIN t USING (thread_id) WHERE last_user IS NOT NULL""",
 
 @query
 def prune_turn(spark, d):
-    return M.prune_turn(V.messages(spark, d)).select("thread_id", "seq", "id")
+    return M.prune_turn(_audited(spark, d)).select("thread_id", "seq", "id")
 
 
 SQL["prune_turn"] = V.with_views(
-    "v_messages", f"WITH {_BOUNDS}, {_STEPS} SELECT thread_id, seq, id FROM v_messages WHERE id NOT IN (SELECT id FROM steps)"
+    "v_messages", f"WITH {_AUDITED}, {_bounds("audited")}, {_STEPS} SELECT thread_id, seq, id FROM audited WHERE id NOT IN (SELECT id FROM steps)"
 )
 
 COLLAPSE_LIMIT = 1500
@@ -390,23 +413,6 @@ def _turn_state(spark, d):
     )
 
 
-def _audited(spark, d):
-    """Messages whose last row also shows tool code, a refusal, or nothing, depending on the thread."""
-    m = V.messages(spark, d)
-    n = F.col("thread_id")
-    extra = m.groupBy("thread_id").agg((F.max("seq") + 1).alias("seq")).filter(n % 3 != 2).select(
-        "thread_id", "seq", F.concat(F.lit("x"), n.cast("string")).alias("id"), F.lit("ai").alias("role"),
-        F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("tool_calls"),
-        F.when(n % 7 == 0, "call default_api.search()").when(n % 7 == 1, " \n").when(n % 7 == 2, "No encontré información sobre eso")
-        .when(n % 7 == 3, "").otherwise("en fin el resumen").alias("content"),
-    )
-    return m.unionByName(extra)
-
-
-_AUDITED = """audited AS (SELECT thread_id, seq, id, role, name, tool_calls, content FROM v_messages
-  UNION ALL SELECT thread_id, max(seq) + 1, 'x' || thread_id, 'ai', NULL, CAST([] AS VARCHAR[]),
-    CASE thread_id % 7 WHEN 0 THEN 'call default_api.search()' WHEN 1 THEN ' ' || chr(10) WHEN 2 THEN 'No encontré información sobre eso'
-      WHEN 3 THEN '' ELSE 'en fin el resumen' END FROM v_messages WHERE thread_id % 3 <> 2 GROUP BY thread_id)"""
 _SEARCH = "(role = 'tool' AND name IN ('knowledge_base_retriever', 'web_search'))"
 
 
