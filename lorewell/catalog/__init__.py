@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lorewell.session import configure
 
-AREAS = ["ingest", "texts", "index", "search", "conversations", "evaluation", "telemetry"]
+AREAS = ["ingest", "texts", "index", "search", "conversations", "evaluation", "telemetry", "streams"]
 
 
 def _plain(df: DataFrame) -> DataFrame:
