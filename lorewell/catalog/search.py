@@ -10,6 +10,8 @@ from lorewell.catalog.texts import AS_OF, BLANKS, COMMON_WORDS, sql_words
 from lorewell.operators import chunking as C
 from lorewell.operators import indexing as I
 from lorewell.operators import retrieval as R
+from lorewell.operators.approx import approx_topk as approx_search
+from lorewell.operators.approx import recall_at_k
 from lorewell.plans import retrieve as P
 from lorewell.session import materialize
 
@@ -163,6 +165,18 @@ SQL["vector_topk"] = V.with_views(
 )
 
 
+@query
+def approx_topk(spark, d):
+    return approx_search(_valid(spark, d), V.chunks(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def approx_recall(spark, d):
+    """Share of the exact top candidates that the hashed search finds, per question."""
+    questions, chunks = _valid(spark, d), V.chunks(spark, d)
+    return recall_at_k(approx_search(questions, chunks), R.vector_topk(questions, chunks))
+
+
 @query
 def simple_search(spark, d):
     return R.simple_search(_valid(spark, d), V.chunks(spark, d))

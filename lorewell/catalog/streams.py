@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lorewell.catalog import conversations as CV
 from lorewell.catalog import telemetry as TL
 from lorewell.catalog import views as V
-from lorewell.catalog.texts import COMMON_WORDS
+from lorewell.catalog.texts import COMMON_WORDS, sql_strip
+from lorewell.functions import text as TX
+from lorewell.functions.registry import register
 from lorewell.operators import feedback as FB
 from lorewell.operators import notes as N
 from lorewell.operators import telemetry as T
@@ -145,8 +147,7 @@ def ingest_stream(spark, d):
     """The whole stream; what became of every job: hash, user and number of chunks of the indexed ones."""
     job = _ingested(spark, d)
     jobs = job.jobs(spark)
-    chunks = spark.read.parquet(f"{job.chunks_path}/v=*/*/*")
-    counted = chunks.groupBy(F.col("source").alias("doc_id")).agg(F.max("chunk_index").alias("last_index"))
+    counted = job.chunks(spark).groupBy(F.col("source").alias("doc_id")).agg(F.max("chunk_index").alias("last_index"))
     return jobs.join(counted, "doc_id", "left").select(
         "user_id", "file_hash", "status", F.col("last_index").isNotNull().alias("indexed")
     )
@@ -268,3 +269,19 @@ def scan_pages(spark, d):
 
 
 SQL["scan_pages"] = "SELECT page_id, url, html FROM pages"
+
+
+@query
+def sql_functions(spark, d):
+    """The functions registered for SQL, called from SQL on every document."""
+    register(spark)
+    V.table(spark, d, "documents").createOrReplaceTempView("lorewell_documents")
+    return spark.sql(
+        """SELECT doc_id, slugify(text) AS slug, strip_code_fence('```json\\n' || text || '```') AS reply, pieces
+        FROM lorewell_documents JOIN (SELECT doc_id, count(*) AS pieces FROM lorewell_documents,
+          LATERAL split_structured(text, 40000, 0) GROUP BY doc_id) USING (doc_id)"""
+    )
+
+
+SQL["sql_functions"] = rf"""SELECT doc_id, substr(regexp_replace(regexp_replace({sql_strip('lower(text)')}, '[^{TX.WORD_CLASS}{TX.BLANK_CLASS}-]', '', 'g'),
+  '[{TX.BLANK_CLASS}_-]+', '_', 'g'), 1, 60) AS slug, {sql_strip('text')} AS reply, count(*) OVER (PARTITION BY doc_id) AS pieces FROM documents"""

@@ -13,6 +13,11 @@ FEEDBACK = (
     "score int, user_correction string, timestamp timestamp"
 )
 RECORDS = "key string, namespace string, group_id string, updated_at double"
+CHUNKS = (
+    "source string, user_id string, filename string, created_at timestamp, document_date_str string, "
+    "custom_date boolean, chunk_index bigint, chunk_type string, chunk_title string, chunk_summary string, "
+    "doc_type string, content string, chunk_key string"
+)
 TABLES = {"jobs": JOBS, "chats": CHATS, "messages": MESSAGES, "feedback": FEEDBACK, "records": RECORDS}
 
 # column names of an exported run report, and the names used here

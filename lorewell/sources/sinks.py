@@ -128,7 +128,10 @@ def write_dead_letters(letters: DataFrame, path: str, batch_id: int) -> None:
 def write_csv_report(exported: DataFrame, path: str) -> None:
     """Runs as CSV with the report's column names, newest first."""
     named = exported.select(*[F.col(name).alias(label) for label, name in RUN_COLUMNS.items()])
-    named.orderBy(F.col("Start Time").desc(), "Run ID").write.mode("overwrite").csv(path, header=True, escape='"')
+    newest_first = named.orderBy(F.col("Start Time").desc(), "Run ID")
+    newest_first.write.mode("overwrite").csv(
+        path, header=True, escape='"', timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSSXXX"
+    )
 
 
 def write_golden(golden: DataFrame, path: str) -> None:

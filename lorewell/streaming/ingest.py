@@ -16,9 +16,9 @@ from lorewell import constants as K
 from lorewell.operators import admission as A
 from lorewell.operators import chunking as C
 from lorewell.operators.indexing import chunk_key
-from lorewell.schemas import JOBS
+from lorewell.schemas import CHUNKS, JOBS
 from lorewell.session import materialize
-from lorewell.sources.sinks import committed_versions, update_chunks, write_dead_letters
+from lorewell.sources.sinks import committed_versions, read_chunks, update_chunks, write_dead_letters
 from lorewell.streaming import events as E
 from lorewell.streaming.tables import batch_writer, read_batches
 
@@ -57,6 +57,10 @@ class DocumentIngest:
         others = [f.name for f in schema.fields if f.name != "doc_id"]
         return rows.groupBy("doc_id").agg(F.max_by(F.struct(*others), "batch").alias("j")).select("doc_id", "j.*")
 
+    def chunks(self, spark: SparkSession, users: list[str] | None = None) -> DataFrame:
+        """The current chunk table."""
+        return read_chunks(spark, self.chunks_path, _parse_datatype_string(CHUNKS), users)
+
     def process(self, messages: DataFrame, batch_id: int) -> None:
         """One micro-batch. Reads the clock of the messages only, so a replay gives the same result."""
         spark = messages.sparkSession
