@@ -15,6 +15,7 @@ from lorewell.operators import frames as E
 from lorewell.operators import memory as M
 from lorewell.operators import notes as N
 from lorewell.operators import pages as P
+from lorewell.session import spread
 
 QUERIES = {}
 SQL = {}
@@ -29,7 +30,7 @@ def query(fn):
 
 @query
 def page_paragraphs(spark, d):
-    return P.page_paragraphs(V.table(spark, d, "pages"))
+    return P.page_paragraphs(spread(V.table(spark, d, "pages"), "page_id"))
 
 
 @query

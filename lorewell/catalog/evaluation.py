@@ -134,7 +134,7 @@ def chunk_quality(spark, d):
     lines = V.lines(spark, d)
     generated = lines.select(F.col("doc_id").alias("case_id"), F.col("pos").alias("chunk_no"), "content")
     parts = F.split("text", "\n", -1)
-    golden = V.table(spark, d, "documents").select(
+    golden = V.documents(spark, d).select(
         F.col("doc_id").alias("case_id"),
         F.array(F.concat_ws(" ", parts[0], F.element_at(parts, -1)), parts[0]).alias("ideal_chunks"),
     )

@@ -178,7 +178,7 @@ FROM v_index_current WHERE source IN (SELECT doc_id FROM doomed) ORDER BY 1, 2""
 @query
 def embed_chunks(spark, d):
     """Every document embedded with hashed tf-idf."""
-    docs = V.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = V.documents(spark, d).select("doc_id", F.col("text").alias("content"))
     return I.embed(docs, I.fit_embedder(docs)).select("doc_id", "embedding")
 
 

@@ -137,7 +137,7 @@ _MESSAGES = """m AS (SELECT doc_id AS n, lang, text, doc_id % 5 AS retry_count,
 def _ingested(spark, d):
     base = shared_dir(spark, "ingest")
     _messages(spark, d).write.json(f"{base}/in")
-    job = DocumentIngest(f"{base}/out", lexicon=COMMON_WORDS)
+    job = DocumentIngest(f"{base}/out", lexicon=COMMON_WORDS, user_buckets=4, source_buckets=2)
     job.start(E.read_document_events(spark, f"{base}/in"), f"{base}/checkpoint").awaitTermination()
     return job
 
@@ -200,14 +200,14 @@ SQL["read_document_events"] = f"""WITH {_MESSAGES} SELECT CAST(n AS VARCHAR) AS
 @query
 def write_chunks(spark, d):
     """Chunks written to the store, updated with an edited batch, read back."""
-    base = shared_dir(spark, "store")
+    store = K.ChunkStore(shared_dir(spark, "store"), user_buckets=4, source_buckets=2)
     chunks = V.chunks(spark, d).drop("embedding")
-    K.write_chunks(chunks, base, 0)
+    store.write(chunks, 0)
     edited = chunks.filter(F.col("source").endswith("5")).withColumn(
         "chunk_key", F.when(F.col("chunk_index") == 3, F.col("chunk_key") + 1000000).otherwise(F.col("chunk_key"))
     )
-    K.update_chunks(edited, base, 1)
-    return K.read_chunks(spark, base, chunks.schema).select("chunk_key", "source", "chunk_index", "user_id", "content")
+    store.update(edited, 1)
+    return store.read(spark, chunks.schema).select("chunk_key", "source", "chunk_index", "user_id", "content")
 
 
 SQL["write_chunks"] = V.with_views(
@@ -275,7 +275,7 @@ SQL["scan_pages"] = "SELECT page_id, url, html FROM pages"
 def sql_functions(spark, d):
     """The functions registered for SQL, called from SQL on every document."""
     register(spark)
-    V.table(spark, d, "documents").createOrReplaceTempView("lorewell_documents")
+    V.documents(spark, d).createOrReplaceTempView("lorewell_documents")
     return spark.sql(
         """SELECT doc_id, slugify(text) AS slug, strip_code_fence('```json\\n' || text || '```') AS reply, pieces
         FROM lorewell_documents JOIN (SELECT doc_id, count(*) AS pieces FROM lorewell_documents,

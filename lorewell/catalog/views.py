@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.constants import DOC_TYPES, RETRIEVER_TOOL, NOTE_TOOL, WEB_TOOL
+from lorewell.constants import DOC_TYPES, NOTE_TOOL, RETRIEVER_TOOL, WEB_TOOL
+from lorewell.session import spread
 
 EPOCH_2024 = 1704067200000000
 MINUTE, HOUR = 60_000_000, 3_600_000_000
@@ -51,6 +52,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work that is heavy per text."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def pick(values: list[str], index: Column) -> Column:
     """The value at a 0-based position of a fixed list."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -184,7 +190,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("vec_id")
     source = F.floor(n / 10)
     word = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
-    return table(spark, d, "embeddings").select(
+    return spread(table(spark, d, "embeddings"), "vec_id").select(
         n.alias("chunk_key"),
         word("s", source).alias("source"),
         word("u", source % 3).alias("user_id"),
@@ -268,7 +274,7 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
         .when(n % 5 == 3, F.concat(F.lit("  \u00a0"), text, F.lit("\t\n \u2003")))
         .otherwise(text)
     )
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         n.alias("doc_id"),
         F.concat(F.lit("d"), n.cast("string")).alias("source"),
         F.when(n % 17 != 0, F.col("lang")).alias("user_id"),
@@ -295,7 +301,7 @@ _sql(
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """Newline pieces of every document, in order; a stand-in for stored chunks."""
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("pos", "content")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 

@@ -72,15 +72,32 @@ def fenced_block(c: Column) -> Column:
     )
 
 
+def _broken(c: Column) -> Column:
+    """One statement per line; line breaks and blanks inside a list are held as control characters."""
+    held = F.regexp_replace(c, LIST_ITEM, "\x01$1\x02")
+    return F.regexp_replace(held, SENTENCE_END, "$1\n")
+
+
+def _statements(lines: Column) -> Column:
+    restored = F.transform(lines, lambda s: strip(F.translate(s, "\x01\x02", "\n ")))
+    return F.filter(restored, lambda s: F.length(s) > 0)
+
+
 def sentences(c: Column) -> Column:
     """Statements of one paragraph: split after `.!?` + blank and at newlines.
 
     Consecutive list items stay with the line that leads into them.
     """
-    held = F.regexp_replace(c, LIST_ITEM, "\x01$1\x02")
-    broken = F.split(F.regexp_replace(held, SENTENCE_END, "$1\n"), "\n", -1)
-    restored = F.transform(broken, lambda s: strip(F.translate(s, "\x01\x02", "\n ")))
-    return F.filter(restored, lambda s: F.length(s) > 0)
+    return _statements(F.split(_broken(c), "\n", -1))
+
+
+def first_sentences(c: Column, n: int) -> Column:
+    """The first `n` statements of a text, without taking the rest of it apart if that can be helped."""
+    broken = _broken(c)
+    pieces = F.split(broken, "\n", 4 * n + 1)
+    # the last piece is the undivided rest, unless there were fewer pieces
+    leading = _statements(F.slice(pieces, 1, 4 * n))
+    return F.slice(F.when(F.size(leading) >= n, leading).otherwise(_statements(F.split(broken, "\n", -1))), 1, n)
 
 
 def propositions(c: Column) -> Column:

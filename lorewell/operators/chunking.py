@@ -59,37 +59,16 @@ def drop_null_metadata(metadata: Column) -> Column:
     return F.map_filter(metadata, lambda k, v: v.isNotNull())
 
 
-def profile(
-    text: Column, lexicon: dict[str, list[str]] = LEXICON, sample_chars: int | None = None
-) -> Column:
-    """STRUCT<doc_type, global_summary, document_date, requires_agentic_chunking> of a text.
-
-    doc_type is the type with most lexicon hits (ties: list order; none: `general`); the summary is the
-    first two statements, at most 300 characters. `sample_chars` looks at a leading sample only.
-    """
-    seen = text if sample_chars is None else F.substring(text, 1, sample_chars)
-    lowered = F.lower(seen)
+def lexicon_hits(lowered: Column, lexicon: dict[str, list[str]]) -> Column:
+    """ARRAY<INT>: occurrences of each document type's words, in the order of the types."""
     word = f"[{T.WORD_CLASS}]"
-    hits = []
-    for doc_type in K.DOC_TYPES:
-        listed = lexicon.get(doc_type)
-        if listed:
-            pattern = f"(?<!{word})(?:{'|'.join(sorted(listed))})(?!{word})"
-            hits.append(F.regexp_count(lowered, F.lit(pattern)))
-        else:
-            hits.append(F.lit(0))
-    counts = F.array(*hits)
-    best = F.array_max(counts)
-    doc_type = F.when(
-        best > 0, F.element_at(F.array(*[F.lit(t) for t in K.DOC_TYPES]), F.array_position(counts, best).cast("int"))
-    ).otherwise("general")
-    summary = F.substring(F.array_join(F.slice(T.sentences(seen), 1, 2), " "), 1, 300)
-    return F.struct(
-        doc_type.alias("doc_type"),
-        summary.alias("global_summary"),
-        F.date_format(D.first_date_in(seen), "yyyy-MM-dd").alias("document_date"),
-        (~T.has_structure(seen)).alias("requires_agentic_chunking"),
-    )
+
+    def count(listed: list[str] | None) -> Column:
+        if not listed:
+            return F.lit(0)
+        return F.regexp_count(lowered, F.lit(f"(?<!{word})(?:{'|'.join(sorted(listed))})(?!{word})"))
+
+    return F.array(*[count(lexicon.get(t)) for t in K.DOC_TYPES])
 
 
 def profile_documents(
@@ -99,12 +78,30 @@ def profile_documents(
     sample_chars: int | None = None,
     model: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Add the `profile` struct. `model` (text column to struct column, e.g. a pandas UDF) replaces the lexicon."""
-    col = F.col(text)
-    made = model(col if sample_chars is None else F.substring(col, 1, sample_chars)) if model else profile(
-        col, lexicon, sample_chars
+    """Add `profile` STRUCT<doc_type, global_summary, document_date, requires_agentic_chunking>.
+
+    doc_type is the type with most lexicon hits (ties: list order; none: `general`); the summary is the
+    first two statements, at most 300 characters. `sample_chars` looks at a leading sample only. `model`
+    (text column to struct column, e.g. a pandas UDF) replaces these rules.
+    """
+    seen = F.col(text) if sample_chars is None else F.substring(text, 1, sample_chars)
+    if model:
+        return docs.withColumn("profile", model(seen))
+    # one column per step: each is computed once however often the next one uses it
+    staged = docs.withColumn("__hits", lexicon_hits(F.lower(seen), lexicon)).withColumn(
+        "__best", F.array_max("__hits")
+    )
+    types = F.array(*[F.lit(t) for t in K.DOC_TYPES])
+    doc_type = F.when(
+        F.col("__best") > 0, F.element_at(types, F.array_position("__hits", F.col("__best")).cast("int"))
+    ).otherwise("general")
+    made = F.struct(
+        doc_type.alias("doc_type"),
+        F.substring(F.array_join(T.first_sentences(seen, 2), " "), 1, 300).alias("global_summary"),
+        F.date_format(D.first_date_in(seen), "yyyy-MM-dd").alias("document_date"),
+        (~T.has_structure(seen)).alias("requires_agentic_chunking"),
     )
-    return docs.withColumn("profile", made)
+    return staged.withColumn("profile", made).drop("__hits", "__best")
 
 
 def route(text: Column, filename: Column, needs_semantic: Column) -> Column:

@@ -47,3 +47,12 @@ def materialize(df, name: str):
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *keys: str):
+    """Spread a scan with fewer splits than cores, such as one small file, over all cores.
+
+    A table of many files already has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -8,7 +8,9 @@ so readers never see a half-written index and nothing being read is overwritten.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,98 +18,102 @@ from lorewell.operators.indexing import apply_diff, diff_counts, index_diff
 from lorewell.schemas import RUN_COLUMNS
 from lorewell.session import materialize
 
-USER_BUCKETS, SOURCE_BUCKETS = 32, 16
 PARTITION = ["user_bucket", "source_bucket"]
 MANIFEST = "version bigint, user_bucket int, source_bucket int, path string"
 
 
-def user_bucket(user_id: Column) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(user_id, F.lit(""))), F.lit(USER_BUCKETS)).cast("int")
+@dataclass(frozen=True)
+class ChunkStore:
+    """A chunk store below `base`.
 
-
-def with_buckets(chunks: DataFrame) -> DataFrame:
-    """Partition columns. One user's chunks share a user bucket; their sources spread over its source buckets,
-    so that a user with very many documents is neither one file nor rewritten as a whole."""
-    return chunks.withColumn("user_bucket", user_bucket(F.col("user_id"))).withColumn(
-        "source_bucket", F.pmod(F.xxhash64("source"), F.lit(SOURCE_BUCKETS)).cast("int")
-    )
-
-
-def _manifest(spark: SparkSession, base: str) -> DataFrame:
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{base}/manifest")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], MANIFEST)
-        raise
-
-
-def _current_paths(spark: SparkSession, base: str) -> list:
-    """At most one row per partition (USER_BUCKETS x SOURCE_BUCKETS)."""
-    rows = _manifest(spark, base).groupBy(*PARTITION).agg(F.max_by("path", "version").alias("path"))
-    return rows.filter(F.col("path").isNotNull()).collect()
-
-
-def committed_versions(spark: SparkSession, base: str) -> set[int]:
-    """Versions whose manifest rows are there; a replayed batch finds its own number and is skipped."""
-    return {r["version"] for r in _manifest(spark, base).select("version").distinct().collect()}
-
-
-def write_chunks(chunks: DataFrame, base: str, version: int, partitions: Sequence | None = None) -> None:
-    """Write one version of the given partitions (all that occur, by default) and publish it.
-
-    `rebalance` sizes the files and splits a partition that holds much more than the others.
+    A user's chunks share a user bucket and their sources spread over its source buckets, so that a user with
+    very many documents is neither one file nor rewritten as a whole. The bucket counts are fixed for the
+    life of a store.
     """
-    spark = chunks.sparkSession
-    folder = f"{base}/v={version}"
-    with_buckets(chunks).hint("rebalance", *PARTITION).write.mode("overwrite").partitionBy(*PARTITION).parquet(folder)
-    # an empty batch writes no file and therefore no partition
-    written = {
-        (r["user_bucket"], r["source_bucket"])
-        for r in with_buckets(chunks).select(*PARTITION).distinct().collect()
-    }
-    named = set(partitions) if partitions is not None else written
-    rows = [
-        (version, u, s, f"{folder}/user_bucket={u}/source_bucket={s}" if (u, s) in written else None)
-        for u, s in sorted(named | written)
-    ]
-    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{base}/manifest")
-
-
-def read_chunks(spark: SparkSession, base: str, schema, users: Sequence[str] | None = None) -> DataFrame:
-    """The current chunks. With `users`, only the partitions that can hold their chunks are opened."""
-    current = _current_paths(spark, base)
-    if users is not None:
-        wanted = {
-            r[0] for r in spark.createDataFrame([(u,) for u in users], "u string").select(user_bucket(F.col("u"))).collect()
-        }
-        current = [r for r in current if r["user_bucket"] in wanted]
-    if not current:
-        return spark.createDataFrame([], schema)
-    found = spark.read.schema(schema).parquet(*[r["path"] for r in current])
-    return found if users is None else found.filter(F.col("user_id").isin(list(users)))
-
-
-def update_chunks(incoming: DataFrame, base: str, version: int) -> dict[str, int]:
-    """Bring the store in step with a batch of chunks; returns how many were added, skipped and deleted.
-
-    Only partitions holding a source of the batch are read and rewritten.
-    """
-    spark = incoming.sparkSession
-    incoming = materialize(incoming, "incoming")
-    touched = {
-        (r["user_bucket"], r["source_bucket"])
-        for r in with_buckets(incoming).select(*PARTITION).distinct().collect()
-    }
-    paths = [r["path"] for r in _current_paths(spark, base) if (r["user_bucket"], r["source_bucket"]) in touched]
-    current = (
-        spark.read.schema(incoming.schema).parquet(*paths) if paths else spark.createDataFrame([], incoming.schema)
-    )
-    diff = materialize(index_diff(incoming, current), "diff")
-    counts = diff_counts(diff).first().asDict()
-    if counts["num_added"] or counts["num_deleted"]:
-        write_chunks(apply_diff(incoming, current, diff), base, version, touched)
-    return counts
+
+    base: str
+    user_buckets: int = 32
+    source_buckets: int = 16
+
+    def user_bucket(self, user_id: Column) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce(user_id, F.lit(""))), F.lit(self.user_buckets)).cast("int")
+
+    def with_buckets(self, chunks: DataFrame) -> DataFrame:
+        return chunks.withColumn("user_bucket", self.user_bucket(F.col("user_id"))).withColumn(
+            "source_bucket", F.pmod(F.xxhash64("source"), F.lit(self.source_buckets)).cast("int")
+        )
+
+    def buckets_of(self, chunks: DataFrame) -> set[tuple[int, int]]:
+        """The partitions that occur: at most user_buckets x source_buckets rows."""
+        return {tuple(r) for r in self.with_buckets(chunks).select(*PARTITION).distinct().collect()}
+
+    def manifest(self, spark: SparkSession) -> DataFrame:
+        try:
+            return spark.read.schema(MANIFEST).parquet(f"{self.base}/manifest")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return spark.createDataFrame([], MANIFEST)
+            raise
+
+    def current(self, spark: SparkSession) -> list:
+        """(user_bucket, source_bucket, path) of every partition that holds rows."""
+        newest = self.manifest(spark).groupBy(*PARTITION).agg(F.max_by("path", "version").alias("path"))
+        return newest.filter(F.col("path").isNotNull()).collect()
+
+    def holds(self, spark: SparkSession, version: int) -> bool:
+        """Whether a version is published; a replayed batch finds its own number and is skipped."""
+        return not self.manifest(spark).filter(F.col("version") == version).isEmpty()
+
+    def write(self, chunks: DataFrame, version: int, partitions: set[tuple[int, int]] | None = None) -> None:
+        """Write one version of the given partitions (all that occur, by default) and publish it.
+
+        `rebalance` sizes the files and splits a partition that holds much more than the others.
+        """
+        spark = chunks.sparkSession
+        folder = f"{self.base}/v={version}"
+        placed = self.with_buckets(chunks).hint("rebalance", *PARTITION)
+        placed.write.mode("overwrite").partitionBy(*PARTITION).parquet(folder)
+        try:
+            written = self.buckets_of(spark.read.schema(chunks.schema).parquet(folder))
+        except AnalysisException as error:  # nothing to write leaves no file
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            written = set()
+        rows = [
+            (version, u, s, f"{folder}/user_bucket={u}/source_bucket={s}" if (u, s) in written else None)
+            for u, s in sorted(written | (partitions or set()))
+        ]
+        spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.base}/manifest")
+
+    def read(self, spark: SparkSession, schema, users: Sequence[str] | None = None) -> DataFrame:
+        """The current chunks. With `users`, only the partitions that can hold their chunks are opened."""
+        current = self.current(spark)
+        if users is not None:
+            asked = spark.createDataFrame([(u,) for u in users], "u string")
+            wanted = {r[0] for r in asked.select(self.user_bucket(F.col("u"))).collect()}
+            current = [r for r in current if r["user_bucket"] in wanted]
+        if not current:
+            return spark.createDataFrame([], schema)
+        found = spark.read.schema(schema).parquet(*[r["path"] for r in current])
+        return found if users is None else found.filter(F.col("user_id").isin(list(users)))
+
+    def update(self, incoming: DataFrame, version: int) -> dict[str, int]:
+        """Bring the store in step with a batch of chunks; returns how many were added, skipped and deleted.
+
+        Only partitions holding a source of the batch are read and rewritten.
+        """
+        spark = incoming.sparkSession
+        incoming = materialize(incoming, "incoming")
+        touched = self.buckets_of(incoming)
+        paths = [r["path"] for r in self.current(spark) if (r["user_bucket"], r["source_bucket"]) in touched]
+        current = (
+            spark.read.schema(incoming.schema).parquet(*paths) if paths else spark.createDataFrame([], incoming.schema)
+        )
+        diff = materialize(index_diff(incoming, current), "diff")
+        counts = diff_counts(diff).first().asDict()
+        if counts["num_added"] or counts["num_deleted"]:
+            self.write(apply_diff(incoming, current, diff), version, touched)
+        return counts
 
 
 def publish_notes(events: DataFrame, path: str | None = None, kafka: dict[str, str] | None = None) -> None:

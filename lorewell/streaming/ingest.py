@@ -18,7 +18,7 @@ from lorewell.operators import chunking as C
 from lorewell.operators.indexing import chunk_key
 from lorewell.schemas import CHUNKS, JOBS
 from lorewell.session import materialize
-from lorewell.sources.sinks import committed_versions, read_chunks, update_chunks, write_dead_letters
+from lorewell.sources.sinks import ChunkStore, write_dead_letters
 from lorewell.streaming import events as E
 from lorewell.streaming.tables import batch_writer, read_batches
 
@@ -31,14 +31,16 @@ class DocumentIngest:
     topic: str = "raw-documents"
     lexicon: dict[str, list[str]] = field(default_factory=lambda: C.LEXICON)
     max_bytes: int = K.MAX_FILE_BYTES
+    user_buckets: int = 32
+    source_buckets: int = 16
 
     @property
     def jobs_path(self) -> str:
         return f"{self.base}/jobs"
 
     @property
-    def chunks_path(self) -> str:
-        return f"{self.base}/chunks"
+    def store(self) -> ChunkStore:
+        return ChunkStore(f"{self.base}/chunks", self.user_buckets, self.source_buckets)
 
     @property
     def retry_path(self) -> str:
@@ -59,7 +61,7 @@ class DocumentIngest:
 
     def chunks(self, spark: SparkSession, users: list[str] | None = None) -> DataFrame:
         """The current chunk table."""
-        return read_chunks(spark, self.chunks_path, _parse_datatype_string(CHUNKS), users)
+        return self.store.read(spark, _parse_datatype_string(CHUNKS), users)
 
     def process(self, messages: DataFrame, batch_id: int) -> None:
         """One micro-batch. Reads the clock of the messages only, so a replay gives the same result."""
@@ -90,7 +92,7 @@ class DocumentIngest:
         registered = A.register_jobs(none, new).withColumn("status", F.lit("queued"))
         batch_writer(self.jobs_path)(registered, batch_id)
 
-        if batch_id not in committed_versions(spark, self.chunks_path):
+        if not self.store.holds(spark, batch_id):
             # of several events with one doc_id in a batch, the latest content is indexed
             latest = queued.groupBy("doc_id").agg(
                 F.max_by(F.struct("user_id", "filename", "content", "metadata", "timestamp"), "arrival").alias("d")
@@ -101,7 +103,7 @@ class DocumentIngest:
             )
             chunks = C.chunk_documents(docs, F.col("ingested_at"), lexicon=self.lexicon)
             keyed = chunks.withColumn("chunk_key", chunk_key(F.col("content"), F.col("source"), F.col("chunk_index")))
-            update_chunks(keyed, self.chunks_path, batch_id)
+            self.store.update(keyed, batch_id)
 
     def start(self, messages: DataFrame, checkpoint: str, **trigger):
         """Run the stream; `trigger` as for writeStream.trigger."""

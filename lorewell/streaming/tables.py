@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 BATCH = "batch"
 
@@ -25,13 +27,11 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
 
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     """All rows of all batches with their batch number; no rows before the first batch."""
-    from pyspark.sql.types import LongType, StructType
-
     full = StructType(list(schema.fields)).add(BATCH, LongType())
     try:
         return spark.read.schema(full).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], full)
         raise
 
