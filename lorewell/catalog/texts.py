@@ -252,10 +252,8 @@ def chunk_title_summary(spark, d):
     """Title and summary of groups; here each line of a document is one group of sentences."""
     t = V.texts(spark, d).select("doc_id", F.split(T.clean_text(F.col("text")), "\n", -1).alias("lines"))
     groups = F.filter(F.transform("lines", T.sentences), lambda g: F.size(g) > 0)
-    described = t.withColumn("groups", groups).withColumn(
-        "about", describe_groups(F.col("groups"), K.DEFAULT_TITLE, K.DEFAULT_SUMMARY)
-    )
-    return described.select("doc_id", F.posexplode("about").alias("group_number", "a")).select(
+    about = describe_groups(groups, K.DEFAULT_TITLE, K.DEFAULT_SUMMARY)
+    return t.select("doc_id", F.posexplode(about).alias("group_number", "a")).select(
         "doc_id", "group_number", "a.title", "a.summary"
     )
 

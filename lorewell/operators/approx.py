@@ -14,7 +14,10 @@ from lorewell.operators.skew import top_per_key
 
 
 def _hashed(model, df: DataFrame, vector: str) -> DataFrame:
-    """Add `hashes` ARRAY<DOUBLE>, one bucket number per hash table, of the unit vector."""
+    """Add `hashes` ARRAY<DOUBLE>, one bucket number per hash table, of the unit vector.
+
+    Never empty, so callers explode it with the outer form, which spares a filter that would hash twice.
+    """
     length = norm(F.col(vector))
     unit = F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
     made = model.transform(df.withColumn("__v", array_to_vector(unit)))
@@ -58,12 +61,12 @@ def approx_topk(
     ).fit(sample)
     stored = _hashed(model, chunks, "embedding").select(
         "chunk_key", "user_id", "source", "filename", "doc_type", "created_at", "embedding", "hashes",
-        F.posexplode("hashes").alias("table", "bucket"),
+        F.posexplode_outer("hashes").alias("table", "bucket"),
     )
     result = None
     for block in R.question_blocks(questions):
         asked = _hashed(model, block.withColumn("n", n), "embedding").select(
-            *R.QUESTION_COLUMNS, "n", "hashes", F.posexplode("hashes").alias("table", "bucket")
+            *R.QUESTION_COLUMNS, "n", "hashes", F.posexplode_outer("hashes").alias("table", "bucket")
         )
         c, q = stored.alias("c"), F.broadcast(asked).alias("q")  # one block of questions
         same = F.zip_with(F.col("c.hashes"), F.col("q.hashes"), lambda a, b: a == b)
@@ -82,7 +85,7 @@ def approx_topk(
             "query_id", "chunk_key", "similarity", "vector_rank"
         )
         short = block.join(full.select("query_id"), "query_id", "left_anti")
-        part = hits.unionByName(R.vector_topk(short, chunks, n, limit))
+        part = hits.unionByName(R.vector_topk(short, chunks, n, limit, one_block=True))
         result = part if result is None else result.unionByName(part)
     return result
 

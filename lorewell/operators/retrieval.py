@@ -9,6 +9,7 @@ blocks of a checked size, and the hits of one block are a few rows per question.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from lorewell.functions.dates import strict_date
 from lorewell.functions.vectors import cosine
 from lorewell.operators.admission import download_path
 from lorewell.operators.skew import top_per_key
-from lorewell.session import materialize
+from lorewell.session import shared_dir
 
 MAX_CANDIDATES = int(K.OVERFETCH * K.K_MAX)
 BLOCK_QUESTIONS = 4096
@@ -73,13 +74,15 @@ def overfetch(k: Column) -> Column:
 
 def question_blocks(questions: DataFrame, limit: int = BLOCK_QUESTIONS) -> list[DataFrame]:
     """The questions in hash blocks, each checked to hold at most `limit` rows."""
-    blocks = 1
+    if questions.limit(limit + 1).count() <= limit:
+        return [questions]
+    blocks = 2
     while True:
         block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        largest = questions.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0] or 0
+        largest = questions.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0]
         if largest <= limit:
-            return [questions] if blocks == 1 else [questions.filter(block == b) for b in range(blocks)]
-        blocks *= 2 * -(-largest // limit)
+            return [questions.filter(block == b) for b in range(blocks)]
+        blocks *= -(-largest // limit)
 
 
 def _scan_filter(rows: list) -> Column | None:
@@ -199,24 +202,28 @@ def _topk_block(block: DataFrame, chunks: DataFrame, n: Column, limit: int) -> D
 
 
 def vector_topk(
-    questions: DataFrame, chunks: DataFrame, n: Column | None = None, limit: int = MAX_CANDIDATES
+    questions: DataFrame,
+    chunks: DataFrame,
+    n: Column | None = None,
+    limit: int = MAX_CANDIDATES,
+    one_block: bool = False,
 ) -> DataFrame:
     """The `n` (at most `limit`) most similar allowed chunks per question, ties by chunk key.
 
     Exact. Each block of questions goes to the tasks as one matrix; a task multiplies it with its own
     chunks and keeps the best rows per batch, so the shuffle carries questions x batches x n small rows.
-    Output: query_id, chunk_key, similarity, vector_rank.
+    Output: query_id, chunk_key, similarity, vector_rank. `one_block`: the caller has checked the size.
     """
     n = overfetch(F.col("k_results")) if n is None else n
-    blocks = question_blocks(questions)
-    parts = [_topk_block(block, chunks, n, limit) for block in blocks]
-    if len(parts) > 1:
-        # one block after the other, so the driver holds one block at a time
-        parts = [materialize(part, "topk") for part in parts]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    blocks = [questions] if one_block else question_blocks(questions)
+    if len(blocks) == 1:
+        return _topk_block(blocks[0], chunks, n, limit)
+    # one block after the other into one written table, so the driver holds one block at a time
+    path = shared_dir(questions.sparkSession, "topk")
+    for number, block in enumerate(blocks):
+        part = _topk_block(block, chunks, n, limit)
+        part.write.parquet(f"{path}/block={number}")
+    return questions.sparkSession.read.schema(part.schema).parquet(path)
 
 
 def attach_chunks(hits: DataFrame, chunks: DataFrame, bounded: bool = False) -> DataFrame:
@@ -248,19 +255,26 @@ def snippet(content: Column, chars: int | None = None) -> Column:
     return flat if chars is None else F.substring(flat, 1, chars)
 
 
-def corpus_statistics(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and mean number of words. Worth keeping next to the index."""
-    return chunks.agg(
-        F.count("*").alias("n_chunks"), F.avg(F.size(T.words(snippet(F.col("content"))))).alias("mean_words")
-    )
+@dataclass(frozen=True)
+class IndexStatistics:
+    """What BM25 needs to know of a chunk table: its size, mean length, and chunks per term (term, df)."""
 
+    n_chunks: int
+    mean_words: float
+    frequency: DataFrame
 
-def document_frequency(chunks: DataFrame, terms: DataFrame, bounded: bool = False) -> DataFrame:
-    """(term, df): how many chunks hold each of the given terms. Combined before the shuffle."""
-    held = chunks.select(F.explode(F.array_distinct(T.words(snippet(F.col("content"))))).alias("term"))
-    return held.join(_side(terms.select("term").distinct(), bounded), "term").groupBy("term").agg(
-        F.count("*").alias("df")
-    )
+
+def index_statistics(chunks: DataFrame, terms: DataFrame | None = None) -> IndexStatistics:
+    """Statistics of the whole vocabulary, worth writing next to the index, or of the given terms only.
+
+    Counts are combined before the shuffle, so a word that stands in every chunk is one row per task.
+    """
+    words = T.words(snippet(F.col("content")))
+    totals = chunks.agg(F.count("*"), F.avg(F.size(words))).first()
+    held = chunks.select(F.explode(F.array_distinct(words)).alias("term"))
+    if terms is not None:
+        held = held.join(terms.select("term").distinct(), "term", "left_semi")
+    return IndexStatistics(totals[0], totals[1] or 0.0, held.groupBy("term").agg(F.count("*").alias("df")))
 
 
 def bm25_scores(
@@ -269,18 +283,18 @@ def bm25_scores(
     chunks: DataFrame,
     bounded: bool = False,
     snippet_chars: int | None = None,
-    statistics: tuple[int, float] | None = None,
+    statistics: IndexStatistics | None = None,
 ) -> DataFrame:
     """Candidates (query_id, content, ...) with `score`, the BM25 weight of their text for the question.
 
-    `statistics` (chunk count, mean words) saves a scan when they are kept with the index.
+    `statistics` kept with the index save the two scans of the chunk texts that compute them here.
     """
     terms = questions.select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
-    frequency = document_frequency(chunks, terms, bounded)
-    n_chunks, mean_words = statistics or corpus_statistics(chunks).first()
-    rarity = F.log1p((F.lit(n_chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = statistics or index_statistics(chunks, terms)
+    n, mean_words = F.lit(known.n_chunks), F.lit(known.mean_words)
+    rarity = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     per_question = (
-        terms.join(frequency, "term")
+        known.frequency.join(_side(terms, bounded), "term")
         .groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("term", rarity.alias("idf")))).alias("terms"))
     )
@@ -289,7 +303,7 @@ def bm25_scores(
 
     def weight(term: Column) -> Column:
         tf = F.size(F.filter(F.col("__w"), lambda w: w == term["term"]))
-        length = F.size("__w") / F.lit(mean_words)
+        length = F.size("__w") / mean_words
         return term["idf"] * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length))
 
     total = F.aggregate(F.transform("terms", weight), F.lit(0.0), lambda acc, x: acc + x)
