@@ -675,7 +675,7 @@ WHERE {_TOKEN} AND (last_start IS NULL OR seq > last_start) GROUP BY turn_id""",
 
 @query
 def turn_latency(spark, d):
-    frames = V.graph_events(spark, d).withColumn("type", F.when(E.TOKEN, "token").otherwise("other"))
+    frames = V.graph_events(spark, d).withColumn("type", F.when(E.token(), "token").otherwise("other"))
     return E.turn_latency(frames)
 
 

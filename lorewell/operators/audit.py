@@ -12,23 +12,27 @@ from pyspark.sql import functions as F
 
 from lorewell import constants as K
 from lorewell.functions.text import contains_any, is_blank
-from lorewell.operators.memory import REAL_USER, current_turn, last_tool_batch
+from lorewell.operators.memory import current_turn, last_tool_batch, real_user
 from lorewell.operators.skew import ordered_concat
 from lorewell.operators.terms import term_recall
 
-SEARCH_ROW = (F.col("role") == "tool") & F.col("name").isin(K.SEARCH_TOOLS)
 RELEVANT_SHARE, GROUNDED_SHARE = 0.3, 0.6
 
 
+def search_row() -> Column:
+    """Output of one of the search tools."""
+    return (F.col("role") == "tool") & F.col("name").isin(K.SEARCH_TOOLS)
+
+
 def turn_features(messages: DataFrame) -> DataFrame:
     """Per thread: its last row, and whether a search ran in the current turn and in the last tool batch."""
     seq = F.col("seq")
     facts = messages.groupBy("thread_id").agg(
         F.max_by(F.struct("role", "content", "tool_calls"), seq).alias("last"),
-        F.max(F.when(REAL_USER, seq)).alias("last_user"),
-        F.max_by("content", F.when(REAL_USER, seq)).alias("question"),
+        F.max(F.when(real_user(), seq)).alias("last_user"),
+        F.max_by("content", F.when(real_user(), seq)).alias("question"),
         F.max(F.when(F.col("role") == "ai", seq)).alias("last_ai"),
-        F.max(F.when(SEARCH_ROW, seq)).alias("last_search"),
+        F.max(F.when(search_row(), seq)).alias("last_search"),
     )
     after = lambda c: F.coalesce(
         F.col("last_search").isNotNull() & (F.col(c).isNull() | (F.col("last_search") > F.col(c))), F.lit(False)
@@ -85,7 +89,7 @@ def triage_search_output(messages: DataFrame, turns: DataFrame) -> DataFrame:
     content = F.coalesce("content", F.lit(""))
     batch = (
         last_tool_batch(messages)
-        .filter(SEARCH_ROW)
+        .filter(search_row())
         .groupBy("thread_id")
         .agg(
             F.bool_or(F.contains(content, F.lit(K.ERROR_PREFIX))).alias("failed"),
@@ -116,7 +120,7 @@ def grade_relevance(messages: DataFrame, turns: DataFrame, threshold: float = RE
     share: part of the question's words found in the last batch's search output.
     """
     questions = turn_features(messages).filter(F.col("question").isNotNull()).select("thread_id", "question")
-    found = last_tool_batch(messages).filter(SEARCH_ROW).select("thread_id", "content")
+    found = last_tool_batch(messages).filter(search_row()).select("thread_id", "content")
     asked = questions.join(found.select("thread_id").distinct(), "thread_id", "left_semi")
     share = term_recall(asked, found, ["thread_id"], "question", "content", "share")
     t = share.join(turns.select("thread_id", F.coalesce("docs_parse_retries", F.lit(0)).alias("used")), "thread_id", "left")
@@ -132,7 +136,7 @@ def grounded_share(messages: DataFrame) -> DataFrame:
 
     Threads without search output in this turn are absent; share is NULL when the answer has no words.
     """
-    found = current_turn(messages).filter(SEARCH_ROW & (F.length("content") > 0)).select("thread_id", "content")
+    found = current_turn(messages).filter(search_row() & (F.length("content") > 0)).select("thread_id", "content")
     searched = found.select("thread_id").distinct()
     answers = turn_features(messages).select("thread_id", "last_content").join(searched, "thread_id", "left_semi")
     share = term_recall(answers, found, ["thread_id"], "last_content", "content", "share")

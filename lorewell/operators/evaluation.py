@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewell import constants as K
 from lorewell.functions.text import strip
-from lorewell.operators.audit import SEARCH_ROW
+from lorewell.operators.audit import search_row
 from lorewell.operators.terms import DIGITS, count_cosine, term_recall, term_rows
 
 
@@ -34,7 +34,7 @@ def retrieval_contexts(messages: DataFrame) -> DataFrame:
     """(thread_id, seq, context): usable search outputs, each once at its first place; a default text if none."""
     text = strip(F.coalesce("content", F.lit("")))
     usable = (
-        SEARCH_ROW & (F.length(text) > 0) & ~F.contains(text, F.lit("ERROR")) & ~F.contains(text, F.lit("No encontré"))
+        search_row() & (F.length(text) > 0) & ~F.contains(text, F.lit("ERROR")) & ~F.contains(text, F.lit("No encontré"))
     )
     found = messages.filter(usable).groupBy("thread_id", text.alias("context")).agg(F.min("seq").alias("seq"))
     threads = messages.select("thread_id").distinct()

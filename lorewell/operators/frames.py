@@ -15,12 +15,18 @@ from lorewell.operators.skew import lookup, ordered_concat, running_total
 FRAME = "type string, content string, data string, input string"
 LINE_PREFIX = "data: "
 
-MODEL_START = (F.col("event") == "on_chat_model_start") & F.col("is_generation")
-TOKEN = (
-    (F.col("event") == "on_chat_model_stream")
-    & F.col("is_generation")
-    & (F.length(F.coalesce("content", F.lit(""))) > 0)
-)
+
+def model_start() -> Column:
+    return (F.col("event") == "on_chat_model_start") & F.col("is_generation")
+
+
+def token() -> Column:
+    """A piece of answer text."""
+    return (
+        (F.col("event") == "on_chat_model_stream")
+        & F.col("is_generation")
+        & (F.length(F.coalesce("content", F.lit(""))) > 0)
+    )
 
 
 def parse_frames(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -40,8 +46,8 @@ def flatten_content(content: Column) -> Column:
 
 def assemble_answer(events: DataFrame) -> DataFrame:
     """(turn_id, answer): the tokens after the turn's last model start, joined; earlier tokens are discarded."""
-    starts = events.filter(MODEL_START).groupBy("turn_id").agg(F.max("seq").alias("last_start"))
-    kept = lookup(events.filter(TOKEN), starts, ["turn_id"]).filter(
+    starts = events.filter(model_start()).groupBy("turn_id").agg(F.max("seq").alias("last_start"))
+    kept = lookup(events.filter(token()), starts, ["turn_id"]).filter(
         F.col("last_start").isNull() | (F.col("seq") > F.col("last_start"))
     )
     return ordered_concat(kept, ["turn_id"], "seq", F.col("content"), "", "answer")
@@ -53,17 +59,17 @@ def frames_from_events(events: DataFrame) -> DataFrame:
     A model start after text was already shown announces a correction.
     """
     numbered = running_total(
-        events.filter(MODEL_START | TOKEN).select("turn_id", "seq", "event", "is_generation", "content"),
-        ["turn_id"], "seq", F.when(MODEL_START, 1).otherwise(0), "segment",
+        events.filter(model_start() | token()).select("turn_id", "seq", "event", "is_generation", "content"),
+        ["turn_id"], "seq", F.when(model_start(), 1).otherwise(0), "segment",
     )
     shown = (
-        numbered.filter(TOKEN)
+        numbered.filter(token())
         .groupBy("turn_id", "segment")
         .agg(F.max(~is_blank(F.col("content"))).alias("shown"))
         .select("turn_id", (F.col("segment") + 1).alias("segment"), "shown")
     )
     restarts = (
-        lookup(numbered.filter(MODEL_START).select("turn_id", "segment", "seq"), shown, ["turn_id", "segment"])
+        lookup(numbered.filter(model_start()).select("turn_id", "segment", "seq"), shown, ["turn_id", "segment"])
         .filter("shown")
         .select("turn_id", "seq", F.lit(True).alias("restart"))
     )
@@ -72,9 +78,9 @@ def frames_from_events(events: DataFrame) -> DataFrame:
     event, name = F.col("event"), F.col("name")
     starting = event == "on_chain_start"
     kind = (
-        F.when(MODEL_START & F.col("restart"), "status")
+        F.when(model_start() & F.col("restart"), "status")
         .when((event == "on_chain_end") & (name == "task_planner"), "plan")
-        .when(TOKEN, "token")
+        .when(token(), "token")
         .when(event == "on_tool_start", "tool-start")
         .when(event == "on_tool_end", "tool-end")
         .when(starting & name.isin("grade_documents", "grade_hallucinations"), "status")

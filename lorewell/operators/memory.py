@@ -19,8 +19,13 @@ def is_real_user(role: Column, content: Column) -> Column:
     return (role == "human") & ~F.startswith(F.coalesce(content, F.lit("")), F.lit(K.SYNTHETIC_PREFIX))
 
 
-REAL_USER = is_real_user(F.col("role"), F.col("content"))
-TOOL_FREE_ANSWER = (F.col("role") == "ai") & (F.size(F.coalesce("tool_calls", F.array().cast("array<string>"))) == 0)
+def real_user() -> Column:
+    return is_real_user(F.col("role"), F.col("content"))
+
+
+def plain_answer() -> Column:
+    """An assistant row without tool calls."""
+    return (F.col("role") == "ai") & (F.size(F.coalesce("tool_calls", F.array().cast("array<string>"))) == 0)
 
 
 def reduce_messages(versions: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def _with_last(messages: DataFrame, condition: Column, out: str) -> DataFrame:
 def current_turn(messages: DataFrame) -> DataFrame:
     """Rows after the thread's last real user row; all rows if there is none."""
     return (
-        _with_last(messages, REAL_USER, "last_user")
+        _with_last(messages, real_user(), "last_user")
         .filter(F.col("last_user").isNull() | (F.col("seq") > F.col("last_user")))
         .drop("last_user")
     )
@@ -85,9 +90,9 @@ def turn_bounds(messages: DataFrame) -> DataFrame:
     return (
         messages.groupBy("thread_id")
         .agg(
-            F.max(F.when(REAL_USER, F.col("seq"))).alias("last_user"),
+            F.max(F.when(real_user(), F.col("seq"))).alias("last_user"),
             F.max("seq").alias("last_row"),
-            F.max_by("content", F.when(REAL_USER, F.col("seq"))).alias("user_text"),
+            F.max_by("content", F.when(real_user(), F.col("seq"))).alias("user_text"),
             F.max_by("content", "seq").alias("answer"),
         )
         .filter(F.col("last_user").isNotNull())
@@ -136,9 +141,9 @@ def collapse_plan(messages: DataFrame, min_user_rows: int = K.COLLAPSE_AT_USER_R
     row is taken as the answer first, so the two kept rows are the last of their kind.
     """
     facts = messages.groupBy("thread_id").agg(
-        F.count_if(REAL_USER).alias("user_rows"),
-        F.max(F.when(REAL_USER, F.col("seq"))).alias("keep_user"),
-        F.max(F.when(TOOL_FREE_ANSWER, F.col("seq"))).alias("keep_answer"),
+        F.count_if(real_user()).alias("user_rows"),
+        F.max(F.when(real_user(), F.col("seq"))).alias("keep_user"),
+        F.max(F.when(plain_answer(), F.col("seq"))).alias("keep_answer"),
     )
     return facts.filter(
         (F.col("user_rows") >= min_user_rows) & F.col("keep_user").isNotNull() & F.col("keep_answer").isNotNull()
@@ -201,7 +206,7 @@ def planner_context(messages: DataFrame) -> DataFrame:
     threads = messages.groupBy("thread_id").agg(
         F.min_by("content", F.when(stored, F.col("seq"))).alias("first_summary")
     )
-    answers = messages.filter(TOOL_FREE_ANSWER & (F.length(F.coalesce("content", F.lit(""))) > 0))
+    answers = messages.filter(plain_answer() & (F.length(F.coalesce("content", F.lit(""))) > 0))
     recent = top_per_key(answers, ["thread_id"], [F.col("seq").desc()], 2, "nth")
     previews = F.array_sort(
         F.collect_list(F.struct("seq", F.concat(F.lit("  - "), F.substring("content", 1, 300)).alias("line")))

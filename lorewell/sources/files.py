@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def scan_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(path, filename, length, modified, content) of all files below a path. Columns not used are not read."""
+    """(path, filename, length, modified, content) of all files below a path. Columns not used are not read.
+
+    Spark's file sources leave out files of zero bytes; such an upload has to come as a row of its own.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
