@@ -6,6 +6,7 @@ JOBS = (
     "doc_id string, user_id string, batch_id string, source_path string, status string, attempts int, "
     "error_msg string, metadata map<string,string>, created_at timestamp, updated_at timestamp, file_hash string"
 )
+JOB_EVENTS = "doc_id string, status string, error_msg string, ts timestamp, seq bigint"
 CHATS = "thread_id string, user_id string, title string, created_at timestamp, updated_at timestamp"
 MESSAGES = "id string, thread_id string, role string, content string, parts string, created_at timestamp"
 FEEDBACK = (

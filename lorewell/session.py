@@ -16,6 +16,10 @@ SETTINGS = {
     # a hot key is worth an extra shuffle: split it even if the next step needs the partitioning back
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # streaming state on disk, so that it may outgrow an executor's memory
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
@@ -27,18 +31,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_folder: str | None = None
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the folder named in `spark.checkpoint.dir`.
 
-    Only where the cluster names none (local runs, tests) a temporary folder is used.
+    Only a local run for which none is named uses a temporary folder.
     """
+    global _local_folder
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="lorewell-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        _local_folder = _local_folder or tempfile.mkdtemp(prefix="lorewell-")
+        base = _local_folder
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

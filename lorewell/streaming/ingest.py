@@ -16,7 +16,7 @@ from lorewell import constants as K
 from lorewell.operators import admission as A
 from lorewell.operators import chunking as C
 from lorewell.operators.indexing import chunk_key
-from lorewell.schemas import CHUNKS, JOBS
+from lorewell.schemas import CHUNKS, JOB_EVENTS, JOBS
 from lorewell.session import materialize
 from lorewell.sources.sinks import ChunkStore, write_dead_letters
 from lorewell.streaming import events as E
@@ -50,14 +50,18 @@ class DocumentIngest:
     def dead_path(self) -> str:
         return f"{self.base}/dead"
 
+    @property
+    def events_path(self) -> str:
+        return f"{self.base}/job_events"
+
     def jobs(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """Registered jobs of all batches, or of those before a batch; the newest row of an id counts."""
-        schema = _parse_datatype_string(JOBS)
-        rows = read_batches(spark, self.jobs_path, schema)
-        if before is not None:
-            rows = rows.filter(F.col("batch") < before)
-        others = [f.name for f in schema.fields if f.name != "doc_id"]
-        return rows.groupBy("doc_id").agg(F.max_by(F.struct(*others), "batch").alias("j")).select("doc_id", "j.*")
+        """Registered jobs of all batches, or of those before a batch. An id is registered once."""
+        rows = read_batches(spark, self.jobs_path, _parse_datatype_string(JOBS))
+        return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+
+    def job_events(self, spark: SparkSession) -> DataFrame:
+        """Status events of the jobs, for `admission.fold_status`."""
+        return read_batches(spark, self.events_path, _parse_datatype_string(JOB_EVENTS)).drop("batch")
 
     def chunks(self, spark: SparkSession, users: list[str] | None = None) -> DataFrame:
         """The current chunk table."""
@@ -80,17 +84,19 @@ class DocumentIngest:
             "user_id", "filename", "content", "metadata", "timestamp",
             A.content_hash(F.col("content")).alias("file_hash"),
         )
-        known = self.jobs(spark, before=batch_id)
-        decided = materialize(A.dedup_decision(uploads, known), "decided")
+        # only the jobs this batch can meet: its own hashes and ids are the small side of both joins
+        stored = self.jobs(spark, before=batch_id)
+        same_content = stored.join(uploads.select("file_hash").distinct(), "file_hash", "left_semi")
+        decided = materialize(A.dedup_decision(uploads, same_content), "decided")
         queued = decided.filter(F.col("decision") == "queued")
 
         new = queued.select(
             "doc_id", "user_id", F.lit(str(batch_id)).alias("batch_id"), F.col("filename").alias("source_path"),
             "file_hash", F.col("timestamp").alias("uploaded_at"), "metadata",
         )
-        none = spark.createDataFrame([], JOBS)
-        registered = A.register_jobs(none, new).withColumn("status", F.lit("queued"))
-        batch_writer(self.jobs_path)(registered, batch_id)
+        same_id = stored.join(new.select("doc_id").distinct(), "doc_id", "left_semi")
+        fresh = A.register_jobs(same_id, new).join(same_id.select("doc_id"), "doc_id", "left_anti")
+        batch_writer(self.jobs_path)(fresh.withColumn("status", F.lit("queued")), batch_id)
 
         if not self.store.holds(spark, batch_id):
             # of several events with one doc_id in a batch, the latest content is indexed
@@ -105,6 +111,16 @@ class DocumentIngest:
             keyed = chunks.withColumn("chunk_key", chunk_key(F.col("content"), F.col("source"), F.col("chunk_index")))
             self.store.update(keyed, batch_id)
 
+        steps = F.posexplode(F.array(F.lit("received"), F.lit("queued"), F.lit("indexed"))).alias("step", "status")
+        events = queued.groupBy("doc_id").agg(F.max("timestamp").alias("ts")).select("doc_id", "ts", steps)
+        batch_writer(self.events_path)(
+            events.select(
+                "doc_id", "status", F.lit(None).cast("string").alias("error_msg"), "ts",
+                (F.lit(batch_id).cast("bigint") * 10 + F.col("step")).alias("seq"),
+            ),
+            batch_id,
+        )
+
     def start(self, messages: DataFrame, checkpoint: str, **trigger):
         """Run the stream; `trigger` as for writeStream.trigger."""
         return (

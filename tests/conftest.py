@@ -11,7 +11,7 @@ from lorewell.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tests")
@@ -24,8 +24,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     configure(session)
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

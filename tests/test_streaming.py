@@ -73,6 +73,8 @@ def test_ingest_stream(spark, inbox, tmp_path):
     assert [j[:3] for j in jobs if j[0].startswith("0000")] == [(ID % 1, "u", "queued"), (ID % 3, "v", "queued")]
     assert len(jobs) == 3
     assert {c[0] for c in chunks} == {j[0] for j in jobs}
+    folded = A.fold_status(job.job_events(spark), job.jobs(spark))
+    assert rows(folded, "status", "attempts") == [("indexed", 0)] * 3
     assert len(retry) == 3 and len(dead) == 2
     again = spark.read.schema(MESSAGE).json(job.retry_path).select("value", E.header("retry-count").alias("n"))
     assert rows(again.filter("value = '{broken'"), "n") == [("1",), ("3",)]
