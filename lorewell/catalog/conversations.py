@@ -15,6 +15,7 @@ from lorewell.operators import frames as E
 from lorewell.operators import memory as M
 from lorewell.operators import notes as N
 from lorewell.operators import pages as P
+from lorewell.schemas import DOCUMENT_EVENT
 from lorewell.session import spread
 
 QUERIES = {}
@@ -57,15 +58,15 @@ NOTE_TIME = "2026-03-05 06:07:08"
 def note_events(spark, d):
     """Every document as a note titled by its first line."""
     n = F.col("doc_id")
-    notes = V.table(spark, d, "documents").select(
+    notes = V.documents(spark, d).select(
         V.uuid_text(n.cast("string")).alias("doc_id"),
         F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"),
         F.when(n % 2 == 0, "technical_doc").alias("doc_type"), F.when(n % 3 != 0, F.col("lang")).alias("user_id"),
     )
     events = N.note_events(notes, F.lit(NOTE_TIME).cast("timestamp"))
-    names = ["doc_id", "filename", "user_id", "content", "metadata.source", "metadata.doc_type", "metadata.title",
-             "metadata.created_at", "metadata.origin"]
-    return events.select("key", *[F.get_json_object("value", f"$.{x}").alias(x.replace(".", "_")) for x in names])
+    event = F.from_json("value", DOCUMENT_EVENT).alias("e")
+    meta = [F.col("e.metadata")[k].alias(f"metadata_{k}") for k in ("source", "doc_type", "title", "created_at", "origin")]
+    return events.select("key", event).select("key", "e.doc_id", "e.filename", "e.user_id", "e.content", *meta)
 
 
 SQL["note_events"] = rf"""WITH n AS (SELECT {V.sql_uuid("CAST(doc_id AS VARCHAR)")} AS doc_id, string_split(text, chr(10))[1] AS title, text AS content,

@@ -93,6 +93,7 @@ THRESHOLDS = {
     "chunk_quality": 0.4,
     "coherence": 0.7,
 }
+AGENT_THRESHOLDS = {"faithfulness": 0.85, "answer_relevancy": 0.8}
 REGRESSION_TOLERANCE = 0.05
 CORRECTED_PREFIX = "(Corregido) "
 PROTECTED_MARK = "eval_doc_fixed_"

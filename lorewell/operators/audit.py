@@ -114,15 +114,18 @@ def _with_limit(count: Column, again: str, last: str) -> Column:
     return F.when(count < K.MAX_RETRIES, again).otherwise(last)
 
 
-def grade_relevance(messages: DataFrame, turns: DataFrame, threshold: float = RELEVANT_SHARE) -> DataFrame:
+def grade_relevance(
+    messages: DataFrame, turns: DataFrame, threshold: float = RELEVANT_SHARE, shares: DataFrame | None = None
+) -> DataFrame:
     """(thread_id, share, grade, action): do the found documents speak about the current question?
 
-    share: part of the question's words found in the last batch's search output.
+    share: part of the question's words found in the last batch's search output, unless the caller brings
+    `shares` (thread_id, share) from a model.
     """
     questions = turn_features(messages).filter(F.col("question").isNotNull()).select("thread_id", "question")
     found = last_tool_batch(messages).filter(search_row()).select("thread_id", "content")
     asked = questions.join(found.select("thread_id").distinct(), "thread_id", "left_semi")
-    share = term_recall(asked, found, ["thread_id"], "question", "content", "share")
+    share = term_recall(asked, found, ["thread_id"], "question", "content", "share") if shares is None else shares
     t = share.join(turns.select("thread_id", F.coalesce("docs_parse_retries", F.lit(0)).alias("used")), "thread_id", "left")
     yes = F.col("share") >= threshold
     return t.select(
@@ -143,14 +146,19 @@ def grounded_share(messages: DataFrame) -> DataFrame:
     return searched.join(share, "thread_id", "left")
 
 
-def grade_groundedness(messages: DataFrame, turns: DataFrame, threshold: float = GROUNDED_SHARE) -> DataFrame:
-    """(thread_id, share, action): accept, retry, refuse, or regrade when no grade could be given."""
+def grade_groundedness(
+    messages: DataFrame, turns: DataFrame, threshold: float = GROUNDED_SHARE, shares: DataFrame | None = None
+) -> DataFrame:
+    """(thread_id, share, action): accept, retry, refuse, or regrade when no grade could be given.
+
+    `shares` (thread_id, share) replaces `grounded_share`; a NULL share is a grade that could not be read.
+    """
     counters = turns.select(
         "thread_id",
         F.coalesce("generate_retry_count", F.lit(0)).alias("generated"),
         F.coalesce("hallucinations_parse_retries", F.lit(0)).alias("parsed"),
     )
-    t = grounded_share(messages).join(counters, "thread_id", "left")
+    t = (grounded_share(messages) if shares is None else shares).join(counters, "thread_id", "left")
     action = (
         F.when(F.col("share").isNull(), F.when(F.col("parsed") + 1 > K.MAX_RETRIES, "accept").otherwise("regrade"))
         .when(F.col("share") >= threshold, "accept")

@@ -221,10 +221,12 @@ def chunk_documents(
     size: int = K.CHUNK_CHARS,
     overlap: int = K.CHUNK_OVERLAP,
     profile_model: Callable[[Column], Column] | None = None,
+    chunk_model: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Documents (source, user_id, filename, text, document_date) to chunk rows ready for indexing.
 
-    One stage: scan, profile, split and explode happen in the task that read the document.
+    One stage: scan, profile, split and explode happen in the task that read the document. `chunk_model`
+    replaces `chunk_array` (statements and text columns to an array of chunk structs).
     """
     prepared = document_record(docs.withColumn("text", T.clean_text(F.col("text"))), as_of)
     profiled = profile_documents(prepared, lexicon=lexicon, model=profile_model)
@@ -232,9 +234,8 @@ def chunk_documents(
         "route", route(F.col("text"), F.col("filename"), F.col("profile.requires_agentic_chunking"))
     )
     semantic = F.col("route") == "semantic"
-    made = chunk_array(
-        F.when(semantic, T.propositions(F.col("text"))), F.when(~semantic, F.col("text")), size, overlap
-    )
+    statements, whole = F.when(semantic, T.propositions(F.col("text"))), F.when(~semantic, F.col("text"))
+    made = chunk_model(statements, whole) if chunk_model else chunk_array(statements, whole, size, overlap)
     kept = ["source", "user_id", "filename", "created_at", "document_date_str", "custom_date", "profile"]
     rows = routed.select(*kept, F.posexplode(made).alias("chunk_index", "chunk"))
     dated = rows.withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorewell import constants as K
 from lorewell.functions.text import is_blank
-from lorewell.operators.skew import lookup, ordered_concat, running_total
+from lorewell.operators.skew import DEFAULT_BLOCK, lookup, next_value, ordered_concat
 
 FRAME = "type string, content string, data string, input string"
 LINE_PREFIX = "data: "
@@ -58,20 +58,13 @@ def frames_from_events(events: DataFrame) -> DataFrame:
 
     A model start after text was already shown announces a correction.
     """
-    numbered = running_total(
-        events.filter(model_start() | token()).select("turn_id", "seq", "event", "is_generation", "content"),
-        ["turn_id"], "seq", F.when(model_start(), 1).otherwise(0), "segment",
-    )
-    shown = (
-        numbered.filter(token())
-        .groupBy("turn_id", "segment")
-        .agg(F.max(~is_blank(F.col("content"))).alias("shown"))
-        .select("turn_id", (F.col("segment") + 1).alias("segment"), "shown")
-    )
-    restarts = (
-        lookup(numbered.filter(model_start()).select("turn_id", "segment", "seq"), shown, ["turn_id", "segment"])
-        .filter("shown")
-        .select("turn_id", "seq", F.lit(True).alias("restart"))
+    # among model starts and visible tokens, a start that directly follows a token is a restart
+    starts = model_start()
+    visible = token() & ~is_blank(F.col("content"))
+    steps = events.filter(starts | visible).select("turn_id", "seq", F.when(starts, F.col("seq")).alias("start"))
+    followed = next_value(steps, ["turn_id"], ["seq"], F.floor(F.col("seq") / DEFAULT_BLOCK), "start", "next_start")
+    restarts = followed.filter(F.col("start").isNull() & F.col("next_start").isNotNull()).select(
+        "turn_id", F.col("next_start").alias("seq"), F.lit(True).alias("restart")
     )
     marked = events.join(restarts, ["turn_id", "seq"], "left")
 

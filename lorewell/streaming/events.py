@@ -87,8 +87,3 @@ def dedup_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """
     return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["doc_id"])
 
-
-def split_late(batch: DataFrame, watermark: Column, ts: str = "timestamp") -> tuple[DataFrame, DataFrame]:
-    """(on time, late) rows of a batch against a watermark taken from the batches before it."""
-    late = F.coalesce(F.col(ts) < watermark, F.lit(False))
-    return batch.filter(~late), batch.filter(late)

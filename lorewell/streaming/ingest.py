@@ -7,6 +7,7 @@ skips a version it already holds, so a batch that failed half-way can run again.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ class DocumentIngest:
     max_bytes: int = K.MAX_FILE_BYTES
     user_buckets: int = 32
     source_buckets: int = 16
+    allowed_delay_seconds: int | None = None
 
     @property
     def jobs_path(self) -> str:
@@ -67,12 +69,25 @@ class DocumentIngest:
         """The current chunk table."""
         return self.store.read(spark, _parse_datatype_string(CHUNKS), users)
 
+    def watermark(self, spark: SparkSession, before: int):
+        """The latest accepted event time of the batches before this one, less the allowed delay."""
+        accepted = read_batches(spark, self.events_path, _parse_datatype_string(JOB_EVENTS)).filter(F.col("batch") < before)
+        latest = accepted.agg(F.max("ts")).first()[0]
+        return None if latest is None else latest - timedelta(seconds=self.allowed_delay_seconds)
+
     def process(self, messages: DataFrame, batch_id: int) -> None:
         """One micro-batch. Reads the clock of the messages only, so a replay gives the same result."""
         spark = messages.sparkSession
         parsed = E.parse_document_events(messages).withColumn("length", F.octet_length("content"))
         checked = A.validate_files(parsed.withColumnRenamed("error", "unreadable"), max_bytes=self.max_bytes)
-        checked = materialize(checked.withColumn("error", F.coalesce("unreadable", "error")).drop("unreadable"), "events")
+        checked = checked.withColumn("error", F.coalesce("unreadable", "error")).drop("unreadable")
+        watermark = None if self.allowed_delay_seconds is None else self.watermark(spark, batch_id)
+        if watermark is not None:
+            # too late to be taken in: kept as dead letters, whatever their retry count
+            late = F.coalesce(F.col("timestamp") < F.lit(watermark), F.lit(False))
+            checked = checked.withColumn("retry_count", F.when(late, K.MAX_CONSUMER_RETRIES).otherwise(F.col("retry_count")))
+            checked = checked.withColumn("error", F.when(late, "late event").otherwise(F.col("error")))
+        checked = materialize(checked, "events")
 
         failed = checked.filter(F.col("error").isNotNull())
         E.retries(failed).write.mode("overwrite").json(f"{self.retry_path}/batch={batch_id}")

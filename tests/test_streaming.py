@@ -137,10 +137,19 @@ def test_dedup_within_watermark(spark, inbox, tmp_path):
     assert rows(spark.read.parquet(out), "doc_id") == [(ID % 1,), (ID % 2,), (ID % 3,)]
 
 
-def test_late_rows_are_kept_apart(spark):
-    df = spark.createDataFrame([(1, T0), (2, T0 + dt.timedelta(hours=2)), (3, None)], "n int, timestamp timestamp")
-    on_time, late = E.split_late(df, F.lit(T0 + dt.timedelta(hours=1)))
-    assert rows(on_time, "n") == [(2,), (3,)] and rows(late, "n") == [(1,)]
+def test_late_rows_become_dead_letters(spark, tmp_path):
+    job = DocumentIngest(str(tmp_path / "out"), user_buckets=2, source_buckets=2, allowed_delay_seconds=3600)
+
+    def batch(number, *data):
+        path = tmp_path / f"{number}.json"
+        path.write_text("\n".join(json.dumps(m) for m in data))
+        job.process(spark.read.schema(MESSAGE).json(str(path)), number)
+
+    batch(0, message(event(ID % 1, "Uno."), 120))
+    batch(1, message(event(ID % 2, "Dos."), 59), message(event(ID % 3, "Tres."), 60), message(event(ID % 4, "Cuatro."), 500))
+    assert rows(job.jobs(spark), "doc_id") == [(ID % 1,), (ID % 3,), (ID % 4,)]
+    letters = spark.read.schema(MESSAGE).json(job.dead_path)
+    assert rows(letters, E.header("error").alias("e")) == [("late event",)]
 
 
 STATUS = "doc_id string, status string, error_msg string, ts timestamp, seq bigint"
