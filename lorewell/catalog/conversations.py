@@ -197,24 +197,20 @@ _BOUNDS = _bounds("v_messages")
 
 @query
 def reduce_messages(spark, d):
-    """Two versions of each message; some ids are removed in between, some for good."""
+    """Three versions of each message; the middle or the last one of some is a removal."""
     m = V.messages(spark, d).select("thread_id", "id", "seq", "content")
-    n = F.col("thread_id") + F.col("seq")
-    base = F.col("seq") * 10
-    versions = (
-        m.select("thread_id", "id", "content", base.alias("version"), F.lit(False).alias("removed"))
-        .unionByName(
-            m.filter(n % 3 != 0).select(
-                "thread_id", "id", F.concat("content", F.lit(" (edited)")).alias("content"), (base + 1000).alias("version"), F.lit(False).alias("removed")
+    n, base = F.col("thread_id") + F.col("seq"), F.col("seq") * 10
+    edited = F.when(n % 3 != 0, F.concat("content", F.lit(" (edited)"))).otherwise(F.col("content"))
+    versions = m.select(
+        "thread_id", "id",
+        F.explode(
+            F.array(
+                F.struct(base.alias("version"), F.lit(False).alias("removed"), F.col("content")),
+                F.struct((base + 500).alias("version"), (n % 4 == 0).alias("removed"), F.lit("draft").alias("content")),
+                F.struct((base + 1000).alias("version"), (n % 8 == 0).alias("removed"), edited.alias("content")),
             )
-        )
-        .unionByName(
-            m.filter(n % 4 == 0).select(
-                "thread_id", "id", F.lit(None).cast("string").alias("content"),
-                (base + F.when(n % 8 == 0, 2000).otherwise(500)).alias("version"), F.lit(True).alias("removed"),
-            )
-        )
-    )
+        ).alias("v"),
+    ).select("thread_id", "id", "v.*")
     return M.reduce_messages(versions)
 
 
@@ -222,8 +218,7 @@ SQL["reduce_messages"] = V.with_views(
     "v_messages",
     """WITH n AS (SELECT *, thread_id + seq AS n FROM v_messages)
 SELECT thread_id, id, CASE WHEN n % 4 = 0 THEN seq * 10 + 1000 ELSE seq * 10 END AS seq,
-  CASE WHEN n % 3 <> 0 THEN content || ' (edited)' ELSE content END AS content
-FROM n WHERE NOT (n % 8 = 0) AND NOT (n % 4 = 0 AND n % 3 = 0)""",
+  CASE WHEN n % 3 <> 0 THEN content || ' (edited)' ELSE content END AS content FROM n WHERE n % 8 <> 0""",
 )
 
 
@@ -277,22 +272,26 @@ FROM v_messages""",
 )
 
 def _audited(spark, d):
-    """Messages whose last row also shows tool code, a refusal, or nothing, depending on the thread."""
+    """Messages with one more assistant row per thread: tool code, a refusal, nothing, a call or plain text."""
     m = V.messages(spark, d)
     n = F.col("thread_id")
-    extra = m.groupBy("thread_id").agg((F.max("seq") + 1).alias("seq")).filter(n % 3 != 2).select(
+    no_calls = F.array().cast("array<string>")
+    extra = m.groupBy("thread_id").agg((F.max("seq") + 1).alias("seq")).select(
         "thread_id", "seq", F.concat(F.lit("x"), n.cast("string")).alias("id"), F.lit("ai").alias("role"),
-        F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("tool_calls"),
+        F.lit(None).cast("string").alias("name"),
+        F.when(n % 9 == 8, F.array(F.lit(K.WEB_TOOL))).otherwise(no_calls).alias("tool_calls"),
         F.when(n % 7 == 0, "call default_api.search()").when(n % 7 == 1, " \n").when(n % 7 == 2, "No encontré información sobre eso")
         .when(n % 7 == 3, "").otherwise("en fin el resumen").alias("content"),
     )
     return m.unionByName(extra)
 
 
-_AUDITED = """audited AS (SELECT thread_id, seq, id, role, name, tool_calls, content FROM v_messages
-  UNION ALL SELECT thread_id, max(seq) + 1, 'x' || thread_id, 'ai', NULL, CAST([] AS VARCHAR[]),
+_AUDITED = f"""audited AS (SELECT thread_id, seq, id, role, name, tool_calls, content FROM v_messages
+  UNION ALL SELECT thread_id, max(seq) + 1, 'x' || thread_id, 'ai', NULL,
+    CASE WHEN thread_id % 9 = 8 THEN ['{K.WEB_TOOL}'] ELSE CAST([] AS VARCHAR[]) END,
     CASE thread_id % 7 WHEN 0 THEN 'call default_api.search()' WHEN 1 THEN ' ' || chr(10) WHEN 2 THEN 'No encontré información sobre eso'
-      WHEN 3 THEN '' ELSE 'en fin el resumen' END FROM v_messages WHERE thread_id % 3 <> 2 GROUP BY thread_id)"""
+      WHEN 3 THEN '' ELSE 'en fin el resumen' END FROM v_messages GROUP BY thread_id)"""
+
 
 _STEPS = """steps AS (SELECT m.* FROM audited m JOIN b USING (thread_id) WHERE seq > last_user AND seq < last_row)"""
 

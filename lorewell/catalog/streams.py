@@ -199,11 +199,11 @@ SQL["read_document_events"] = f"""WITH {_MESSAGES} SELECT CAST(n AS VARCHAR) AS
 
 @query
 def write_chunks(spark, d):
-    """Chunks written to the store, updated with an edited batch, read back."""
+    """Chunks written to the store, updated with a batch that edits one chunk of each source, read back."""
     store = K.ChunkStore(shared_dir(spark, "store"), user_buckets=4, source_buckets=2)
     chunks = V.chunks(spark, d).drop("embedding")
     store.write(chunks, 0)
-    edited = chunks.filter(F.col("source").endswith("5")).withColumn(
+    edited = chunks.withColumn(
         "chunk_key", F.when(F.col("chunk_index") == 3, F.col("chunk_key") + 1000000).otherwise(F.col("chunk_key"))
     )
     store.update(edited, 1)
@@ -212,7 +212,7 @@ def write_chunks(spark, d):
 
 SQL["write_chunks"] = V.with_views(
     "v_chunks",
-    """SELECT CASE WHEN ends_with(source, '5') AND chunk_index = 3 THEN chunk_key + 1000000 ELSE chunk_key END AS chunk_key,
+    """SELECT CASE WHEN chunk_index = 3 THEN chunk_key + 1000000 ELSE chunk_key END AS chunk_key,
   source, chunk_index, user_id, content FROM v_chunks""",
 )
 

@@ -143,7 +143,7 @@ class _Scorer:
 
             for start in range(0, len(self.rows), self.slice):
                 scores = np.round(chunk_unit @ self.unit[start : start + self.slice].T, DIGITS)
-                found = []
+                ids, picked, values = [], [], []
                 for j, (query_id, user, since, source, doc_type, n) in enumerate(self.rows[start : start + self.slice]):
                     allowed = np.ones(len(batch), dtype=bool)
                     if user is not None:
@@ -156,16 +156,17 @@ class _Scorer:
                         allowed &= equals("doc_type", doc_type)
                     rows = np.flatnonzero(allowed)
                     best = rows[self._best(scores[rows, j], keys[rows], n)]
-                    found.append(
-                        pd.DataFrame(
-                            {
-                                "query_id": query_id,
-                                "chunk_key": batch["chunk_key"].to_numpy()[best],
-                                "similarity": scores[best, j],
-                            }
-                        )
-                    )
-                yield pd.concat(found)
+                    ids.extend([query_id] * len(best))
+                    picked.append(best)
+                    values.append(scores[best, j])
+                chosen = np.concatenate(picked)
+                yield pd.DataFrame(
+                    {
+                        "query_id": ids,
+                        "chunk_key": batch["chunk_key"].to_numpy()[chosen],
+                        "similarity": np.concatenate(values),
+                    }
+                )
 
 
 def _topk_block(block: DataFrame, chunks: DataFrame, n: Column, limit: int) -> DataFrame:
