@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -13,15 +15,31 @@ from lorewell.operators import retrieval as R
 from lorewell.operators.skew import top_per_key
 
 
-def _hashed(model, df: DataFrame, vector: str) -> DataFrame:
-    """Add `hashes` ARRAY<DOUBLE>, one bucket number per hash table, of the unit vector.
+@dataclass(frozen=True)
+class Projections:
+    """Random projections of unit vectors. The same settings give the same buckets, so hashes can be stored."""
 
-    Never empty, so callers explode it with the outer form, which spares a filter that would hash twice.
-    """
-    length = norm(F.col(vector))
-    unit = F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
-    made = model.transform(df.withColumn("__v", array_to_vector(unit)))
-    return made.withColumn("hashes", F.transform("__h", lambda h: vector_to_array(h)[0])).drop("__v", "__h")
+    dims: int
+    tables: int = 12
+    width: float = 0.5
+    seed: int = 17
+
+    def add_hashes(self, df: DataFrame, vector: str = "embedding") -> DataFrame:
+        """Add `hashes` ARRAY<DOUBLE>, one bucket number per hash table.
+
+        Never empty, so it is exploded with the outer form, which spares a filter that would hash twice.
+        """
+        lsh = BucketedRandomProjectionLSH(
+            inputCol="__v", outputCol="__h", bucketLength=self.width, numHashTables=self.tables, seed=self.seed
+        )
+        # fitting looks at nothing but the number of dimensions
+        blank = df.sparkSession.range(1).select(
+            array_to_vector(F.array_repeat(F.lit(0.0), self.dims)).alias("__v")
+        )
+        length = norm(F.col(vector))
+        unit = F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
+        made = lsh.fit(blank).transform(df.withColumn("__v", array_to_vector(unit)))
+        return made.withColumn("hashes", F.transform("__h", lambda h: vector_to_array(h)[0])).drop("__v", "__h")
 
 
 def allowed(q: str = "q", c: str = "c") -> Column:
@@ -43,29 +61,28 @@ def approx_topk(
     chunks: DataFrame,
     n: Column | None = None,
     limit: int = R.MAX_CANDIDATES,
-    tables: int = 12,
-    width: float = 0.5,
-    seed: int = 17,
+    lsh: Projections | None = None,
 ) -> DataFrame:
     """As `retrieval.vector_topk`, but only chunks sharing a bucket with the question are scored.
 
+    Chunks that carry `hashes` (from `Projections.add_hashes` with the same settings) are not hashed again.
     Buckets of both sides meet in an equi-join whose small side is one block of questions; a pair that shares
     several buckets is scored in the first of them only, and the per-question limit runs before the shuffle,
     so a bucket with very many chunks streams through. Questions that end up with fewer than `n` hits are
     answered by the exact search instead.
     """
     n = R.overfetch(F.col("k_results")) if n is None else n
-    sample = questions.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("__v"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="__v", outputCol="__h", bucketLength=width, numHashTables=tables, seed=seed
-    ).fit(sample)
-    stored = _hashed(model, chunks, "embedding").select(
+    if lsh is None:
+        first = questions.select(F.size("embedding")).first()
+        lsh = Projections(first[0] if first else 1)
+    hashed = chunks if "hashes" in chunks.columns else lsh.add_hashes(chunks)
+    stored = hashed.select(
         "chunk_key", "user_id", "source", "filename", "doc_type", "created_at", "embedding", "hashes",
         F.posexplode_outer("hashes").alias("table", "bucket"),
     )
     result = None
     for block in R.question_blocks(questions):
-        asked = _hashed(model, block.withColumn("n", n), "embedding").select(
+        asked = lsh.add_hashes(block.withColumn("n", n)).select(
             *R.QUESTION_COLUMNS, "n", "hashes", F.posexplode_outer("hashes").alias("table", "bucket")
         )
         c, q = stored.alias("c"), F.broadcast(asked).alias("q")  # one block of questions

@@ -27,6 +27,7 @@ from lorewell.session import shared_dir
 MAX_CANDIDATES = int(K.OVERFETCH * K.K_MAX)
 BLOCK_QUESTIONS = 4096
 DIGITS = 9  # similarities are compared after rounding, so that equal vectors tie everywhere
+QUESTION_SLICE = 256  # questions scored at a time against one batch of chunks
 BM25_K1, BM25_B = 1.2, 0.75
 QUESTION_COLUMNS = [
     "query_id", "query", "user_id", "date_from", "source_filter", "doc_type", "k_results", "embedding"
@@ -102,13 +103,13 @@ def _scan_filter(rows: list) -> Column | None:
 class _Scorer:
     """Scores Arrow batches of chunks against one block of questions and keeps the best rows of each batch."""
 
-    def __init__(self, rows: list, question_slice: int = 256):
+    def __init__(self, rows: list):
         matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
         self.unit = self._normal(matrix)
         self.rows = [
             (r["query_id"], r["user_id"], r["from_us"], r["source_filter"], r["doc_type"], int(r["n"])) for r in rows
         ]
-        self.slice = question_slice
+        self.slice = QUESTION_SLICE
 
     @staticmethod
     def _normal(matrix: np.ndarray) -> np.ndarray:

@@ -16,6 +16,8 @@ SETTINGS = {
     # a hot key is worth an extra shuffle: split it even if the next step needs the partitioning back
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # batches for Python are bounded by size as well as by rows: texts may be very long
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
     # streaming state on disk, so that it may outgrow an executor's memory
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorewell import constants as K
 from lorewell.operators import retrieval as R
-from lorewell.operators.approx import approx_topk, recall_at_k
+from lorewell.operators.approx import Projections, approx_topk, recall_at_k
 from lorewell.plans import retrieve as P
 
 CHUNK = (
@@ -83,6 +83,7 @@ def test_topk_matches_brute_force(spark, many, monkeypatch, block):
     assert (len(blocks) == 1) == (block == 4096) and all(b.count() <= block for b in blocks)
     assert sum(b.count() for b in blocks) == 25
     monkeypatch.setattr(R, "question_blocks", lambda _: blocks)
+    monkeypatch.setattr(R, "QUESTION_SLICE", 4 if block == 4096 else 256)
     got = {(r.query_id, r.chunk_key): r.vector_rank for r in R.vector_topk(q, c).collect()}
     assert got == brute_force(questions, chunks)
 
@@ -90,14 +91,17 @@ def test_topk_matches_brute_force(spark, many, monkeypatch, block):
 def test_approx_topk(spark, many):
     q, c, questions, chunks = many
     exact = R.vector_topk(q, c)
-    found = approx_topk(q, c, tables=16, width=1.0)
+    found = approx_topk(q, c, lsh=Projections(4, tables=16, width=1.0))
     counts = lambda df: {r.query_id: r["count"] for r in df.groupBy("query_id").count().collect()}
     assert counts(found) == counts(exact)
     recalls = [r.recall for r in recall_at_k(found, exact).collect()]
     assert sum(recalls) / len(recalls) > 0.8
     # a question whose buckets give too little is answered exactly
-    narrow = approx_topk(q, c, tables=1, width=1e-6)
+    narrow = approx_topk(q, c, lsh=Projections(4, tables=1, width=1e-6))
     assert counts(narrow) == counts(exact)
+    # hashes stored with the chunks give the same answer
+    lsh = Projections(4, tables=16, width=1.0)
+    assert rows(approx_topk(q, lsh.add_hashes(c), lsh=lsh)) == rows(found)
 
 
 def test_chunk_table_is_not_shuffled(spark, many):
