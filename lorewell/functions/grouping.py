@@ -6,9 +6,10 @@ structure instead). A caller with a language model can replace either step by a
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,57 +19,75 @@ _WORD = re.compile(r"\w+")
 DESCRIPTION = "array<struct<title:string,summary:string>>"
 
 
-def _terms(statement: str) -> Counter:
-    return Counter(_WORD.findall(statement.lower()))
+def term_counts(statements: list[str]) -> list[Counter]:
+    """Word counts of each statement."""
+    find = _WORD.findall
+    return [Counter(find(s.lower())) for s in statements]
 
 
-def assign_groups(statements: list[str], threshold: float = 0.25) -> list[int]:
-    """Group number of each statement, in order.
+def assign_groups(counts: list[Counter], threshold: float = 0.25) -> list[int]:
+    """Group number of each statement, in order, from the statements' word counts.
 
-    A statement joins the group whose summed term counts are nearest by cosine, if that reaches the
-    threshold (ties: the older group); otherwise it opens a new group.
+    A statement joins the group whose summed counts are nearest by cosine, if that reaches the threshold
+    (ties: the older group); otherwise it opens a new group.
     """
-    owners: dict[str, dict[int, int]] = defaultdict(dict)  # term -> {group: count}
+    owners: dict[str, dict[int, int]] = {}  # term -> {group: count}
     squares: list[int] = []  # squared length of each group's counts
     numbers: list[int] = []
-    for statement in statements:
-        terms = _terms(statement)
-        length = sum(n * n for n in terms.values())
-        dots: dict[int, int] = defaultdict(int)
+    for terms in counts:
+        length = 0
+        dots: dict[int, int] = {}
+        held_by = []
         for term, n in terms.items():
-            for group, held in owners.get(term, {}).items():
-                dots[group] += n * held
+            length += n * n
+            held = owners.get(term)
+            if held is None:
+                held = owners[term] = {}
+            else:
+                for group, count in held.items():
+                    dots[group] = dots.get(group, 0) + n * count
+            held_by.append((held, n))
         chosen, best = -1, 0.0
-        for group in sorted(dots):
-            score = round(dots[group] / math.sqrt(length * squares[group]), 9)
-            if score >= threshold and score > best:
+        for group, dot in dots.items():
+            score = round(dot / math.sqrt(length * squares[group]), 9)
+            if score >= threshold and (score > best or (score == best and group < chosen)):
                 chosen, best = group, score
         if chosen < 0:
             chosen = len(squares)
             squares.append(0)
         squares[chosen] += length + 2 * dots.get(chosen, 0)
-        for term, n in terms.items():
-            owners[term][chosen] = owners[term].get(chosen, 0) + n
+        for held, n in held_by:
+            held[chosen] = held.get(chosen, 0) + n
         numbers.append(chosen)
     return numbers
 
 
-def describe(groups: list[list[str]], no_title: str, no_summary: str, title_terms: int = 3) -> list[dict]:
+def describe(
+    groups: list[list[str]], counts: list[list[Counter]], no_title: str, no_summary: str, title_terms: int = 3
+) -> list[dict]:
     """Title: the terms with the highest tf-idf among the groups. Summary: the statement nearest the group."""
-    counts = [[_terms(s) for s in group] for group in groups]
-    totals = [sum(group, Counter()) for group in counts]
+    totals = []
+    for parts in counts:
+        total: Counter = Counter()
+        for part in parts:
+            total.update(part)
+        totals.append(total)
     spread = Counter(term for total in totals for term in total)
+    rarity = {n: math.log(1 + len(groups) / n) for n in set(spread.values())}
     described = []
     for statements, parts, total in zip(groups, counts, totals):
-        weights = {t: round(n * math.log(1 + len(groups) / spread[t]), 9) for t, n in total.items()}
-        best = sorted(weights, key=lambda t: (-weights[t], t))[:title_terms]
-        summary, top = no_summary, -1.0
-        for statement, part in zip(statements, parts):
-            length = math.sqrt(sum(n * n for n in part.values()))
-            near = round(sum(n * total[t] for t, n in part.items()) / length, 9) if length else 0.0
-            if near > top:
-                summary, top = statement, near
-        described.append({"title": " ".join(best) if best else no_title, "summary": summary})
+        weighted = ((-round(n * rarity[spread[t]], 9), t) for t, n in total.items())
+        title = " ".join(t for _, t in heapq.nsmallest(title_terms, weighted))
+        if len(statements) == 1:
+            summary = statements[0]
+        else:
+            summary, top = no_summary, -1.0
+            for statement, part in zip(statements, parts):
+                length = math.sqrt(sum([n * n for n in part.values()]))
+                near = round(sum([n * total[t] for t, n in part.items()]) / length, 9) if length else 0.0
+                if near > top:
+                    summary, top = statement, near
+        described.append({"title": title or no_title, "summary": summary})
     return described
 
 
@@ -76,7 +95,7 @@ def group_numbers(statements: Column, threshold: float = 0.25) -> Column:
     """ARRAY<INT>: the group of each element of an ARRAY<STRING>."""
 
     def number_batch(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else assign_groups(list(r), threshold))
+        return rows.map(lambda r: None if r is None else assign_groups(term_counts(r), threshold))
 
     return F.pandas_udf(number_batch, "array<int>")(statements)
 
@@ -85,6 +104,8 @@ def describe_groups(groups: Column, no_title: str, no_summary: str) -> Column:
     """ARRAY<STRUCT<title, summary>> for an ARRAY<ARRAY<STRING>> of one document's groups."""
 
     def describe_batch(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else describe([list(g) for g in r], no_title, no_summary))
+        return rows.map(
+            lambda r: None if r is None else describe(r, [term_counts(g) for g in r], no_title, no_summary)
+        )
 
     return F.pandas_udf(describe_batch, DESCRIPTION)(groups)

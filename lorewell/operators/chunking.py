@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lorewell import constants as K
 from lorewell.functions import dates as D
 from lorewell.functions import text as T
-from lorewell.functions.grouping import assign_groups, describe
+from lorewell.functions.grouping import assign_groups, describe, term_counts
 from lorewell.functions.splitting import split_text
 
 # Words that speak for a document type, used when the caller brings no model and no list of their own.
@@ -190,13 +190,16 @@ def chunk_array(statements: Column, text: Column, size: int, overlap: int, thres
     """
 
     def semantic(row) -> list[dict]:
-        parts = list(row)
+        counted = term_counts(row)
         groups: list[list[str]] = []
-        for statement, number in zip(parts, assign_groups(parts, threshold)):
+        counts: list[list] = []
+        for statement, terms, number in zip(row, counted, assign_groups(counted, threshold)):
             if number == len(groups):
                 groups.append([])
+                counts.append([])
             groups[number].append(statement)
-        about = describe(groups, K.DEFAULT_TITLE, K.DEFAULT_SUMMARY)
+            counts[number].append(terms)
+        about = describe(groups, counts, K.DEFAULT_TITLE, K.DEFAULT_SUMMARY)
         return [{"content": " ".join(g), "chunk_type": "agentic", **a} for g, a in zip(groups, about)]
 
     def structured(row: str) -> list[dict]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import dates as D
 from lorewell.functions import text as T
-from lorewell.functions.grouping import assign_groups, describe
+from lorewell.functions.grouping import assign_groups, describe, term_counts
 from lorewell.functions.html import paragraph_text
 from lorewell.functions.splitting import split_text
 from lorewell.operators import chunking as C
@@ -116,7 +116,7 @@ def test_split_covers_the_text_in_order(separators, size):
 
 def test_groups_by_shared_words():
     statements = ["el gato negro duerme", "la factura del banco", "el gato duerme mucho", "pagar la factura", "???"]
-    assert assign_groups(statements) == [0, 1, 0, 1, 2]
+    assert assign_groups(term_counts(statements)) == [0, 1, 0, 1, 2]
     assert assign_groups([]) == []
 
 
@@ -141,12 +141,12 @@ def test_groups_match_a_plain_restatement():
             sums.append(Counter())
         sums[best].update(c)
         expected.append(best)
-    assert assign_groups(statements) == expected
+    assert assign_groups(term_counts(statements)) == expected
 
 
 def test_describe():
     groups = [["gato gato perro", "gato"], ["perro casa"], ["!!"]]
-    made = describe(groups, "-", "--", 2)
+    made = describe(groups, [term_counts(g) for g in groups], "-", "--", 2)
     assert made[0] == {"title": "gato perro", "summary": "gato gato perro"}
     assert made[1] == {"title": "casa perro", "summary": "perro casa"}
     assert made[2] == {"title": "-", "summary": "!!"}
