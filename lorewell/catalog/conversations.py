@@ -707,11 +707,11 @@ UNION ALL SELECT 'new-' || doc_id, CAST(doc_id AS VARCHAR), quality, '["web_sear
 
 @query
 def latest_feedback(spark, d):
-    return FB.latest_feedback(V.feedback(spark, d), 20).select("id", "thread_id", "score", "timestamp")
+    return FB.latest_feedback(V.feedback(spark, d)).select("id", "thread_id", "score", "timestamp")
 
 
 SQL["latest_feedback"] = V.with_views(
-    "v_feedback", "SELECT id, thread_id, score, timestamp FROM v_feedback ORDER BY timestamp DESC, id LIMIT 20"
+    "v_feedback", "SELECT id, thread_id, score, timestamp FROM v_feedback ORDER BY timestamp DESC, id LIMIT 100"
 )
 
 

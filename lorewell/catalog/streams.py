@@ -279,7 +279,7 @@ def sql_functions(spark, d):
     return spark.sql(
         """SELECT doc_id, slugify(text) AS slug, strip_code_fence('```json\\n' || text || '```') AS reply, pieces
         FROM lorewell_documents JOIN (SELECT doc_id, count(*) AS pieces FROM lorewell_documents,
-          LATERAL split_structured(text, 40000, 0) GROUP BY doc_id) USING (doc_id)"""
+          LATERAL split_structured(text, 1000000000, 0) GROUP BY doc_id) USING (doc_id)"""
     )
 
 
