@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorewell.llm import quality_rules, simhash_dedup
+from lorewell.llm import decontamination, quality_rules, secret_scan, simhash_dedup
 from lorewell.llm.common import table
 from lorewell.session import configure
 
 
+def op4_secret_scan(spark, sf_dir):
+    """Secrets in every document."""
+    found = secret_scan.scan(table(configure(spark), sf_dir, "documents"), "text", keep=["doc_id"])
+    base_kinds = [r.kind for r in secret_scan.BASE_RULES]
+    base = secret_scan.spans_text(F.filter("spans", lambda s: s["rank"] < len(base_kinds)))
+    return found.select(
+        "row.doc_id", *[secret_scan.of_kind("spans", k).alias(f"n_{k}") for k in base_kinds],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_decontamination(spark, sf_dir):
+    """Documents that hold a passage of a benchmark item, with the alignment's share of a full match."""
+    spark = configure(spark)
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark, sf_dir):
     """Measurements, failed rules and the production verdict of every document."""
     rows = quality_rules.ledger(table(configure(spark), sf_dir, "documents"), "text", ["doc_id"])
@@ -26,7 +43,7 @@ def op8_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_decontamination, op7_quality_rules, op8_simhash_dedup)}
 
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
