@@ -219,10 +219,13 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
 
     Rules apply one after the other to what is left of the text, so that overlapping secrets give one mark.
     """
+    def step(rank: int, rule: Rule):
+        asked = F.exists("spans", lambda s: s["rank"] == rank)
+        return lambda b: F.when(asked, _redacted(rule, b)).otherwise(b)
+
     body = F.col("text")
     for rank, rule in enumerate(rules):
-        asked = F.exists("spans", lambda s: s["rank"] == rank)
-        body = F.when(asked, _redacted(rule, body)).otherwise(body)
+        body = _let(body, step(rank, rule))
     clean = F.when(F.size("spans") > 0, body)
     found = scan(docs, text, rules).withColumn("clean", clean)
     columns = []
