@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorewell.llm import decontamination, quality_rules, secret_scan, simhash_dedup
+from lorewell.llm import bpe, decontamination, quality_rules, secret_scan, simhash_dedup
 from lorewell.llm.common import table
 from lorewell.session import configure
 
@@ -43,7 +43,20 @@ def op8_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_decontamination, op7_quality_rules, op8_simhash_dedup)}
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public vocabulary files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_bpe(spark, sf_dir):
+    """Every document encoded and decoded again, as digests."""
+    found = bpe.digests(table(configure(spark), sf_dir, "documents"), vocabulary_path(), "text", ["doc_id"])
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_decontamination, op7_quality_rules, op8_simhash_dedup, op10_bpe)}
 
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
