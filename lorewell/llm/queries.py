@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorewell.llm import bpe, decontamination, quality_rules, secret_scan, simhash_dedup
-from lorewell.llm.common import table
+from lorewell.llm import bpe, decontamination, license_scan, quality_rules, secret_scan, simhash_dedup, toxicity
+from lorewell.llm.common import id_remainder, table
 from lorewell.session import configure
 
 
+def op2_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from labelled documents that are not held out."""
+    docs, labels = table(configure(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, id_remainder("doc_id") != 0)
+    found = toxicity.score(docs, model, "text", ["doc_id"])
+    return found.select(
+        "row.doc_id", (id_remainder(F.col("row.doc_id")) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op4_secret_scan(spark, sf_dir):
     """Secrets in every document."""
     found = secret_scan.scan(table(configure(spark), sf_dir, "documents"), "text", keep=["doc_id"])
@@ -43,6 +54,14 @@ def op8_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op9_license_scan(spark, sf_dir):
+    """License phrases and notices of every document."""
+    found = license_scan.scan(table(configure(spark), sf_dir, "documents"), "text", keep=["doc_id"])
+    return found.select(
+        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the public vocabulary files are installed."""
     import public_tokenizers
@@ -56,7 +75,9 @@ def op10_bpe(spark, sf_dir):
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_decontamination, op7_quality_rules, op8_simhash_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op2_toxicity, op4_secret_scan, op5_decontamination, op7_quality_rules, op8_simhash_dedup, op9_license_scan, op10_bpe,
+)}
 
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),

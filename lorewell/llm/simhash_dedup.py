@@ -336,6 +336,13 @@ def components(links: DataFrame, name: str = "simhash") -> DataFrame:
         before = mark
 
 
+def _classes(marked: DataFrame, distance: int, block: int) -> DataFrame:
+    """(fp, first, root) of the distinct fingerprints of (doc_id, fp): smallest doc_id, and smallest linked code."""
+    codes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-codes")
+    roots = components(edges(codes.select("fp"), distance, block))
+    return codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK,
@@ -345,11 +352,42 @@ def near_duplicates(
     marked = materialize(
         fingerprints(narrow, "text", ["doc_id"], shingle).select("row.doc_id", "fp"), "simhash-fingerprints"
     )
-    codes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-codes")
-    roots = components(edges(codes.select("fp"), distance, block))
-    grouped = codes.join(roots, codes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    grouped = _classes(marked, distance, block)
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = grouped.join(smallest, "root").select(F.col("fp").alias("code"), "component_id")
     return marked.join(classes, marked["fp"] == classes["code"]).select("doc_id", "fp", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK,
+) -> DataFrame:
+    """One document of each component, with its own columns: the smallest doc_id's (rows without id come last).
+
+    Fingerprints are computed a second time beside the kept rows, which is cheaper than storing the texts again.
+    """
+    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    marked = materialize(
+        fingerprints(narrow, "text", ["doc_id"], shingle).select("row.doc_id", "fp"), "simhash-fingerprints"
+    )
+    grouped = _classes(marked, distance, block)
+    best = F.min_by(F.struct(F.col("first").alias("id"), F.col("fp").alias("code")),
+                    F.struct(F.col("first").isNull(), "first", "fp"))
+    chosen = materialize(grouped.groupBy("root").agg(best.alias("b")).select("b.*"), "simhash-chosen")
+    rows = fingerprints(docs, text, None, shingle)
+    mine = F.col(f"row.`{doc_id}`")
+    kept = rows.join(chosen, (rows["fp"] == chosen["code"]) & mine.eqNullSafe(F.col("id")), "left_semi")
+    # only rows repeated under one id and fingerprint are left to tell apart
+    again = materialize(
+        marked.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+            F.col("doc_id").alias("again_id"), F.col("fp").alias("again_fp")
+        ),
+        "simhash-repeated",
+    )
+    if again.isEmpty():
+        return kept.select("row.*")
+    same = (F.col("fp") == F.col("again_fp")) & mine.eqNullSafe(F.col("again_id"))
+    body = F.col(f"row.`{text}`")
+    several = kept.join(again, same, "left_semi").groupBy(mine.alias("id"), "fp")
+    first = several.agg(F.min_by("row", F.struct(body.isNull(), body)).alias("row"))
+    return kept.join(again, same, "left_anti").select("row.*").unionByName(first.select("row.*"))
