@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorewell.llm import bpe, decontamination, license_scan, quality_rules, secret_scan, simhash_dedup, toxicity
+from lorewell.llm import (
+    bpe, chat_format, decontamination, license_scan, pii_spans, quality_rules, secret_scan, simhash_dedup, toxicity,
+)
 from lorewell.llm.common import id_remainder, table
 from lorewell.session import configure
 
 
+def op1_chat_format(spark, sf_dir):
+    """Maximal conversations, rendered."""
+    return chat_format.format_chats(table(configure(spark), sf_dir, "conversations"))
+
+
 def op2_toxicity(spark, sf_dir):
     """Toxicity of every document, learned from labelled documents that are not held out."""
     docs, labels = table(configure(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -20,6 +27,21 @@ def op2_toxicity(spark, sf_dir):
     )
 
 
+def op3_pii_spans(spark, sf_dir):
+    """Personal data in every document."""
+    found = pii_spans.spans(table(configure(spark), sf_dir, "documents"), "text", ["doc_id"])
+    kinds = pii_spans.BASE_KINDS
+    base = pii_spans.spans_text(F.filter("spans", lambda c: c["rank"] < len(kinds)))
+
+    def of_kind(rank):
+        return F.size(F.filter("spans", lambda c: c["rank"] == rank)).cast("bigint")
+
+    return found.select(
+        "row.doc_id", *[of_kind(i).alias(f"n_{k}") for i, k in enumerate(kinds)],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii_spans.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_secret_scan(spark, sf_dir):
     """Secrets in every document."""
     found = secret_scan.scan(table(configure(spark), sf_dir, "documents"), "text", keep=["doc_id"])
@@ -76,7 +98,7 @@ def op10_bpe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxicity, op4_secret_scan, op5_decontamination, op7_quality_rules, op8_simhash_dedup, op9_license_scan, op10_bpe,
+    op1_chat_format, op2_toxicity, op3_pii_spans, op4_secret_scan, op5_decontamination, op7_quality_rules, op8_simhash_dedup, op9_license_scan, op10_bpe,
 )}
 
 OP7_SQL = r"""
@@ -116,4 +138,19 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS
 FROM f
 """
 
-SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
+OP1_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM t
+),
+c AS (SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY pos) AS turns FROM p GROUP BY conv_id),
+reps AS (SELECT min(conv_id) AS conv_id, n_turns, turns FROM c GROUP BY n_turns, turns),
+proper AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM reps)),
+kept AS (SELECT * FROM reps WHERE NOT EXISTS (SELECT 1 FROM proper WHERE proper.turns = reps.turns))
+SELECT p.conv_id, kept.n_turns, CAST((p.pos - 1) // 256 AS BIGINT) AS part,
+  string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY pos) AS text
+FROM p JOIN kept ON p.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY p.conv_id, kept.n_turns, (p.pos - 1) // 256
+"""
+
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_quality_rules": OP7_SQL}
