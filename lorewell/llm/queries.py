@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorewell.llm import (
-    bpe, chat_format, decontamination, license_scan, pii_spans, quality_rules, secret_scan, simhash_dedup, toxicity,
+    bpe, chat_format, decontamination, license_scan, lm_scoring, pii_spans, quality_rules, secret_scan, simhash_dedup, toxicity,
 )
 from lorewell.llm.common import id_remainder, table
 from lorewell.session import configure
@@ -59,6 +59,13 @@ def op5_decontamination(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark, sf_dir):
+    """Unigram and attention-model scores of every document, learned from those that are not held out."""
+    docs = table(configure(spark), sf_dir, "documents")
+    found = lm_scoring.score(docs, docs.filter(id_remainder("doc_id") != 1), vocabulary_path())
+    return found.withColumn("held_out", id_remainder("doc_id") == 1)
+
+
 def op7_quality_rules(spark, sf_dir):
     """Measurements, failed rules and the production verdict of every document."""
     rows = quality_rules.ledger(table(configure(spark), sf_dir, "documents"), "text", ["doc_id"])
@@ -98,7 +105,7 @@ def op10_bpe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_format, op2_toxicity, op3_pii_spans, op4_secret_scan, op5_decontamination, op7_quality_rules, op8_simhash_dedup, op9_license_scan, op10_bpe,
+    op1_chat_format, op2_toxicity, op3_pii_spans, op4_secret_scan, op5_decontamination, op6_lm_scoring, op7_quality_rules, op8_simhash_dedup, op9_license_scan, op10_bpe,
 )}
 
 OP7_SQL = r"""
