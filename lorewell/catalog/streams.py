@@ -217,6 +217,46 @@ SQL["write_chunks"] = V.with_views(
 )
 
 
+def _changed_store(spark, d):
+    """A store whose sources of every third chunk owner moved to another user."""
+    store = K.ChunkStore(shared_dir(spark, "store"), user_buckets=4, source_buckets=2)
+    chunks = V.chunks(spark, d).drop("embedding")
+    store.write(chunks, 0)
+    moved = chunks.filter(F.substring("source", -1, 1).isin("0", "3", "6")).withColumn("user_id", F.lit("moved"))
+    store.update(moved, 1)
+    return store, chunks
+
+
+@query
+def store_user_change(spark, d):
+    """Documents handed in again by another user replace their chunks."""
+    store, chunks = _changed_store(spark, d)
+    return store.read(spark, chunks.schema).select("chunk_key", "source", "chunk_index", "user_id", "content")
+
+
+SQL["store_user_change"] = V.with_views(
+    "v_chunks",
+    """SELECT chunk_key, source, chunk_index, CASE WHEN right(source, 1) IN ('0', '3', '6') THEN 'moved' ELSE user_id END AS user_id,
+  content FROM v_chunks""",
+)
+
+
+@query
+def store_delete(spark, d):
+    """Deleted sources leave the store; compaction changes nothing."""
+    store, chunks = _changed_store(spark, d)
+    store.delete(chunks.select("source").filter(F.substring("source", -1, 1).isin("3", "5")), chunks.schema, 2)
+    store.compact(spark, chunks.schema, 3)
+    return store.read(spark, chunks.schema).select("chunk_key", "source", "chunk_index", "user_id", "content")
+
+
+SQL["store_delete"] = V.with_views(
+    "v_chunks",
+    """SELECT chunk_key, source, chunk_index, CASE WHEN right(source, 1) IN ('0', '3', '6') THEN 'moved' ELSE user_id END AS user_id,
+  content FROM v_chunks WHERE right(source, 1) NOT IN ('3', '5')""",
+)
+
+
 @query
 def publish_notes(spark, d):
     """Conversation rows as notes, published as message files and read as document events."""

@@ -27,22 +27,25 @@ def index_diff(incoming: DataFrame, current: DataFrame) -> DataFrame:
     op is `added`, `skipped` (same key already there), `deleted` (vanished from a source of the batch) or
     `untouched` (its source is not in the batch). Only keys and sources are read, never chunk texts.
     """
-    new = incoming.select("chunk_key", "source").dropDuplicates(["chunk_key"])
-    touched = incoming.select("source").distinct().withColumn("touched", F.lit(True))
-    old = lookup(current.select("chunk_key", "source"), touched, ["source"])
-    joined = new.alias("n").join(old.alias("o"), F.col("n.chunk_key") == F.col("o.chunk_key"), "full_outer")
-    in_new, in_old = F.col("n.chunk_key").isNotNull(), F.col("o.chunk_key").isNotNull()
-    op = (
-        F.when(in_new & in_old, "skipped")
-        .when(in_new, "added")
-        .when(F.col("o.touched"), "deleted")
-        .otherwise("untouched")
-    )
-    return joined.select(
-        F.coalesce("n.chunk_key", "o.chunk_key").alias("chunk_key"),
-        F.coalesce("n.source", "o.source").alias("source"),
-        op.alias("op"),
+    new = incoming.groupBy("chunk_key").agg(F.min("source").alias("source"))
+    touched = incoming.select("source").distinct()
+    stored = lookup(current.select("chunk_key", "source"), touched.withColumn("touched", F.lit(True)), ["source"])
+    old = stored.filter("touched").select(F.col("chunk_key").alias("old_key"), F.col("source").alias("old_source"))
+    joined = new.join(old, F.col("chunk_key") == F.col("old_key"), "full_outer")
+    op = F.when(F.col("old_key").isNull(), "added").when(F.col("chunk_key").isNull(), "deleted").otherwise("skipped")
+    changed = joined.select(
+        F.coalesce("chunk_key", "old_key").alias("chunk_key"), F.coalesce("source", "old_source").alias("source"), op.alias("op")
     )
+    untouched = stored.filter("touched IS NULL").select("chunk_key", "source", F.lit("untouched").alias("op"))
+    return changed.unionByName(untouched)
+
+
+def first_rows(chunks: DataFrame) -> DataFrame:
+    """One row per chunk_key: the one that comes first by source, position and content."""
+    others = [c for c in chunks.columns if c != "chunk_key"]
+    order = [c for c in ("source", "chunk_index", "content") if c in others]
+    first = F.min_by(F.struct(*others), F.struct(*order)).alias("r")
+    return chunks.groupBy("chunk_key").agg(first).select("chunk_key", "r.*").select(*chunks.columns)
 
 
 def apply_diff(incoming: DataFrame, current: DataFrame, diff: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def apply_diff(incoming: DataFrame, current: DataFrame, diff: DataFrame) -> Data
     deleted = diff.filter(F.col("op") == "deleted").select("chunk_key")
     added = diff.filter(F.col("op") == "added").select("chunk_key")
     kept = current.join(deleted, "chunk_key", "left_anti")
-    new = incoming.dropDuplicates(["chunk_key"]).join(added, "chunk_key", "left_semi")
+    new = first_rows(incoming).join(added, "chunk_key", "left_semi")
     return kept.unionByName(new)
 
 
