@@ -25,7 +25,7 @@ from lorewell.llm.common import per_text
 
 BITS = 20
 #: Bound of the training sample, in documents.
-MAX_ROWS = 40_000
+MAX_ROWS = 16_000
 #: Documents whose gradients are summed before an update, and passes over the sample.
 BATCH, EPOCHS = 64, 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.5
@@ -94,10 +94,10 @@ def train(offsets: np.ndarray, features: np.ndarray, label: np.ndarray, bits: in
     intercept, drift = float(np.log(prior / (1 - prior))), 1.0
     common = np.bincount(features, minlength=1 << bits) >= LEAST_DOCS
     kept = common[features]
-    offsets = np.concatenate(([0], np.cumsum(kept)))[offsets]
-    features = features[kept]
+    if not kept.all():
+        offsets, features = np.concatenate(([0], np.cumsum(kept)))[offsets], features[kept]
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    doc = np.repeat(np.arange(n_docs), np.diff(offsets))
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(offsets))
 
     def weights(i):
         return np.where(
@@ -144,13 +144,22 @@ def fit(
     ordered = packed.select(F.xxhash64("row.doc_id").alias("place"), "row.label", "features").repartition(1)
 
     def learn_all(batches):
-        sizes, flat, labels = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        flat, sizes, labels = [], [], [np.zeros(0)]
+        count = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             lists = batch.column("features")
+            found = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            count += np.bincount(found, minlength=1 << BITS).astype(np.int32)
+            flat.append(found)
             sizes.append(lists.value_lengths().to_numpy(zero_copy_only=False))
-            flat.append(lists.flatten().to_numpy(zero_copy_only=False))
             labels.append(batch.column("label").to_numpy(zero_copy_only=False))
-        model = train(np.cumsum(np.concatenate(sizes)), np.concatenate(flat), np.concatenate(labels).astype(float))
+        common, offsets = count >= LEAST_DOCS, [np.zeros(1, np.int64)]
+        for i, (found, size) in enumerate(zip(flat, sizes)):  # rare features go before anything is put together
+            kept = common[found]
+            flat[i] = found[kept]
+            offsets.append(offsets[-1][-1] + np.concatenate(([0], np.cumsum(kept)))[np.cumsum(size)])
+        features = np.concatenate([np.zeros(0, np.int32), *flat])
+        model = train(np.concatenate(offsets), features, np.concatenate(labels).astype(float))
         index = np.append(model.index, -1)  # the intercept under -1
         weight = np.append(model.weight.astype(float), model.intercept)
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(weight)], names=["i", "w"])
