@@ -235,10 +235,9 @@ SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS BIGINT) AS pos, unnest(ps)
 
 @query
 def group_propositions(spark, d):
-    """Statements of the semantic documents with their group number and its stable id."""
+    """Statements of all documents with their group number and its stable id."""
     t = V.texts(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("text"))
-    short = t.filter(F.length("text") <= K.STRUCTURED_OVER_CHARS)
-    grouped = short.select("doc_id", T.propositions(F.col("text")).alias("s")).withColumn("g", group_numbers(F.col("s")))
+    grouped = t.select("doc_id", T.propositions(F.col("text")).alias("s")).withColumn("g", group_numbers(F.col("s")))
     rows = grouped.select("doc_id", F.posexplode(F.arrays_zip("s", "g")).alias("pos", "x"))
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("x.g").cast("string"))
     return rows.select(

@@ -73,14 +73,27 @@ def fenced_block(c: Column) -> Column:
 
 
 def _broken(c: Column) -> Column:
-    """One statement per line; line breaks and blanks inside a list are held as control characters."""
-    held = F.regexp_replace(c, LIST_ITEM, "\x01$1\x02")
+    """One statement per line; line breaks and blanks inside a list are held as control characters.
+
+    Texts that hold these characters themselves get them spelled out first; `_statements` takes that back.
+    """
+    spelled = c
+    for mark, letter in (("\x03", "C"), ("\x01", "A"), ("\x02", "B")):
+        spelled = F.replace(spelled, F.lit(mark), F.lit("\x03" + letter))
+    plain = F.when(F.rlike(c, F.lit("[\x01-\x03]")), spelled).otherwise(c)
+    held = F.regexp_replace(plain, LIST_ITEM, "\x01$1\x02")
     return F.regexp_replace(held, SENTENCE_END, "$1\n")
 
 
 def _statements(lines: Column) -> Column:
-    restored = F.transform(lines, lambda s: strip(F.translate(s, "\x01\x02", "\n ")))
-    return F.filter(restored, lambda s: F.length(s) > 0)
+    def restored(s: Column) -> Column:
+        out = strip(F.translate(s, "\x01\x02", "\n "))
+        again = out
+        for mark, letter in (("\x01", "A"), ("\x02", "B"), ("\x03", "C")):
+            again = F.replace(again, F.lit("\x03" + letter), F.lit(mark))
+        return F.when(F.contains(out, F.lit("\x03")), again).otherwise(out)
+
+    return F.filter(F.transform(lines, restored), lambda s: F.length(s) > 0)
 
 
 def sentences(c: Column) -> Column:

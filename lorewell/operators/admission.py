@@ -19,18 +19,21 @@ def validate_files(
     allowed: list[str] = K.ALLOWED_EXTENSIONS,
     max_bytes: int = K.MAX_FILE_BYTES,
 ) -> DataFrame:
-    """Add `extension` and `error` (NULL when the file is admitted). One pass, no shuffle."""
-    ext = F.col("extension")
+    """Add `extension` and `error` (NULL when the file is admitted). One pass, no shuffle.
+
+    A file without a name has no extension and is refused.
+    """
+    ext, named = F.col("extension"), F.coalesce(F.col(name), F.lit(""))
     listed = "[" + ", ".join(f"'{e}'" for e in allowed) + "]"
     limit_mb = max_bytes / (1024 * 1024)
     error = (
         F.when(
             ~ext.isin(allowed),
-            F.concat(F.lit("Extensión no permitida: "), T.raw_extension(F.col(name)), F.lit(f". Permitidas: {listed}")),
+            F.concat(F.lit("Extensión no permitida: "), T.raw_extension(named), F.lit(f". Permitidas: {listed}")),
         )
         .when(F.col(size) > max_bytes, F.lit(f"El archivo excede el tamaño máximo de {limit_mb}MB"))
     )
-    return files.withColumn("extension", T.file_extension(F.col(name))).withColumn("error", error)
+    return files.withColumn("extension", T.file_extension(named)).withColumn("error", error)
 
 
 def content_hash(content: Column) -> Column:

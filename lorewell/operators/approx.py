@@ -13,6 +13,7 @@ from lorewell.functions.dates import strict_date
 from lorewell.functions.vectors import cosine, norm
 from lorewell.operators import retrieval as R
 from lorewell.operators.skew import top_per_key
+from lorewell.session import materialize
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,9 @@ def approx_topk(
     questions: DataFrame,
     chunks: DataFrame,
     n: Column | None = None,
-    limit: int = R.MAX_CANDIDATES,
+    limit: int | None = None,
     lsh: Projections | None = None,
+    exact_fallback: bool = True,
 ) -> DataFrame:
     """As `retrieval.vector_topk`, but only chunks sharing a bucket with the question are scored.
 
@@ -69,7 +71,7 @@ def approx_topk(
     Buckets of both sides meet in an equi-join whose small side is one block of questions; a pair that shares
     several buckets is scored in the first of them only, and the per-question limit runs before the shuffle,
     so a bucket with very many chunks streams through. Questions that end up with fewer than `n` hits are
-    answered by the exact search instead.
+    answered by the exact search instead, unless `exact_fallback` is off.
     """
     n = R.overfetch(F.col("k_results")) if n is None else n
     if lsh is None:
@@ -94,15 +96,19 @@ def approx_topk(
             "q.query_id", "c.chunk_key", "q.n",
             F.round(F.coalesce(cosine(F.col("c.embedding"), F.col("q.embedding")), F.lit(0.0)), R.DIGITS).alias("similarity"),
         )
+        most = limit or block.agg(F.max(n)).first()[0] or 1
         best = top_per_key(
-            pairs, ["query_id"], [F.col("similarity").desc(), F.col("chunk_key")], limit, "vector_rank"
+            pairs, ["query_id"], [F.col("similarity").desc(), F.col("chunk_key")], most, "vector_rank"
         ).filter(F.col("vector_rank") <= F.col("n"))
-        full = best.groupBy("query_id").agg(F.count("*").alias("found"), F.max("n").alias("n")).filter("found = n")
-        hits = best.join(full.select("query_id"), "query_id", "left_semi").select(
-            "query_id", "chunk_key", "similarity", "vector_rank"
-        )
-        short = block.join(full.select("query_id"), "query_id", "left_anti")
-        part = hits.unionByName(R.vector_topk(short, chunks, n, limit, one_block=True))
+        best = materialize(best, "approx")  # read three times below
+        hits = best.select("query_id", "chunk_key", "similarity", "vector_rank")
+        part = hits
+        if exact_fallback:
+            full = best.groupBy("query_id").agg(F.count("*").alias("found"), F.max("n").alias("n")).filter("found = n")
+            short = block.join(full.select("query_id"), "query_id", "left_anti")
+            part = hits.join(full.select("query_id"), "query_id", "left_semi").unionByName(
+                R.vector_topk(short, chunks, n, limit, one_block=True)
+            )
         result = part if result is None else result.unionByName(part)
     return result
 

@@ -24,7 +24,6 @@ from lorewell.operators.admission import download_path
 from lorewell.operators.skew import top_per_key
 from lorewell.session import shared_dir
 
-MAX_CANDIDATES = int(K.OVERFETCH * K.K_MAX)
 BLOCK_QUESTIONS = 4096
 DIGITS = 9  # similarities are compared after rounding, so that equal vectors tie everywhere
 QUESTION_SLICE = 256  # questions scored at a time against one batch of chunks
@@ -74,16 +73,18 @@ def overfetch(k: Column) -> Column:
 
 
 def question_blocks(questions: DataFrame, limit: int = BLOCK_QUESTIONS) -> list[DataFrame]:
-    """The questions in hash blocks, each checked to hold at most `limit` rows."""
-    if questions.limit(limit + 1).count() <= limit:
-        return [questions]
-    blocks = 2
-    while True:
+    """The questions in hash blocks, each checked to hold at most `limit` rows; every question needs an id of its own."""
+    n, ids = questions.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    if ids < n:
+        raise ValueError("query_id must be unique and not NULL")
+    blocks = -(-n // limit)
+    while blocks > 1:  # distinct ids spread over more and more blocks
         block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
         largest = questions.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0]
         if largest <= limit:
             return [questions.filter(block == b) for b in range(blocks)]
-        blocks *= -(-largest // limit)
+        blocks *= 2
+    return [questions]
 
 
 def _scan_filter(rows: list) -> Column | None:
@@ -101,7 +102,7 @@ def _scan_filter(rows: list) -> Column | None:
 
 
 class _Scorer:
-    """Scores Arrow batches of chunks against one block of questions and keeps the best rows of each batch."""
+    """Scores Arrow batches of chunks against one block of questions; a task keeps the best rows and emits them once."""
 
     def __init__(self, rows: list):
         matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
@@ -125,6 +126,7 @@ class _Scorer:
         return candidates[order[:n]]
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # per question at most its n best rows so far
         for batch in batches:
             if not len(batch):
                 continue
@@ -144,8 +146,7 @@ class _Scorer:
 
             for start in range(0, len(self.rows), self.slice):
                 scores = np.round(chunk_unit @ self.unit[start : start + self.slice].T, DIGITS)
-                ids, picked, values = [], [], []
-                for j, (query_id, user, since, source, doc_type, n) in enumerate(self.rows[start : start + self.slice]):
+                for j, (_, user, since, source, doc_type, n) in enumerate(self.rows[start : start + self.slice]):
                     allowed = np.ones(len(batch), dtype=bool)
                     if user is not None:
                         allowed &= equals("user_id", user)
@@ -157,20 +158,19 @@ class _Scorer:
                         allowed &= equals("doc_type", doc_type)
                     rows = np.flatnonzero(allowed)
                     best = rows[self._best(scores[rows, j], keys[rows], n)]
-                    ids.extend([query_id] * len(best))
-                    picked.append(best)
-                    values.append(scores[best, j])
-                chosen = np.concatenate(picked)
-                yield pd.DataFrame(
-                    {
-                        "query_id": ids,
-                        "chunk_key": batch["chunk_key"].to_numpy()[chosen],
-                        "similarity": np.concatenate(values),
-                    }
-                )
-
-
-def _topk_block(block: DataFrame, chunks: DataFrame, n: Column, limit: int) -> DataFrame:
+                    values, found = scores[best, j], keys[best]
+                    if start + j in held:
+                        values, found = np.concatenate((held[start + j][0], values)), np.concatenate((held[start + j][1], found))
+                        order = np.lexsort((found, -values))[:n]
+                        values, found = values[order], found[order]
+                    if len(values):
+                        held[start + j] = (values, found)
+        for number in sorted(held):
+            values, found = held[number]
+            yield pd.DataFrame({"query_id": [self.rows[number][0]] * len(values), "chunk_key": found, "similarity": values})
+
+
+def _topk_block(block: DataFrame, chunks: DataFrame, n: Column, limit: int | None) -> DataFrame:
     as_key = block.select(
         *QUESTION_COLUMNS[:6], F.unix_micros(strict_date(F.col("date_from"))).alias("from_us"),
         n.alias("n"), "embedding",
@@ -184,6 +184,7 @@ def _topk_block(block: DataFrame, chunks: DataFrame, n: Column, limit: int) -> D
     schema = f"query_id {types[0]['query_id']}, chunk_key {types[1]['chunk_key']}, similarity double"
     if not rows:
         return block.sparkSession.createDataFrame([], schema + ", vector_rank bigint")
+    limit = max(int(r["n"]) for r in rows) if limit is None else limit
     wanted = _scan_filter(rows)
     scanned = chunks if wanted is None else chunks.filter(wanted)
     scored = scanned.select(
@@ -207,13 +208,13 @@ def vector_topk(
     questions: DataFrame,
     chunks: DataFrame,
     n: Column | None = None,
-    limit: int = MAX_CANDIDATES,
+    limit: int | None = None,
     one_block: bool = False,
 ) -> DataFrame:
-    """The `n` (at most `limit`) most similar allowed chunks per question, ties by chunk key.
+    """The `n` most similar allowed chunks per question, ties by chunk key; `limit` caps `n` if it is given.
 
     Exact. Each block of questions goes to the tasks as one matrix; a task multiplies it with its own
-    chunks and keeps the best rows per batch, so the shuffle carries questions x batches x n small rows.
+    chunks and keeps each question's best rows, so the shuffle carries questions x tasks x n small rows.
     Output: query_id, chunk_key, similarity, vector_rank. `one_block`: the caller has checked the size.
     """
     n = overfetch(F.col("k_results")) if n is None else n

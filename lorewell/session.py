@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -46,7 +48,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        _local_folder = _local_folder or tempfile.mkdtemp(prefix="lorewell-")
+        if _local_folder is None:
+            _local_folder = tempfile.mkdtemp(prefix="lorewell-")
+            atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
         base = _local_folder
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

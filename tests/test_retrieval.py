@@ -209,3 +209,12 @@ def test_same_answer_with_kept_statistics(spark, many):
     plain = rows(P.retrieve(q, c, require_user=False))
     kept = rows(P.retrieve(q, c, require_user=False, statistics=R.index_statistics(c)))
     assert plain == kept
+
+
+def test_repeated_question_ids_are_refused(spark):
+    asked = spark.createDataFrame([("q",), ("q",), (None,)], "query_id string")
+    with pytest.raises(ValueError):
+        R.question_blocks(asked, 2)
+    many = spark.range(50).selectExpr("cast(id AS string) AS query_id")
+    blocks = R.question_blocks(many, 7)
+    assert sum(b.count() for b in blocks) == 50 and all(b.count() <= 7 for b in blocks)

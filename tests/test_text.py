@@ -252,3 +252,9 @@ def test_profile_sample(spark):
 def test_extract_text_replaces_bad_bytes(spark):
     df = spark.createDataFrame([("a.TXT", bytearray(b" ok \xff ")), ("b.pdf", bytearray(b"x"))], "filename string, content binary")
     assert rows(C.extract_text(df), "filename", "text") == [("a.TXT", "ok �"), ("b.pdf", None)]
+
+
+def test_control_characters_survive_statement_splitting(spark):
+    text = "a\x01b\x02c. d\x03e\x03A!\n- one. two\x01\n- three? \x02"
+    found = spark.createDataFrame([(text,)], "t string").select(T.propositions(F.col("t"))).first()[0]
+    assert found == ["a\x01b\x02c.", "d\x03e\x03A!\n- one.", "two\x01\n- three?", "\x02"]
