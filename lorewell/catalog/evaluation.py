@@ -54,10 +54,10 @@ contexts AS (SELECT * FROM found UNION ALL SELECT DISTINCT thread_id, 0, '{K.NO_
 SQL["retrieval_contexts"] = V.with_views("v_messages", f"WITH {_CONTEXTS} SELECT thread_id, seq, context FROM contexts")
 
 
-def _relevant_hits(spark, d):
+def _relevant_hits(spark, d, n=None):
     """Ranked hits, relevant when the chunk carries the question's label."""
     questions, chunks = S._valid(spark, d), V.chunks(spark, d)
-    hits = R.attach_chunks(R.vector_topk(questions, chunks), chunks)
+    hits = R.attach_chunks(R.vector_topk(questions, chunks, n), chunks)
     return hits.select(
         "query_id", F.col("vector_rank").alias("rank"), (F.col("label") == F.col("query_id")).alias("relevant"), "source"
     )
@@ -217,15 +217,15 @@ FROM documents"""
 
 @query
 def k_respected(spark, d):
-    """Hits for k = 2 to 7 of every question."""
-    hits = _relevant_hits(spark, d)
+    """Hits for k = 2 to 7 of every question, whatever number it asks for itself."""
+    hits = _relevant_hits(spark, d, F.lit(7))
     ks = F.explode(F.sequence(F.lit(2), F.lit(7))).alias("k")
     return E.k_respected(hits.select("query_id", "rank", "source", ks).filter(F.col("rank") <= F.col("k")))
 
 
 SQL["k_respected"] = V.with_views(
     S.VIEWS,
-    f"""WITH {S._VALID}, {S._candidates('cand', 'valid')},
+    f"""WITH {S._VALID}, {S._candidates('cand', 'valid', 'CAST(7 AS BIGINT)')},
 n AS (SELECT query_id, k, count(DISTINCT source) AS sources FROM cand JOIN (SELECT unnest([2, 3, 4, 5, 6, 7]) AS k) ON vector_rank <= k GROUP BY query_id, k)
 SELECT query_id, CAST(k AS BIGINT) AS k, sources, sources <= k AS within,
   sources >= coalesce(lag(sources) OVER (PARTITION BY query_id ORDER BY k), 0) AS not_fewer FROM n""",

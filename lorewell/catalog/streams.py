@@ -144,17 +144,21 @@ def _ingested(spark, d):
 
 @query
 def ingest_stream(spark, d):
-    """The whole stream; what became of every job: hash, user and number of chunks of the indexed ones."""
+    """The whole stream; what became of every message: its last state, and the size of what was indexed."""
     job = _ingested(spark, d)
-    jobs = job.jobs(spark)
-    counted = job.chunks(spark).groupBy(F.col("source").alias("doc_id")).agg(F.max("chunk_index").alias("last_index"))
-    return jobs.join(counted, "doc_id", "left").select(
-        "user_id", "file_hash", "status", F.col("last_index").isNotNull().alias("indexed")
+    last = job.job_events(spark).groupBy("doc_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("state"))
+    counted = job.chunks(spark).groupBy(F.col("source").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("chunk_index").alias("last_index")
     )
+    jobs = job.jobs(spark).select("doc_id", "user_id", "file_hash", "status")
+    joined = last.join(jobs, "doc_id", "left").join(counted, "doc_id", "left")
+    return joined.select("state", "user_id", "file_hash", "status", (F.col("n") == F.col("last_index") + 1).alias("complete"))
 
 
 SQL["ingest_stream"] = f"""WITH {_MESSAGES}
-SELECT DISTINCT lang AS user_id, sha256(text) AS file_hash, 'queued' AS status, true AS indexed FROM m WHERE problem IS NULL"""
+SELECT * FROM (SELECT DISTINCT 'indexed' AS state, lang AS user_id, sha256(text) AS file_hash, 'queued' AS status, true AS complete FROM m WHERE problem IS NULL)
+UNION ALL SELECT CASE WHEN retry_count < 3 THEN 'failed' ELSE 'dead' END, NULL, NULL, NULL, NULL FROM m WHERE problem IS NOT NULL AND problem <> 'badly formed hexadecimal UUID string'
+UNION ALL SELECT * FROM (SELECT CASE WHEN max_by(retry_count, n) < 3 THEN 'failed' ELSE 'dead' END, NULL, NULL, NULL, NULL FROM m WHERE problem = 'badly formed hexadecimal UUID string' HAVING count(*) > 0)"""
 
 
 @query

@@ -89,6 +89,10 @@ class ChunkStore:
         newest = changes.groupBy(*IDENTITY).agg(F.max_by(F.struct("live", "source"), "version").alias("n"))
         return newest.filter("n.live").select(*IDENTITY, "n.source")
 
+    def sources(self, spark: SparkSession, asked: DataFrame) -> DataFrame:
+        """Those of the asked sources (column source) that have chunks in the store."""
+        return self._live(spark, asked).select("source").distinct()
+
     def _publish(self, spark: SparkSession, version: int, kind: str, chunks: DataFrame, keys: DataFrame) -> None:
         """Write one version. `rebalance` sizes the files and splits a bucket that holds much more than the others."""
         placed = chunks.withColumn("user_bucket", self.bucket(F.col("user_id"), self.user_buckets))

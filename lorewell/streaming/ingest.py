@@ -26,7 +26,7 @@ from lorewell.streaming.tables import batch_writer, read_batches
 
 @dataclass
 class DocumentIngest:
-    """Settings and folders of one ingestion stream."""
+    """Settings and folders of one ingestion stream; `objects` is the folder that events by reference point into."""
 
     base: str
     topic: str = "raw-documents"
@@ -35,6 +35,7 @@ class DocumentIngest:
     user_buckets: int = 32
     source_buckets: int = 16
     allowed_delay_seconds: int | None = None
+    objects: str | None = None
 
     @property
     def jobs_path(self) -> str:
@@ -75,10 +76,40 @@ class DocumentIngest:
         latest = accepted.agg(F.max("ts")).first()[0]
         return None if latest is None else latest - timedelta(seconds=self.allowed_delay_seconds)
 
+    def with_objects(self, parsed: DataFrame) -> DataFrame:
+        """Events by reference (an object_name and no content) with the text of their object.
+
+        The names of one micro-batch are looked up one by one; the objects are read by the tasks. An object that is not
+        there is an error of the event.
+        """
+        spark = parsed.sparkSession
+        refers = F.col("content").isNull() & (F.length(F.coalesce("object_name", F.lit(""))) > 0) & F.col("error").isNull()
+        names = [r[0] for r in parsed.filter(refers).select("object_name").distinct().collect()]  # of one micro-batch
+        found = []
+        for name in names if self.objects else []:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.objects.rstrip('/')}/{name}")
+            system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            if system.exists(path):
+                found.append((name, system.makeQualified(path).toString()))
+        missing = F.when(refers & F.col("object_text").isNull(), F.concat(F.lit("FileNotFoundError: "), "object_name"))
+        if not found:
+            return parsed.withColumn("object_text", F.lit(None).cast("string")).withColumn(
+                "error", F.coalesce("error", missing)
+            ).drop("object_text")
+        listed = spark.createDataFrame(found, "ref string, path string")
+        files = spark.read.format("binaryFile").load([p for _, p in found])
+        texts = C.extract_text(files.join(listed, "path").withColumn("filename", F.col("ref"))).select("ref", F.col("text").alias("object_text"))
+        joined = parsed.join(texts, refers & (F.col("object_name") == F.col("ref")), "left")
+        return (
+            joined.withColumn("error", F.coalesce("error", missing))
+            .withColumn("content", F.coalesce("content", "object_text"))
+            .drop("ref", "object_text")
+        )
+
     def process(self, messages: DataFrame, batch_id: int) -> None:
         """One micro-batch. Reads the clock of the messages only, so a replay gives the same result."""
         spark = messages.sparkSession
-        parsed = E.parse_document_events(messages).withColumn("length", F.octet_length("content"))
+        parsed = self.with_objects(E.parse_document_events(messages)).withColumn("length", F.octet_length("content"))
         checked = A.validate_files(parsed.withColumnRenamed("error", "unreadable"), max_bytes=self.max_bytes)
         checked = checked.withColumn("error", F.coalesce("unreadable", "error")).drop("unreadable")
         watermark = None if self.allowed_delay_seconds is None else self.watermark(spark, batch_id)
@@ -126,11 +157,24 @@ class DocumentIngest:
             keyed = chunks.withColumn("chunk_key", chunk_key(F.col("content"), F.col("source"), F.col("chunk_index")))
             self.store.update(keyed, batch_id)
 
-        steps = F.posexplode(F.array(F.lit("received"), F.lit("queued"), F.lit("indexed"))).alias("step", "status")
-        events = queued.groupBy("doc_id").agg(F.max("timestamp").alias("ts")).select("doc_id", "ts", steps)
+        # what became of every message: only documents with chunks in the store are indexed
+        reached = self.store.sources(spark, queued.select(F.col("doc_id").alias("source")))
+        done = queued.groupBy("doc_id").agg(F.max("timestamp").alias("ts")).join(
+            reached.select(F.col("source").alias("doc_id"), F.lit(True).alias("reached")), "doc_id", "left"
+        )
+        last = F.when(F.col("reached"), "indexed").otherwise("failed")
+        problem = F.when(F.col("reached"), F.lit(None)).otherwise("no text to index")
+        over = F.col("retry_count") >= K.MAX_CONSUMER_RETRIES
+        refused = failed.groupBy("doc_id").agg(F.max_by(F.struct("timestamp", "error", "retry_count"), "timestamp").alias("f")).select(
+            "doc_id", F.col("f.timestamp").alias("ts"), F.col("f.error").alias("problem"), F.col("f.retry_count").alias("retry_count")
+        )
+        outcomes = done.select("doc_id", "ts", F.array(F.lit("received"), F.lit("queued"), last).alias("steps"), problem.alias("problem")).unionByName(
+            refused.select("doc_id", "ts", F.array(F.lit("received"), F.when(over, "dead").otherwise("failed")).alias("steps"), "problem")
+        )
+        events = outcomes.select("doc_id", "ts", "problem", F.size("steps").alias("n"), F.posexplode("steps").alias("step", "status"))
         batch_writer(self.events_path)(
             events.select(
-                "doc_id", "status", F.lit(None).cast("string").alias("error_msg"), "ts",
+                "doc_id", "status", F.when(F.col("step") == F.col("n") - 1, F.col("problem")).alias("error_msg"), "ts",
                 (F.lit(batch_id).cast("bigint") * 10 + F.col("step")).alias("seq"),
             ),
             batch_id,

@@ -185,3 +185,21 @@ def test_sql_names(spark):
     assert (made.s, made.f) == (df.select(T.slugify(F.col("t"))).first()[0], "{}")
     pieces = spark.sql("SELECT position, content FROM names_test, LATERAL split_structured(x, 8, 0) ORDER BY position")
     assert [tuple(r) for r in pieces.collect()] == [(0, "uno dos"), (1, "tres")]
+
+
+def test_events_by_reference(spark, inbox, tmp_path):
+    objects = tmp_path / "objects"
+    objects.mkdir()
+    (objects / "u a.txt").write_text("Texto por referencia. Segunda frase.")
+    by_name = lambda doc, name: {"doc_id": doc, "filename": "a.txt", "user_id": "u", "object_name": name}
+    put(inbox, "1.json", [
+        message(by_name(ID % 1, "u a.txt"), 0), message(by_name(ID % 2, "nothing.txt"), 1, retry=5),
+        message(event(ID % 3, "   "), 2), message(event(ID % 4, "Texto propio."), 3),
+    ])
+    job = DocumentIngest(str(tmp_path / "out"), user_buckets=2, source_buckets=2, objects=str(objects))
+    job.start(E.read_document_events(spark, str(inbox)), str(tmp_path / "cp")).awaitTermination()
+    texts = {r.source: r.content for r in job.chunks(spark).collect()}
+    assert set(texts) == {ID % 1, ID % 4} and "Texto por referencia." in texts[ID % 1]
+    states = {r.doc_id: (r.status, r.error_msg) for r in job.job_events(spark).collect() if r.status not in ("received", "queued")}
+    assert states[ID % 1] == ("indexed", None) and states[ID % 3] == ("failed", "no text to index")
+    assert states[ID % 2] == ("dead", "FileNotFoundError: nothing.txt")
