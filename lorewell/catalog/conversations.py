@@ -45,7 +45,7 @@ SQL["assemble_results"] = V.with_views(
     f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS nth FROM v_web_results),
 c AS (SELECT r.query_id, nth, '- Título: ' || coalesce(title, 'Sin título') || chr(10) || '  URL: ' || coalesce(link, '#') || chr(10) || '  Contenido: ' ||
    CASE WHEN nth <= 2 AND length(t.text) > 0 AND link <> '#' THEN '{K.WEB_PAGE_LABEL}' || t.text || '...'
-     ELSE '{K.WEB_SNIPPET_LABEL}' || substr(coalesce(snippet, ''), 1, 800) || '...' END AS item
+     ELSE '{K.WEB_SNIPPET_LABEL}' || coalesce(snippet, '') || '...' END AS item
   FROM r LEFT JOIN v_page_texts t ON r.link = t.url WHERE nth <= 4),
 a AS (SELECT query_id, 'Resultados de la Búsqueda Profunda Web:' || chr(10) || chr(10) || string_agg(item, chr(10) || chr(10) ORDER BY nth) AS answer FROM c GROUP BY query_id)
 SELECT page_id AS query_id, coalesce(answer, '{K.WEB_NOTHING}') AS answer FROM pages LEFT JOIN a ON page_id = a.query_id""",
@@ -303,8 +303,8 @@ def turn_steps(spark, d):
 
 SQL["turn_steps"] = V.with_views(
     "v_messages",
-    f"""WITH {_AUDITED}, {_bounds("audited")}, {_STEPS} SELECT thread_id, seq, id, name, CASE role WHEN 'ai' THEN 'Asistente (Plan): ' || substr(content, 1, 200)
-  WHEN 'tool' THEN 'Herramienta (' || coalesce(name, 'unknown') || '): ' || substr(content, 1, 200) END AS log_line FROM steps""",
+    f"""WITH {_AUDITED}, {_bounds("audited")}, {_STEPS} SELECT thread_id, seq, id, name, CASE role WHEN 'ai' THEN 'Asistente (Plan): ' || content
+  WHEN 'tool' THEN 'Herramienta (' || coalesce(name, 'unknown') || '): ' || content END AS log_line FROM steps""",
 )
 
 
@@ -317,7 +317,7 @@ SQL["summarize_turn"] = V.with_views(
     "v_messages",
     f"""WITH {_AUDITED}, {_bounds("audited")}, {_STEPS}, u AS (SELECT thread_id, name, min(seq) AS f FROM steps WHERE name IS NOT NULL GROUP BY ALL),
 t AS (SELECT thread_id, string_agg(name, ', ' ORDER BY f) AS tools FROM u GROUP BY thread_id)
-SELECT thread_id, substr(user_text, 1, 200) || ' → ' || coalesce(tools, '') || ' → ' || substr(answer, 1, 200) AS summary
+SELECT thread_id, user_text || ' → ' || coalesce(tools, '') || ' → ' || answer AS summary
 FROM b LEFT JOIN t USING (thread_id) WHERE last_user IS NOT NULL""",
 )
 
@@ -331,15 +331,13 @@ SQL["prune_turn"] = V.with_views(
     "v_messages", f"WITH {_AUDITED}, {_bounds("audited")}, {_STEPS} SELECT thread_id, seq, id FROM audited WHERE id NOT IN (SELECT id FROM steps)"
 )
 
-COLLAPSE_LIMIT = 1500
-
 
 @query
 def collapse_conversation(spark, d):
     m = V.messages(spark, d)
-    summaries = m.filter(F.col("role") == "tool").select("thread_id", "seq", F.substring("content", 1, 40).alias("summary"))
+    summaries = m.filter(F.col("role") == "tool").select("thread_id", "seq", F.col("content").alias("summary"))
     previous = m.filter(F.col("seq") == 0).select("thread_id", F.concat(F.lit("before: "), "id").alias("summary"))
-    return M.collapse_conversation(m, summaries, previous, limit=COLLAPSE_LIMIT)
+    return M.collapse_conversation(m, summaries, previous)
 
 
 _DUE = "due AS (SELECT * FROM b WHERE user_rows >= 4 AND last_user IS NOT NULL AND keep_answer IS NOT NULL)"
@@ -347,8 +345,8 @@ SQL["collapse_conversation"] = V.with_views(
     "v_messages",
     f"""WITH {_BOUNDS}, {_DUE}, l AS (SELECT thread_id, 0 AS part, seq, 'before: ' || id AS line FROM v_messages WHERE seq = 0
   UNION ALL SELECT m.thread_id, 1, seq, role || ': ' || content FROM v_messages m JOIN due USING (thread_id) WHERE seq <> last_user AND seq <> keep_answer
-  UNION ALL SELECT thread_id, 2, seq, 'Turno: ' || substr(content, 1, 40) FROM v_messages WHERE role = 'tool')
-SELECT thread_id, substr(string_agg(line, chr(10) ORDER BY part, seq), 1, {COLLAPSE_LIMIT}) AS summary FROM l
+  UNION ALL SELECT thread_id, 2, seq, 'Turno: ' || content FROM v_messages WHERE role = 'tool')
+SELECT thread_id, string_agg(line, chr(10) ORDER BY part, seq) AS summary FROM l
 WHERE thread_id IN (SELECT thread_id FROM due) GROUP BY thread_id""",
 )
 
@@ -386,7 +384,7 @@ SQL["planner_context"] = V.with_views(
    FROM (SELECT *, starts_with(content, '[SISTEMA]') AND thread_id % 2 = 0 AS s FROM v_messages)),
 s AS (SELECT thread_id, arg_min(content, seq) AS first FROM m WHERE role = 'system' GROUP BY thread_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq DESC) AS rn FROM m WHERE role = 'ai' AND len(tool_calls) = 0 AND length(content) > 0),
-a AS (SELECT thread_id, string_agg('  - ' || substr(content, 1, 300), chr(10) ORDER BY seq) AS answers FROM r WHERE rn <= 2 GROUP BY thread_id)
+a AS (SELECT thread_id, string_agg('  - ' || content, chr(10) ORDER BY seq) AS answers FROM r WHERE rn <= 2 GROUP BY thread_id)
 SELECT t.thread_id, coalesce('{K.PREVIOUS_SUMMARY}' || first, '{K.PREVIOUS_ANSWERS}' || chr(10) || answers, '{K.NO_CONVERSATION}') AS context
 FROM (SELECT DISTINCT thread_id FROM m) t LEFT JOIN s USING (thread_id) LEFT JOIN a USING (thread_id)""",
 )
@@ -514,7 +512,7 @@ _STATE = """state AS (SELECT thread_id, unnest(plan).tool AS tool, generate_subs
 
 
 def _used(source: str) -> str:
-    return f"""used AS (SELECT m.thread_id, m.name AS tool, replace(substr(arg_min(content, m.seq), 1, 100), chr(10), ' ') AS snippet
+    return f"""used AS (SELECT m.thread_id, m.name AS tool, replace(arg_min(content, m.seq), chr(10), ' ') AS snippet
   FROM {source} m JOIN f USING (thread_id) WHERE role = 'tool' AND (last_user IS NULL OR m.seq > last_user) GROUP BY m.thread_id, m.name),
 steps AS (SELECT s.thread_id, s.step, s.tool, s.done OR u.tool IS NOT NULL AS done, u.snippet FROM state s
   LEFT JOIN used u ON s.thread_id = u.thread_id AND s.tool = u.tool)"""

@@ -41,8 +41,6 @@ NOTHING_FOUND = "No encontré información relevante en la base de conocimientos
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 
 # --- web results -----------------------------------------------------------
-PAGE_CHARS = 4000
-SNIPPET_CHARS = 800
 WEB_RESULTS = 4
 WEB_FULL_PAGES = 2
 WEB_HEADER = "Resultados de la Búsqueda Profunda Web:\n\n"

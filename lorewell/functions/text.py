@@ -25,6 +25,11 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
 
+def leading(c: Column, chars: int | None) -> Column:
+    """The first `chars` characters; the whole text if that is None."""
+    return c if chars is None else F.substring(c, 1, chars)
+
+
 def is_blank(c: Column) -> Column:
     """True for NULL, empty and all-blank text."""
     return F.length(strip(F.coalesce(c, F.lit("")))) == 0

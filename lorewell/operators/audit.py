@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell import constants as K
-from lorewell.functions.text import contains_any, is_blank
+from lorewell.functions.text import contains_any, is_blank, leading
 from lorewell.operators.memory import current_turn, last_tool_batch, real_user
 from lorewell.operators.skew import ordered_concat
 from lorewell.operators.terms import term_recall
@@ -167,20 +167,20 @@ def grade_groundedness(
     return t.select("thread_id", "share", action.alias("action"))
 
 
-def used_tools(messages: DataFrame) -> DataFrame:
-    """(thread_id, tool, snippet): tools that answered in the current turn, with the start of their first output."""
+def used_tools(messages: DataFrame, chars: int | None = None) -> DataFrame:
+    """(thread_id, tool, snippet): tools that answered in the current turn, with their first output (or its start)."""
     rows = current_turn(messages).filter((F.col("role") == "tool") & F.col("name").isNotNull())
     return rows.groupBy("thread_id", F.col("name").alias("tool")).agg(
-        F.replace(F.substring(F.min_by(F.coalesce("content", F.lit("")), "seq"), 1, 100), F.lit("\n"), F.lit(" ")).alias("snippet")
+        F.replace(leading(F.min_by(F.coalesce("content", F.lit("")), "seq"), chars), F.lit("\n"), F.lit(" ")).alias("snippet")
     )
 
 
-def plan_steps(messages: DataFrame, turns: DataFrame) -> DataFrame:
+def plan_steps(messages: DataFrame, turns: DataFrame, chars: int | None = None) -> DataFrame:
     """(thread_id, step, tool, reason, done, snippet): a step is done iff its tool answered in this turn."""
     steps = turns.select("thread_id", F.posexplode("task_plan").alias("step", "s")).select(
         "thread_id", "step", "s.tool", "s.reason", "s.done"
     )
-    return steps.join(used_tools(messages), ["thread_id", "tool"], "left").select(
+    return steps.join(used_tools(messages, chars), ["thread_id", "tool"], "left").select(
         "thread_id", "step", "tool", "reason",
         (F.coalesce("done", F.lit(False)) | F.col("snippet").isNotNull()).alias("done"), "snippet",
     )

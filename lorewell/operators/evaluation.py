@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lorewell import constants as K
 from lorewell.functions.text import strip
 from lorewell.operators.audit import search_row
-from lorewell.operators.terms import DIGITS, count_cosine, term_recall, term_rows
+from lorewell.operators.skew import lookup
+from lorewell.operators.terms import DIGITS, count_cosine, distinct_words, term_recall
 
 
 def _cut_sources(text: Column) -> Column:
@@ -82,17 +83,16 @@ def chunk_quality(generated: DataFrame, golden: DataFrame) -> DataFrame:
 
     `generated`: case_id, chunk_no, content. `golden`: case_id, ideal_chunks ARRAY<STRING>, a handful.
     """
-    ideals = golden.select("case_id", F.posexplode("ideal_chunks").alias("ideal_no", "ideal"))
-    ideal_terms = term_rows(ideals, ["case_id", "ideal_no"], "ideal")
-    sizes = ideal_terms.groupBy("case_id", "ideal_no").agg(F.count("*").alias("n_terms"))
-    made = term_rows(generated, ["case_id", "chunk_no"], "content")
-    shared = (
-        ideal_terms.join(made, ["case_id", "term"])
-        .groupBy("case_id", "ideal_no", "chunk_no")
-        .agg(F.count("*").alias("shared"))
-        .groupBy("case_id", "ideal_no")
-        .agg(F.max("shared").alias("shared"))
+    ideals = golden.select("case_id", F.transform("ideal_chunks", distinct_words).alias("ideals"))
+    wanted = ideals.select("case_id", F.posexplode("ideals").alias("ideal_no", "terms")).filter(F.size("terms") > 0)
+    sizes = wanted.select("case_id", "ideal_no", F.size("terms").alias("n_terms"))
+    # every chunk is matched in its own row; only one number per ideal chunk is shuffled
+    met = lookup(generated.select("case_id", "content"), ideals, ["case_id"], "inner")
+    own = met.withColumn("own", distinct_words(F.col("content")))
+    matched = own.select(
+        "case_id", F.posexplode(F.transform("ideals", lambda i: F.size(F.array_intersect(i, F.col("own"))))).alias("ideal_no", "n")
     )
+    shared = matched.groupBy("case_id", "ideal_no").agg(F.max("n").alias("shared"))
     best = sizes.join(shared, ["case_id", "ideal_no"], "left")
     recall = F.coalesce(F.col("shared") / F.col("n_terms"), F.lit(0.0))
     return best.groupBy("case_id").agg(F.round(F.avg(recall), DIGITS).alias("chunk_quality"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell import constants as K
+from lorewell.functions.text import leading
 from lorewell.operators.skew import lookup, ordered_concat, running_total, top_per_key
 
 
@@ -99,10 +100,11 @@ def turn_bounds(messages: DataFrame) -> DataFrame:
     )
 
 
-def turn_steps(messages: DataFrame) -> DataFrame:
+def turn_steps(messages: DataFrame, chars: int | None = None) -> DataFrame:
     """The rows between the last real user row and the final answer: the rows a summary replaces.
 
-    `log_line` is the role label with the first 200 characters, NULL for rows that are not logged.
+    `log_line` is the role label with the text (its first `chars` characters, if given), NULL for rows that are not
+    logged.
     """
     bounds = turn_bounds(messages).select("thread_id", "last_user", "last_row")
     between = lookup(messages, bounds, ["thread_id"], "inner").filter(
@@ -111,19 +113,19 @@ def turn_steps(messages: DataFrame) -> DataFrame:
     label = F.when(F.col("role") == "ai", "Asistente (Plan)").when(
         F.col("role") == "tool", F.concat(F.lit("Herramienta ("), F.coalesce("name", F.lit("unknown")), F.lit(")"))
     )
-    line = F.concat(label, F.lit(": "), F.substring(F.coalesce("content", F.lit("")), 1, 200))
+    line = F.concat(label, F.lit(": "), leading(F.coalesce("content", F.lit("")), chars))
     return between.select("thread_id", "seq", "id", "name", line.alias("log_line"))
 
 
-def summarize_turn(messages: DataFrame) -> DataFrame:
-    """(thread_id, summary): start of the question, tools used in order of first use, start of the answer."""
+def summarize_turn(messages: DataFrame, chars: int | None = None) -> DataFrame:
+    """(thread_id, summary): the question, tools used in order of first use, the answer; `chars` shortens both texts."""
     steps = turn_steps(messages).filter(F.col("name").isNotNull())
     first_use = steps.groupBy("thread_id", "name").agg(F.min("seq").alias("first_seq"))
     tools = ordered_concat(first_use, ["thread_id"], "first_seq", F.col("name"), ", ", "tools")
     joined = turn_bounds(messages).join(tools, "thread_id", "left")
     summary = F.concat(
-        F.substring("user_text", 1, 200), F.lit(" → "), F.coalesce("tools", F.lit("")), F.lit(" → "),
-        F.substring("answer", 1, 200),
+        leading(F.col("user_text"), chars), F.lit(" → "), F.coalesce("tools", F.lit("")), F.lit(" → "),
+        leading(F.col("answer"), chars),
     )
     return joined.select("thread_id", summary.alias("summary"))
 
@@ -154,13 +156,13 @@ def collapse_conversation(
     messages: DataFrame,
     run_summaries: DataFrame | None = None,
     previous: DataFrame | None = None,
-    limit: int = 4000,
+    limit: int | None = None,
     min_user_rows: int = K.COLLAPSE_AT_USER_ROWS,
 ) -> DataFrame:
     """(thread_id, summary): one text in place of the folded rows of each due thread.
 
     Previous summary, folded rows as `role: content` lines and run summaries as `Turno: ` lines, in that
-    order, up to `limit` characters. Lines beyond the limit are left out before anything is gathered, so
+    order. With `limit`, up to that many characters: lines beyond it are left out before anything is gathered, so
     the text of one thread is never larger than `limit` wherever it is put together.
     """
     plan = collapse_plan(messages, min_user_rows)
@@ -187,6 +189,8 @@ def collapse_conversation(
     # one whole number that orders the three parts of a thread
     span = 1 << 40
     ordered = lines.withColumn("pos", F.col("part") * F.lit(span) + F.col("seq"))
+    if limit is None:
+        return ordered_concat(ordered, ["thread_id"], "pos", F.col("line"), "\n", "summary")
     sized = running_total(ordered, ["thread_id"], "pos", F.length("line") + 1, "until")
     short = sized.filter(F.col("until") - F.length("line") - 1 < limit)
     joined = ordered_concat(short, ["thread_id"], "pos", F.substring("line", 1, limit), "\n", "summary", block=span)
@@ -200,8 +204,8 @@ def collapsed_messages(messages: DataFrame, min_user_rows: int = K.COLLAPSE_AT_U
     return joined.filter(keep).drop("keep_user", "keep_answer")
 
 
-def planner_context(messages: DataFrame) -> DataFrame:
-    """(thread_id, context): the stored summary, else the last two plain answers, else the fixed text."""
+def planner_context(messages: DataFrame, chars: int | None = None) -> DataFrame:
+    """(thread_id, context): the stored summary, else the last two plain answers (shortened to `chars`), else the fixed text."""
     stored = (F.col("role") == "system") & F.startswith(F.coalesce("content", F.lit("")), F.lit(K.SUMMARY_PREFIX))
     threads = messages.groupBy("thread_id").agg(
         F.min_by("content", F.when(stored, F.col("seq"))).alias("first_summary")
@@ -209,7 +213,7 @@ def planner_context(messages: DataFrame) -> DataFrame:
     answers = messages.filter(plain_answer() & (F.length(F.coalesce("content", F.lit(""))) > 0))
     recent = top_per_key(answers, ["thread_id"], [F.col("seq").desc()], 2, "nth")
     previews = F.array_sort(
-        F.collect_list(F.struct("seq", F.concat(F.lit("  - "), F.substring("content", 1, 300)).alias("line")))
+        F.collect_list(F.struct("seq", F.concat(F.lit("  - "), leading(F.col("content"), chars)).alias("line")))
     )
     listed = recent.groupBy("thread_id").agg(
         F.concat(F.lit(K.PREVIOUS_ANSWERS + "\n"), F.array_join(F.transform(previews, lambda p: p["line"]), "\n")).alias("answers")

@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from lorewell import constants as K
 from lorewell.functions.html import paragraphs
+from lorewell.functions.text import leading
 from lorewell.operators.skew import lookup, top_per_key
 
 
-def page_paragraphs(pages: DataFrame, html: str = "html", limit: int | None = K.PAGE_CHARS) -> DataFrame:
-    """Pages (url, html) with `text`, the text of their paragraphs."""
+def page_paragraphs(pages: DataFrame, html: str = "html", limit: int | None = None) -> DataFrame:
+    """Pages (url, html) with `text`, the text of their paragraphs; `limit` shortens it."""
     return pages.withColumn("text", paragraphs(F.col(html), limit)).drop(html)
 
 
-def assemble_results(results: DataFrame, page_texts: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+def assemble_results(
+    results: DataFrame, page_texts: DataFrame, questions: DataFrame | None = None, snippet_chars: int | None = None
+) -> DataFrame:
     """(query_id, answer): the first four results of each question as one text.
 
     `results`: query_id, position, title, link, snippet. `page_texts`: url, text, one row per url. The first
     two results show their page's text when there is one, the others their snippet. With `questions`, those
-    without any result get the fixed text.
+    without any result get the fixed text. `snippet_chars` shortens the snippets.
     """
     few = top_per_key(
         results, ["query_id"], [F.col("position"), F.col("link"), F.col("title")], K.WEB_RESULTS, "nth"
@@ -31,7 +34,7 @@ def assemble_results(results: DataFrame, page_texts: DataFrame, questions: DataF
         has_page, F.concat(F.lit(K.WEB_PAGE_LABEL), "text", F.lit("..."))
     ).otherwise(
         F.concat(
-            F.lit(K.WEB_SNIPPET_LABEL), F.substring(F.coalesce("snippet", F.lit("")), 1, K.SNIPPET_CHARS), F.lit("...")
+            F.lit(K.WEB_SNIPPET_LABEL), leading(F.coalesce("snippet", F.lit("")), snippet_chars), F.lit("...")
         )
     )
     item = F.concat(

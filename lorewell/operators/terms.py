@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import words
+from lorewell.operators.skew import lookup
 
 DIGITS = 9
 
 
-def term_rows(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Distinct (keys, term) of a table of texts, combined before the shuffle."""
-    return texts.select(*keys, F.explode(F.array_distinct(words(F.col(text)))).alias("term")).distinct()
+def distinct_words(text: Column) -> Column:
+    """The distinct words of a text; none for NULL."""
+    return F.coalesce(F.array_distinct(words(text)), F.array().cast("array<string>"))
 
 
 def term_recall(
@@ -22,13 +23,16 @@ def term_recall(
 ) -> DataFrame:
     """Per key: share of the distinct words of the wanted texts that occur in any given text.
 
-    Keys whose wanted texts have no word are absent. Both sides hold one row per (key, term), so a key with
-    very many rows is spread over its terms.
+    Keys whose wanted texts have no word are absent. Given texts are matched row by row against their key's wanted words
+    (a set no larger than the vocabulary of one key's wanted texts); only the words found are shuffled.
     """
-    asked = term_rows(wanted, keys, wanted_text)
-    held = term_rows(given, keys, given_text).withColumn("held", F.lit(1.0))
-    joined = asked.join(held, [*keys, "term"], "left")
-    return joined.groupBy(*keys).agg(F.round(F.avg(F.coalesce("held", F.lit(0.0))), DIGITS).alias(out))
+    terms = wanted.select(*keys, F.explode(distinct_words(F.col(wanted_text))).alias("term"))
+    asked = terms.groupBy(*keys).agg(F.collect_set("term").alias("asked"))
+    met = lookup(given.select(*keys, F.col(given_text).alias("__text")), asked, list(keys), "inner")
+    found = met.select(*keys, F.explode(F.array_intersect("asked", distinct_words(F.col("__text")))).alias("term"))
+    hits = found.groupBy(*keys, "term").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("one").alias("hits"))
+    joined = lookup(asked.select(*keys, F.size("asked").alias("size")), hits, list(keys))
+    return joined.select(*keys, F.round(F.coalesce("hits", F.lit(0)) / F.col("size"), DIGITS).alias(out))
 
 
 def count_cosine(texts: DataFrame, keys: Sequence[str], left: str, right: str, out: str) -> DataFrame:

@@ -85,11 +85,12 @@ def test_summarize_turn(spark):
          (TOOL, "n", "save_note_to_knowledge_base"), (TOOL, "w", "web_search"), (AI, "fin")],
         [(AI, "sin usuario")],
     )
-    summary = M.summarize_turn(m).collect()
+    assert M.summarize_turn(m).first().summary.startswith("q" * 300 + " → ")
+    summary = M.summarize_turn(m, 200).collect()
     assert [(r.thread_id, r.summary) for r in summary] == [
         ("t0", "q" * 200 + " → web_search, save_note_to_knowledge_base → fin")
     ]
-    lines = [r.log_line for r in M.turn_steps(m).orderBy("seq").collect()]
+    lines = [r.log_line for r in M.turn_steps(m, 200).orderBy("seq").collect()]
     assert lines[0] == "Asistente (Plan): plan" and lines[1] == "Herramienta (web_search): " + "z" * 200
     assert rows(M.prune_turn(m).filter("thread_id = 't0'"), "seq") == [(0,), (1,), (2,), (7,)]
 
@@ -117,7 +118,8 @@ def test_planner_context(spark):
         [(AI, "1"), (AI, "2" * 400), (AI, ""), (AI, "llama", ["web_search"]), (AI, "3")],
         [(H, "q")],
     )
-    got = {r.thread_id: r.context for r in M.planner_context(m).collect()}
+    assert "2" * 400 in {r.thread_id: r.context for r in M.planner_context(m).collect()}["t1"]
+    got = {r.thread_id: r.context for r in M.planner_context(m, 300).collect()}
     assert got["t0"] == f"{K.PREVIOUS_SUMMARY}{K.SUMMARY_PREFIX} s"
     assert got["t1"] == f"{K.PREVIOUS_ANSWERS}\n  - {'2' * 300}\n  - 3"
     assert got["t2"] == K.NO_CONVERSATION
@@ -194,7 +196,7 @@ def test_plan(spark):
     )
     got = {r.thread_id: (r.verdict, r.pending) for r in A.plan_completion(m, state).collect()}
     assert got == {"t0": ("ok", ""), "t1": ("retry", "web_search, x"), "t2": ("give_up", "web_search"), "t3": ("ok", "")}
-    snippets = {r.thread_id: r.snippet for r in A.used_tools(m).collect()}
+    snippets = {r.thread_id: r.snippet for r in A.used_tools(m, 100).collect()}
     assert snippets == {"t0": "sal ida" + "x" * 93}
     declined = {r.thread_id: (r.declined, r.nudge) for r in A.declined_without_search(m, state).collect()}
     assert declined == {"t0": (False, False), "t1": (True, True), "t2": (True, False), "t3": (False, False)}
@@ -286,7 +288,7 @@ def test_web_results(spark):
     )
     texts = spark.createDataFrame([("http://a", "página"), ("http://c", "")], "url string, text string")
     q = spark.createDataFrame([(1,), (2,)], "query_id int")
-    got = {x.query_id: x.answer for x in P.assemble_results(r, texts, q).collect()}
+    got = {x.query_id: x.answer for x in P.assemble_results(r, texts, q, 800).collect()}
     items = got[1].removeprefix(K.WEB_HEADER).split("\n\n")
     assert items[0] == "- Título: T\n  URL: http://a\n  Contenido: [CONTENIDO EXTRAÍDO DE LA PÁGINA]: página..."
     assert items[1] == f"- Título: Sin título\n  URL: #\n  Contenido: [SNIPPET RESUMEN]: {'A' * 800}..."
