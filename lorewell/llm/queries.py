@@ -160,4 +160,92 @@ SELECT p.conv_id, kept.n_turns, CAST((p.pos - 1) // 256 AS BIGINT) AS part,
 FROM p JOIN kept ON p.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY p.conv_id, kept.n_turns, (p.pos - 1) // 256
 """
 
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_quality_rules": OP7_SQL}
+_SECRETS = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']{0,1}[ ]*[:=][ ]*["']{0,1}([0-9A-Za-z=._/+-]+)""", 2, 12),
+    ("access", "AKIA[0-9A-Z]+", 0, 18), ("hex", "[a-f0-9]+", 0, 16), ("github", "gh[oprsu]_[0-9A-Za-z]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[0-9A-Za-z-]{10,}", 0, 0), ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", 0, 0), ("pem", "-----BEGIN [ A-Z]*PRIVATE KEY-----", 0, 0),
+    ("jwt", "eyJ[0-9A-Za-z_-]{8,}[.]eyJ[0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]{8,}", 0, 0),
+]
+
+
+def _secret_rule(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT r, {rank} AS rank, '{kind}' AS kind, {least} AS least, generate_subscripts(hits, 1) AS i,
+    unnest(list_transform(gaps[1:len(hits)], lambda x: length(x))) AS gap, unnest(list_transform(hits, lambda x: length(x))) AS len,
+    unnest(list_transform(parts, lambda x: length(x))) AS part
+  FROM (SELECT r, string_split_regex(text, {quoted}) AS gaps, regexp_extract_all(text, {quoted}) AS hits,
+    regexp_extract_all(text, {quoted}, {group}) AS parts FROM d WHERE regexp_matches(text, {quoted}))"""
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+u AS ({" UNION ALL ".join(_secret_rule(i, *rule) for i, rule in enumerate(_SECRETS))}),
+s AS (SELECT *, CAST(sum(gap + len) OVER (PARTITION BY r, rank ORDER BY i) AS BIGINT) AS e FROM u),
+a AS (
+  SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(kind || ':' || (e - len) || ':' || e, ',' ORDER BY e - len, rank) FILTER (rank < 3) AS base,
+    string_agg(kind || ':' || (e - len) || ':' || e, ',' ORDER BY e - len, rank) AS spans
+  FROM s WHERE part >= least GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
+"""
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT row_number() OVER () AS no, label, list_distinct(string_split(words, ' ')) AS tw FROM (VALUES
+  ('mit', 'released under the mit license'),
+  ('mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software'),
+  ('apache', 'licensed under the apache license version 2 0'),
+  ('gpl', 'this work is licensed under the gnu general public license version 3'),
+  ('gpl', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license'),
+  ('lgpl', 'licensed under the gnu lesser general public license'),
+  ('agpl', 'licensed under the gnu affero general public license'),
+  ('cc-by', 'licensed under cc by 4 0'), ('cc-by-nc', 'licensed under cc by nc 4 0'), ('cc-by-sa', 'licensed under cc by sa 4 0'),
+  ('cc0', 'to the extent possible under law the author has waived all copyright and related rights to this work'),
+  ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted'),
+  ('mpl', 'this source code form is subject to the terms of the mozilla public license'),
+  ('isc', 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted'),
+  ('unlicense', 'this is free and unencumbered software released into the public domain')) v(label, words)
+),
+part AS (
+  SELECT x.no AS small, y.no AS large FROM t x, t y
+  WHERE len(x.tw) < len(y.tw) AND len(list_intersect(x.tw, y.tw)) = len(x.tw)
+),
+w AS (SELECT r, doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS ws FROM d),
+p AS (
+  SELECT r, i - 1 AS place, CASE WHEN ws[i] = 'mit' THEN 'mit' WHEN ws[i] = 'apache' THEN 'apache' ELSE 'gpl' END AS label
+  FROM (SELECT r, ws, generate_subscripts(ws, 1) AS i FROM w)
+  WHERE (ws[i] IN ('mit', 'apache') AND ws[i + 1] = 'license') OR (ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license')
+),
+b AS (
+  SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM p GROUP BY r
+),
+ln AS (SELECT r, row_number() OVER () AS line, text FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d)),
+lw AS (SELECT r, line, list_distinct(regexp_extract_all({_LOWER}, {_WORDS})) AS own FROM ln),
+hit AS (
+  SELECT r, line, no, label, len(list_intersect(own, tw)) / len(tw) AS share FROM lw, t
+  WHERE len(list_intersect(own, tw)) >= 0.8 * len(tw) - 0.000000001
+),
+told AS (
+  SELECT r, label FROM p UNION
+  SELECT r, label FROM hit h WHERE NOT EXISTS (
+    SELECT 1 FROM part JOIN hit o ON o.no = part.large WHERE part.small = h.no AND o.line = h.line)
+),
+l AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM told GROUP BY r),
+top AS (SELECT r, max(share) AS share FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM w LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN top USING (r)
+"""
+
+SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL, "op4_secret_scan": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_license_scan": OP9_SQL,
+}
