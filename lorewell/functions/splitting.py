@@ -25,8 +25,6 @@ _PATTERNS = [re.compile(p) for p in BOUNDARIES]
 
 
 def _pieces(text: str, level: int) -> list[str]:
-    if level == len(_PATTERNS):
-        return list(text)
     starts = [m.start() for m in _PATTERNS[level].finditer(text)]
     edges = [0, *starts, len(text)]
     return [text[a:b] for a, b in zip(edges, edges[1:]) if a < b]
@@ -47,12 +45,22 @@ def _pack(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
         yield "".join(window)
 
 
+def _cut(text: str, size: int, overlap: int) -> Iterator[str]:
+    """Windows of `size` code points over a text without boundaries, each repeating the last `overlap`."""
+    overlap = min(overlap, size - 1)
+    for start in range(0, max(len(text) - overlap, 1), size - overlap):
+        yield text[start : start + size]
+
+
 def _split(text: str, level: int, size: int, overlap: int) -> Iterator[str]:
     while level < len(_PATTERNS) and not _PATTERNS[level].search(text):
         level += 1
+    if level == len(_PATTERNS):
+        yield from _cut(text, size, overlap) if text else ()
+        return
     fitting: list[str] = []
     for piece in _pieces(text, level):
-        if len(piece) < size or level == len(_PATTERNS):
+        if len(piece) < size:
             fitting.append(piece)
             continue
         yield from _pack(fitting, size, overlap)

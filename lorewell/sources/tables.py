@@ -7,15 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from lorewell import schemas as S
 
 
-def scan_tables(spark: SparkSession, location: str, jdbc: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def scan_tables(
+    spark: SparkSession, location: str, jdbc: dict[str, dict[str, str]] | None = None
+) -> dict[str, DataFrame]:
     """The five stored tables by name, from parquet below `location`, or over JDBC when options are given.
 
-    JDBC options should name a partition column with its bounds, so that the read is split.
+    JDBC options are given per table, since the tables have different columns to split the read by: each must name
+    `partitionColumn`, `lowerBound`, `upperBound` and `numPartitions`. The key "" holds options common to all.
     """
     if jdbc:
-        return {
-            name: spark.read.format("jdbc").options(url=location, dbtable=name, **jdbc).load() for name in S.TABLES
-        }
+        out = {}
+        for name in S.TABLES:
+            options = {**jdbc.get("", {}), **jdbc.get(name, {})}
+            missing = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"} - set(options)
+            if missing:
+                raise ValueError(f"{name}: without {', '.join(sorted(missing))} one task would read the whole table")
+            out[name] = spark.read.format("jdbc").options(url=location, dbtable=name, **options).load()
+        return out
     return {name: spark.read.schema(schema).parquet(f"{location}/{name}") for name, schema in S.TABLES.items()}
 
 

@@ -246,6 +246,8 @@ def test_scan_tables_and_golden(spark, tmp_path):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
     found = tables.scan_tables(spark, str(tmp_path))
     assert set(found) == {"jobs", "chats", "messages", "feedback", "records"} and found["jobs"].count() == 0
+    with pytest.raises(ValueError, match="jobs"):
+        tables.scan_tables(spark, "jdbc:none", {"": {"driver": "none"}})
     case = tmp_path / "golden.json"
     case.write_text('[{"name": "t", "category": "general", "raw_text": "x", "ideal_chunks": ["x", "y"], "eval_query": "q", "expected_answer": "a"}]')
     assert tables.scan_golden(spark, str(case)).first().ideal_chunks == ["x", "y"]
