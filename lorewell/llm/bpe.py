@@ -48,7 +48,8 @@ def gather(offsets: np.ndarray, values: np.ndarray, index: np.ndarray) -> tuple[
     """(offsets, values) of the lists `index` of a ragged array."""
     size = (offsets[1:] - offsets[:-1])[index]
     out = np.concatenate(([0], np.cumsum(size)))
-    at = np.arange(int(out[-1]), dtype=np.int64) + np.repeat(offsets[:-1][index] - out[:-1], size)
+    at = np.repeat(offsets[:-1][index] - out[:-1], size)
+    at += np.arange(int(out[-1]))
     return out, values[at]
 
 
