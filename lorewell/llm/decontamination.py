@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-grams seed candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: shared n-grams seed candidate passages, Smith-Waterman alignment scores them.
 
 1. Test items are cut in passages of at most `PASSAGE` words (overlapping by half; most items are one passage). Passages
    are handled in blocks of a bounded number of words; a block is what is broadcast, whatever the number of items.
-2. A first pass counts in how many documents each n-gram of the block occurs. The rarer half of a passage's n-grams
-   (and any that occurs in at most `RARE` documents) are its seeds, so a passage always keeps seeds, however often
-   it leaked.
-3. A second pass joins document passages with test passages on the seeds, by diagonals, and aligns each joined pair in
+2. Every n-gram of a passage is a seed, however many documents hold it, so what is found in a document depends on that
+   document and the item alone.
+3. One pass joins document passages with test passages on the seeds, by diagonals, and aligns each joined pair in
    the task that holds the text: match 2, mismatch and gap -1, on words. `score` is the alignment's share of a full
    match, so that edited or paraphrased copies are found as well as exact ones.
 
@@ -16,7 +15,7 @@ copies; repeated rows and NULL ids give rows like any other, one per (doc_id, it
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +30,14 @@ NGRAM = 3
 PASSAGE = 128
 #: Words of one broadcast block of passages; also keeps n-gram keys below 2**63.
 BLOCK_WORDS = 500_000
-RARE = 20
 THRESHOLD = 0.5
 SHORT = 8
 #: Joined pairs share one window per this many diagonals, with this many words of slack for insertions.
 BAND, SLACK = 32, 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 ALIGN_STEP = 2048
+#: Joined places held at once (one n-gram's places may be more).
+JOIN_STEP = 1 << 20
 
 
 @dataclass
@@ -84,23 +84,6 @@ class Passages:
         found = self.grams[place] == key
         return inside[found], place[found]
 
-    def seeded(self, documents: np.ndarray) -> Passages:
-        """The block with the places of its seeds only, given the number of documents with each n-gram."""
-        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.post_first))
-        count = documents[gram]
-        order = np.lexsort((count, self.post_passage))
-        begin = np.searchsorted(self.post_passage[order], np.arange(len(self.first)))
-        size = np.diff(begin)
-        middle = np.zeros(len(size), np.int64)
-        having = size > 0
-        middle[having] = count[order][begin[:-1][having] + (size[having] - 1) // 2]
-        seed = count <= np.maximum(RARE, middle[self.post_passage])
-        kept, start = np.unique(gram[seed], return_index=True)
-        return replace(
-            self, grams=self.grams[kept], post_first=np.append(start, int(seed.sum())),
-            post_passage=self.post_passage[seed], post_at=self.post_at[seed],
-        )
-
 
 def _keys(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     key = np.zeros(len(at), np.int64)
@@ -132,12 +115,22 @@ def _candidates(block: Passages, w: words.Words, ids: np.ndarray):
     """(text, passage, first word of the window) of the joined pairs, without repeats."""
     at, gram = block.occurrences(w, ids)
     n = np.diff(block.post_first)[gram]
-    post = np.repeat(block.post_first[:-1][gram] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    at = np.repeat(at, n)
-    text, passage = w.text[at], block.post_passage[post]
-    band = (at - w.first[text] - block.post_at[post]) // BAND
-    keys = np.unique(np.stack((text, passage, band), axis=1), axis=0) if len(text) else np.zeros((0, 3), np.int64)
-    return keys[:, 0], keys[:, 1], keys[:, 2] * BAND - SLACK
+    total = np.concatenate(([0], np.cumsum(n)))
+    lowest = -(-PASSAGE // BAND)
+    bands = int(np.diff(w.first).max(initial=0)) // BAND + 1 + lowest
+    found, a = [np.zeros(0, np.int64)], 0
+    while a < len(at):
+        b = max(int(np.searchsorted(total, total[a] + JOIN_STEP, "right")) - 1, a + 1)
+        part, size = at[a:b], n[a:b]
+        post = np.repeat(block.post_first[:-1][gram[a:b]] - (total[a:b] - total[a]), size) + np.arange(total[b] - total[a])
+        part = np.repeat(part, size)
+        text, passage = w.text[part], block.post_passage[post]
+        band = (part - w.first[text] - block.post_at[post]) // BAND
+        found.append(np.unique((text * len(block.first) + passage) * bands + band + lowest))
+        a = b
+    keys = np.unique(np.concatenate(found))
+    pair, band = keys // bands, keys % bands - lowest
+    return pair // len(block.first), pair % len(block.first), band * BAND - SLACK
 
 
 def hits(block: Passages, texts: pa.Array, threshold: float) -> list:
@@ -176,28 +169,6 @@ def hits(block: Passages, texts: pa.Array, threshold: float) -> list:
     ]
 
 
-def _document_counts(docs: DataFrame, text: str, whole: Passages) -> np.ndarray:
-    """The number of documents with each n-gram of the block; counted in the tasks, then summed by n-gram."""
-    shared = docs.sparkSession.sparkContext.broadcast(whole)
-
-    def count(texts: pa.Array) -> list:
-        block = shared.value
-        w = words.split(texts, words.ALPHANUMERIC, lower=True)
-        at, gram = block.occurrences(w, block.word_ids(w))
-        once = np.unique(w.text[at] * np.int64(len(block.grams)) + gram) % max(len(block.grams), 1)
-        found, number = np.unique(once, return_counts=True)
-        # all of a slice's counts travel with its first row
-        offsets = pa.array([0] + [len(found)] * len(texts), pa.int32())
-        return [pa.ListArray.from_arrays(offsets, pa.array(a, pa.int64())) for a in (found, number)]
-
-    counted = per_text(docs.select(F.col(f"`{text}`").alias("text")), "text", count, "gram array<bigint>, n array<bigint>", [])
-    pairs = counted.filter(F.size("gram") > 0).select(F.explode(F.arrays_zip("gram", "n")).alias("p"))
-    total = pairs.groupBy(F.col("p.gram").alias("gram")).agg(F.sum("p.n").alias("n")).toPandas()  # at most BLOCK_WORDS rows
-    out = np.zeros(len(whole.grams), np.int64)
-    out[total["gram"].to_numpy(np.int64)] = total["n"].to_numpy(np.int64)
-    return out
-
-
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS):
     """Yields (ids of the items, passages) of bounded blocks, each collected by itself."""
 
@@ -228,8 +199,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLO
 
 def marked(docs: DataFrame, text: str, block: Passages, threshold: float, keep: list[str] | None = None) -> DataFrame:
     """The documents as struct `row` with arrays `items` (places in the block's list) and `scores`."""
-    seeded = block.seeded(_document_counts(docs, text, block))
-    shared = docs.sparkSession.sparkContext.broadcast(seeded)  # at most BLOCK_WORDS places
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_WORDS places
     return per_text(docs, text, lambda t: hits(shared.value, t, threshold), "items array<bigint>, scores array<double>", keep)
 
 

@@ -80,6 +80,33 @@ def test_finds_exact_and_edited_copies(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in found}
 
 
+def test_edited_passages_are_found_however_many_documents_hold_them(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    edited, half = ([rng.choice(vocabulary) for _ in range(40)] for _ in range(2))
+    docs = []
+    for i in range(400):
+        before, after = ([rng.choice(vocabulary) for _ in range(rng.randint(0, 60))] for _ in range(2))
+        if i < 200:  # every fifth word replaced
+            piece = [f"x{i}" if n % 5 == 4 else word for n, word in enumerate(edited)]
+        else:  # one half alone
+            piece = half[:20]
+        docs.append((i, " ".join([*before, *piece, *after])))
+    items = [(1, " ".join(edited)), (2, " ".join(half))]
+    plain = {}
+    for d, t in docs:
+        for k, i in items:
+            score = smith_waterman(i.split(), t.split()) / (2 * len(i.split()))
+            if score >= D.THRESHOLD:
+                plain[d, k] = score
+    assert len(plain) == 400
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in D.contamination(df, bench).collect()}
+    assert found == plain
+    assert D.drop_contaminated(df, bench).count() == 0
+
+
 def test_odd_rows(spark, odd_documents, empty_documents):
     bench = spark.createDataFrame(
         [(1, "wort5 wort6 wort7 wort8 wort9 wort10 wort11 wort12 wort13"), (2, None), (3, ""), (None, "ünï çødé 漢字 🙂 text"), (4, "one")],
