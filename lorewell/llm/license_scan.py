@@ -1,7 +1,9 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; a template is a set of words. A block matches a template if it holds at least `THRESHOLD` of
-the template's words. The join is exact and uses the filters of set-similarity joins:
+A template is a set of words. A block is a line of a text or, with `windows` (as the query has it), a window of its words,
+independent of line breaks: wrapped notices match, words scattered over a long line do not. Windows are twice as long as the
+template (or the longest of templates that are parts of each other) and overlap by half, so every run of words of the
+template's length lies in one. A block matches a template if it holds at least `THRESHOLD` of the template's words. The join is exact and uses the filters of set-similarity joins:
 
 * tokens are ordered by their frequency in the whole corpus (first pass), rarest first;
 * prefix: with o = ceil(threshold * size), a match must hold one of the template's first size - o + 1 tokens;
@@ -119,6 +121,26 @@ class Library:
         sets = [set(s.tolist()) for s in self.sets]
         return np.array([[a < b for b in sets] for a in sets])
 
+    @cached_property
+    def families(self) -> list[tuple[int, np.ndarray, Library]]:
+        """(most words, templates, library of them with the same counts) of templates whose windows are alike.
+
+        Templates that are parts of each other are together, and so are those of the same length.
+        """
+        length = np.array([len(t.split()) for _, t in self.templates])
+        while True:
+            joined = [max(length[o] for o in range(len(length)) if o == t or self.within[t, o] or self.within[o, t]) for t in range(len(length))]
+            if (length == joined).all():
+                break
+            length = np.array(joined)
+        out = []
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            part = Library([self.templates[t] for t in own], self.threshold)
+            part.counts = self.counts[[self.place[w] for w in part.vocabulary]]
+            out.append((n, own, part))
+        return out
+
     def word_ids(self, w: words.Words) -> np.ndarray:
         listed = pa.array([v.encode() for v in self.vocabulary], pa.large_binary())
         known = pc.fill_null(pc.index_in(w.distinct, value_set=listed), -1).to_numpy(zero_copy_only=False)
@@ -164,7 +186,54 @@ def _phrases(library: Library, w: words.Words, ids: np.ndarray) -> tuple[np.ndar
     return np.concatenate(starts), np.concatenate(which)
 
 
-def scan_texts(library: Library, texts: pa.Array) -> list:
+def _told(library: Library, block: np.ndarray, template: np.ndarray, reach: int) -> np.ndarray:
+    """Which matches say something of their own: a notice that is part of a longer one matching here does not."""
+    by_block: dict[int, set[int]] = {}
+    for b, t in zip(block.tolist(), template.tolist()):
+        by_block.setdefault(b, set()).add(t)
+    near = lambda b: (o for x in range(b - reach, b + reach + 1) for o in by_block.get(x, ()))
+    return np.array([not any(library.within[t, o] for o in near(b)) for b, t in zip(block.tolist(), template.tolist())], bool)
+
+
+def _by_line(library: Library, w: words.Words, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, line, template, containment, whether it gives a label) of the lines that match."""
+    known = ids >= 0
+    line = _lines(w)
+    size = len(library.vocabulary)
+    pairs = np.unique(line[known] * size + library.rank[ids[known]])
+    block, template, containment = library.join(pairs // size, pairs % size)
+    text_of_line = np.zeros(int(line[-1]) + 1 if len(line) else 1, np.int64)
+    text_of_line[line] = w.text
+    text = text_of_line[block] if len(block) else np.zeros(0, np.int64)
+    line_of = block - np.searchsorted(np.sort(np.concatenate((np.flatnonzero(w.data == 10), w.offsets[:-1]))),
+                                      w.offsets[:-1][text], "right")
+    return text, line_of, template, containment, _told(library, block, template, 0)
+
+
+def _by_window(library: Library, w: words.Words, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first word of the window, template, containment, whether it gives a label) of the windows that match."""
+    out = [[np.zeros(0, kind)] for kind in (np.int64, np.int64, np.int64, float, bool)]
+    for n, own, part in library.families:
+        size = len(part.vocabulary)
+        rank = np.full(len(library.vocabulary) + 1, -1)  # the last one is for unknown words, -1
+        rank[[library.place[v] for v in part.vocabulary]] = part.rank
+        rank = rank[ids]
+        known = np.flatnonzero(rank >= 0)
+        text = w.text[known]
+        # each text's windows begin at word -n, 0, n, ...; numbers left out between texts keep them apart
+        base = np.concatenate(([0], np.cumsum(np.diff(w.first) // n + 3)))
+        window = base[text] + (known - w.first[text]) // n + 1
+        pairs = np.unique(np.concatenate((window, window - 1)) * size + np.tile(rank[known], 2))
+        block, template, containment = part.join(pairs // size, pairs % size)
+        text = np.searchsorted(base, block, "right") - 1
+        first = np.maximum(block - base[text] - 1, 0) * n
+        found = text, first, own[template], containment, _told(part, block, template, 1)
+        for columns, column in zip(out, found):
+            columns.append(column)
+    return tuple(np.concatenate(columns) for columns in out)
+
+
+def scan_texts(library: Library, texts: pa.Array, windows: bool = False) -> list:
     """The columns of `scan` for a slice of texts."""
     w = words.split(texts, words.ALPHANUMERIC, lower=True)
     ids = library.word_ids(w)
@@ -180,32 +249,17 @@ def scan_texts(library: Library, texts: pa.Array) -> list:
     for text, k in zip(base_text.tolist(), which.tolist()):
         base_labels[text].add(PHRASES[k][1])
 
-    known = ids >= 0
-    line = _lines(w)
-    size = len(library.vocabulary)
-    pairs = np.unique(line[known] * size + library.rank[ids[known]])
-    block, template, containment = library.join(pairs // size, pairs % size)
-    text_of_line = np.zeros(int(line[-1]) + 1 if len(line) else 1, np.int64)
-    text_of_line[line] = w.text
-    text = text_of_line[block] if len(block) else np.zeros(0, np.int64)
+    text, block, template, containment, told = (_by_window if windows else _by_line)(library, w, ids)
     score = (n_base > 0).astype(float)
     np.maximum.at(score, text, containment)
     labels = [set(s) for s in base_labels]
-    by_block: dict[int, list[int]] = {}
-    for b, t in zip(block.tolist(), template.tolist()):
-        by_block.setdefault(b, []).append(t)
-    for b, found in by_block.items():
-        # a notice that is part of a longer matching one says nothing of its own
-        labels[text_of_line[b]] |= {
-            library.templates[t][0] for t in found if not any(library.within[t, o] for o in found)
-        }
+    for i, t in zip(text[told].tolist(), template[told].tolist()):
+        labels[i].add(library.templates[t][0])
     order = np.lexsort((template, block, text))
     offsets = pa.array(np.searchsorted(text[order], np.arange(n + 1)), pa.int32())
-    line_of = block - np.searchsorted(np.sort(np.concatenate((np.flatnonzero(w.data == 10), w.offsets[:-1]))),
-                                      w.offsets[:-1][text], "right")
     matches = [
         pa.ListArray.from_arrays(offsets, pa.array(a[order], kind))
-        for a, kind in ((line_of, pa.int64()), (template, pa.int64()), (containment, pa.float64()))
+        for a, kind in ((block, pa.int64()), (template, pa.int64()), (containment, pa.float64()))
     ]
     has = n_base > 0
     return [
@@ -239,13 +293,14 @@ def frequencies(docs: DataFrame, library: Library, text: str = "text") -> np.nda
 
 def scan(
     docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, windows: bool = False,
 ) -> DataFrame:
     """The documents (or their columns `keep`) as struct `row`, with base phrases, labels, score and all matches.
 
-    `lines`, `templates` and `containments` list every (line, template) that meets the threshold.
+    `lines`, `templates` and `containments` list every (line, template) that meets the threshold; with `windows` the blocks are
+    windows, and `lines` has their first words.
     """
     library = Library(list(templates), threshold)
     library.counts = frequencies(docs, library, text)
     shared = docs.sparkSession.sparkContext.broadcast(library)
-    return per_text(docs, text, lambda t: scan_texts(shared.value, t), SCHEMA, keep)
+    return per_text(docs, text, lambda t: scan_texts(shared.value, t, windows), SCHEMA, keep)

@@ -85,7 +85,7 @@ def op8_simhash_dedup(spark, sf_dir):
 
 def op9_license_scan(spark, sf_dir):
     """License phrases and notices of every document."""
-    found = license_scan.scan(table(configure(spark), sf_dir, "documents"), "text", keep=["doc_id"])
+    found = license_scan.scan(table(configure(spark), sf_dir, "documents"), "text", keep=["doc_id"], windows=True)
     return found.select(
         "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from lorewell.llm import license_scan as L
+from lorewell.llm.queries import QUERIES
 from lorewell.llm.words import text_column
 
 
@@ -77,3 +78,53 @@ def test_documents(spark, odd_documents, empty_documents):
     assert counts.tolist() == [every.count(w) for w in library.vocabulary]
     assert L.scan(odd_documents).count() == odd_documents.count()
     assert L.scan(empty_documents).collect() == []
+
+
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or\n# without modification, are permitted provided that",
+    "isc": "Permission to use, copy, modify, and/or distribute this\n * software for any purpose with or without fee\n * is hereby granted, provided",
+    "gpl": "This program is free software: you can redistribute\nit and/or modify it under the terms of\nthe GNU General Public\nLicense as published",
+    "lgpl": "Licensed under the GNU Lesser General\nPublic License",
+    "cc0": "To the extent possible under law, the author\nhas waived all copyright and related\nrights to this work.",
+    "mpl": "This Source Code Form is subject to the terms\nof the Mozilla Public License",
+}
+
+
+def test_wrapped_notices_get_their_labels_in_the_query(spark, tmp_path):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choices(["the", "and", "some", "other", "code", "files", "here"], k=n))
+    rows = []
+    for label, notice in WRAPPED.items():
+        rows += [(f"{label} {n}", f"{prose(n)}\n{notice} {prose(30)}") for n in (0, 3, 17, 50)]
+    rows.append(("scattered", " ".join(f"{word} {prose(40)}" for word in ("licensed", "under", "cc", "by", "4", "0"))))
+    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()}
+    for doc_id, _ in rows[:-1]:
+        label = doc_id.split()[0]
+        on_one_line = brute(" ".join(word_list(WRAPPED[label])))
+        assert label in on_one_line[5].split(",") and found[doc_id][0] == on_one_line[5] and found[doc_id][1] >= on_one_line[6]
+    assert found["scattered"] == ("", 0.0)
+
+
+def test_every_run_of_a_template_is_in_a_window():
+    """No run of a notice's length with enough of its words is missed, at any place and across line breaks."""
+    rng = random.Random(6)
+    library = L.Library(list(L.TEMPLATES), L.THRESHOLD)
+    library.counts = np.arange(len(library.vocabulary))
+    made = [re.sub(" ", lambda _: rng.choice([" ", "\n"]), t or "") for t in texts()]
+    found = as_rows(L.scan_texts(library, text_column(pa.array(made, pa.string())), windows=True), len(made))
+    n_runs = 0
+    for text, row in zip(made, found):
+        ws = word_list(text)
+        matched = {t for _, t, _ in row[-1]}
+        for t, (_, notice) in enumerate(L.TEMPLATES):
+            wanted, n = set(notice.split()), len(notice.split())
+            if any(len(wanted & set(ws[i : i + n])) >= L.THRESHOLD * len(wanted) - 1e-9 for i in range(len(ws))):
+                assert t in matched, (text, notice)
+                n_runs += 1
+        for at, t, share in row[-1]:
+            wanted = set(L.TEMPLATES[t][1].split())
+            wide = next(n for n, own, _ in library.families if t in own)
+            block = ws[at : at + 2 * wide] if at else ws[: 2 * wide]
+            assert len(wanted & set(block)) / len(wanted) >= share >= L.THRESHOLD - 1e-9
+    assert n_runs > 300
