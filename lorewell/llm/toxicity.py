@@ -1,12 +1,14 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct hashes of its words, word pairs, and pairs with one word left out. Training reads
-a bounded sample of labelled rows (`MAX_ROWS`, the first in the order of a hash of the id), so it runs in one task;
+a bounded sample of labelled ids (`MAX_ROWS`, the first in the order of a hash of the id) with one text each, so it runs in
+one task;
 per-coordinate learning rates and L1 keep few weights, which are broadcast. Scoring covers every whole text.
 
 Words are runs of letters and digits, lower-cased (A-Z). Edge cases: NULL and empty texts get the score of the intercept;
 without any labelled row every score is the prior 0.25; a document labelled twice counts as toxic if any label says so,
-a NULL label is no label; repeated rows and NULL ids are rows like any other, and other columns are not looked at.
+a NULL label is no label; of the texts of a repeated id the first in byte order is learned from; for scoring, repeated rows
+and NULL ids are rows like any other; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from lorewell.llm.common import per_text
 
 BITS = 20
 #: Bound of the training sample, in documents.
-MAX_ROWS = 16_000
+MAX_ROWS = 40_000
 #: Documents whose gradients are summed before an update, and passes over the sample.
 BATCH, EPOCHS = 64, 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.5
 #: Features of fewer sampled documents are not learned.
 LEAST_DOCS = 3
+#: Features looked up at once, so that no wide copy of all of them is made.
+STEP = 1 << 22
 SKIPS = (1, 2)
 
 _MULTIPLIER = np.uint64(0xFF51AFD7ED558CCD)
@@ -87,17 +91,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.intercept, -30, 30)))
 
 
+def _counts(features: np.ndarray, bits: int) -> np.ndarray:
+    """The number of documents with each feature."""
+    out = np.zeros(1 << bits, np.int64)
+    for a in range(0, len(features), STEP):
+        out += np.bincount(features[a : a + STEP], minlength=1 << bits)
+    return out
+
+
 def train(offsets: np.ndarray, features: np.ndarray, label: np.ndarray, bits: int = BITS) -> Model:
     """FTRL-proximal over the documents in the given order."""
     n_docs = len(label)
     prior = (label.sum() + 0.5) / (n_docs + 2)
     intercept, drift = float(np.log(prior / (1 - prior))), 1.0
-    common = np.bincount(features, minlength=1 << bits) >= LEAST_DOCS
-    kept = common[features]
+    common = _counts(features, bits) >= LEAST_DOCS
+    kept = np.empty(len(features), bool)
+    for a in range(0, len(features), STEP):
+        kept[a : a + STEP] = common[features[a : a + STEP]]
     if not kept.all():
         offsets, features = np.concatenate(([0], np.cumsum(kept)))[offsets], features[kept]
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    doc = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(offsets))
 
     def weights(i):
         return np.where(
@@ -108,12 +121,13 @@ def train(offsets: np.ndarray, features: np.ndarray, label: np.ndarray, bits: in
         for start in range(0, n_docs, BATCH):
             end = min(start + BATCH, n_docs)
             a, b = offsets[start], offsets[end]
+            doc = np.repeat(np.arange(end - start), np.diff(offsets[start : end + 1]))
             used, place = np.unique(features[a:b], return_inverse=True)
             w = weights(used)
-            score = np.bincount(doc[a:b] - start, w[place], end - start) + intercept
+            score = np.bincount(doc, w[place], end - start) + intercept
             error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - label[start:end]
             # each document is one example: squares of its own gradients feed the per-coordinate rates
-            each = error[doc[a:b] - start]
+            each = error[doc]
             gradient = np.bincount(place, each, len(used))
             grown = n[used] + np.bincount(place, each * each, len(used))
             z[used] += gradient - (np.sqrt(grown) - np.sqrt(n[used])) / ALPHA * w
@@ -135,6 +149,8 @@ def fit(
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = narrow.join(F.broadcast(sample), "doc_id")  # at most max_rows ids
+    # one text per id, combined before the shuffle
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def features(texts: pa.Array) -> list:
         offsets, found = distinct_features(texts)
@@ -145,11 +161,11 @@ def fit(
 
     def learn_all(batches):
         flat, sizes, labels = [], [], [np.zeros(0)]
-        count = np.zeros(1 << BITS, np.int32)
+        count = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             lists = batch.column("features")
             found = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            count += np.bincount(found, minlength=1 << BITS).astype(np.int32)
+            count += _counts(found, BITS)
             flat.append(found)
             sizes.append(lists.value_lengths().to_numpy(zero_copy_only=False))
             labels.append(batch.column("label").to_numpy(zero_copy_only=False))
@@ -158,7 +174,10 @@ def fit(
             kept = common[found]
             flat[i] = found[kept]
             offsets.append(offsets[-1][-1] + np.concatenate(([0], np.cumsum(kept)))[np.cumsum(size)])
-        features = np.concatenate([np.zeros(0, np.int32), *flat])
+        features = np.empty(int(offsets[-1][-1]), np.int32)
+        for end in offsets[:0:-1]:  # a part is let go once it is put in its place
+            found = flat.pop()
+            features[end[-1] - len(found) : end[-1]] = found
         model = train(np.concatenate(offsets), features, np.concatenate(labels).astype(float))
         index = np.append(model.index, -1)  # the intercept under -1
         weight = np.append(model.weight.astype(float), model.intercept)

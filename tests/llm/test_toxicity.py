@@ -60,6 +60,29 @@ def test_held_out_accuracy(spark):
     assert rows.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
 
 
+def test_wording_beyond_the_first_16_000_ids_is_learned(spark):
+    order = spark.range(24_000).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = [r["doc_id"] for r in order.collect()]
+    toxic = set(ids[16_000::80])
+    rows = [(i, f"word{i % 50} word{i % 7}" + " wording" * (i in toxic), int(i in toxic)) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(4)
+    model = T.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True))
+    with_it, without = model.scores(text_column(pa.array(["word1 wording", "word1 word2"], pa.string())))
+    assert with_it > 0.5 > without
+
+
+def test_one_text_per_sampled_id(spark):
+    rows = [(i, f"word{i % 9} word{i % 4}" + " nasty" * (i % 3 == 0), int(i % 3 == 0)) for i in range(300)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    texts = [(i, t) for i, t, _ in rows]
+    models = [
+        T.fit(spark.createDataFrame(given, "doc_id bigint, text string").repartition(3), labels, F.lit(True))
+        for given in (texts, texts + texts[:1] * 400 + [(1, "x" + texts[1][1]), (2, None)])
+    ]
+    assert len(models[0].index) and models[0].index.tolist() == models[1].index.tolist()
+    assert models[0].weight.tolist() == models[1].weight.tolist() and models[0].intercept == models[1].intercept
+
+
 def test_odd_rows(spark, odd_documents, empty_documents):
     labels = spark.createDataFrame([(1, 1), (1, 0), (5, 0), (None, 1), (7, None), (10, 1)], "doc_id bigint, toxic int")
     model = T.fit(odd_documents, labels, F.lit(True))
