@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lorewell.llm import words
 from lorewell.llm.common import per_text
+from lorewell.session import materialize
 
 NGRAM = 3
 PASSAGE = 128
@@ -170,7 +171,10 @@ def hits(block: Passages, texts: pa.Array, threshold: float) -> list:
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS):
-    """Yields (ids of the items, passages) of bounded blocks, each collected by itself."""
+    """Yields (rows of item_id and number, passages) of bounded blocks, each collected by itself.
+
+    A passage is collected once, however many items have it; the items stay in Spark, under the passage's number.
+    """
 
     def cut(texts: pa.Array) -> list:
         w = words.split(texts, words.ALPHANUMERIC, lower=True)
@@ -186,19 +190,21 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLO
 
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text"))
     passages = per_text(items, "text", cut, "passages array<string>", ["item_id"])
-    passages = passages.select("row.item_id", F.explode("passages").alias("passage"))
-    n_words = passages.agg(F.sum(F.size(F.split("passage", " ")))).first()[0] or 0
+    passages = passages.select("row.item_id", F.explode("passages").alias("passage")).distinct()
+    passages = materialize(passages, "benchmark-passages")
+    spark, once = passages.sparkSession, passages.select("passage").distinct()
+    n_words = once.agg(F.sum(F.size(F.split("passage", " ")))).first()[0] or 0
     n_blocks = -(-2 * n_words // block_words)
     for k in range(n_blocks):
-        mine = passages.filter(F.pmod(F.xxhash64("passage"), F.lit(n_blocks)) == k).distinct()
-        rows = mine.orderBy("item_id", "passage").collect()  # about half a block's bound
-        ids = list(dict.fromkeys(r["item_id"] for r in rows))
-        place = {v: i for i, v in enumerate(ids)}
-        yield ids, Passages.build([place[r["item_id"]] for r in rows], [r["passage"] for r in rows])
+        mine = F.pmod(F.xxhash64("passage"), F.lit(n_blocks)) == k
+        texts = [r["passage"] for r in once.filter(mine).orderBy("passage").collect()]  # about half a block's bound
+        numbers = spark.createDataFrame(list(enumerate(texts)), "number bigint, passage string")
+        named = passages.filter(mine).join(F.broadcast(numbers), "passage").select("item_id", "number")
+        yield named, Passages.build(list(range(len(texts))), texts)
 
 
 def marked(docs: DataFrame, text: str, block: Passages, threshold: float, keep: list[str] | None = None) -> DataFrame:
-    """The documents as struct `row` with arrays `items` (places in the block's list) and `scores`."""
+    """The documents as struct `row` with arrays `items` (numbers of the block's passages) and `scores`."""
     shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_WORDS places
     return per_text(docs, text, lambda t: hits(shared.value, t, threshold), "items array<bigint>, scores array<double>", keep)
 
@@ -212,11 +218,12 @@ def contamination(
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = benchmark.select(F.col(f"`{item_id}`")).schema[0].dataType.simpleString()
     out = spark.createDataFrame([], f"{narrow.schema['doc_id'].simpleString().replace(':', ' ')}, item_id {kind}, score double")
-    for ids, block in blocks(benchmark, item_id, item_text, block_words):
+    for names, block in blocks(benchmark, item_id, item_text, block_words):
         found = marked(narrow, "text", block, threshold, ["doc_id"]).filter(F.size("items") > 0)
         pairs = found.select("row.doc_id", F.explode(F.arrays_zip("items", "scores")).alias("p"))
-        names = spark.createDataFrame(list(enumerate(ids)), f"items bigint, item_id {kind}")
-        named = pairs.join(F.broadcast(names), F.col("p.items") == names["items"])  # at most one block's items
+        if names.limit(block_words + 1).count() <= block_words:
+            names = F.broadcast(names)  # no more rows than a block has words; repeated passages may have more
+        named = pairs.join(names, F.col("p.items") == F.col("number"))
         out = out.unionByName(named.select("doc_id", "item_id", F.col("p.scores").alias("score")))
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 

@@ -107,6 +107,18 @@ def test_edited_passages_are_found_however_many_documents_hold_them(spark):
     assert D.drop_contaminated(df, bench).count() == 0
 
 
+def test_a_passage_of_many_items_is_collected_once(spark):
+    rng = random.Random(5)
+    one, other = (" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(30)) for _ in range(2))
+    bench = spark.createDataFrame([(i, one if i % 30 else f"{other} {i}") for i in range(300)], "item_id bigint, text string")
+    held = list(D.blocks(bench, "item_id", "text"))
+    assert [len(block.first) - 1 for _, block in held] == [11] and held[0][0].count() == 300
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, "nothing of it"), (3, other)], "doc_id bigint, text string")
+    wanted = {(1, i) for i in range(300) if i % 30} | {(3, i) for i in range(0, 300, 30)}
+    for words in (D.BLOCK_WORDS, 150):  # also with more items than are broadcast
+        assert {(r["doc_id"], r["item_id"]) for r in D.contamination(docs, bench, block_words=words).collect()} == wanted
+
+
 def test_odd_rows(spark, odd_documents, empty_documents):
     bench = spark.createDataFrame(
         [(1, "wort5 wort6 wort7 wort8 wort9 wort10 wort11 wort12 wort13"), (2, None), (3, ""), (None, "ünï çødé 漢字 🙂 text"), (4, "one")],
