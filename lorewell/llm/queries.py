@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorewell.llm import (
-    bpe, chat_format, decontamination, license_scan, lm_scoring, pii_spans, quality_rules, secret_scan, simhash_dedup, toxicity,
+    bpe, chat_format, decontamination, license_scan, lm_scoring, pii_spans, merkle, quality_rules, secret_scan, simhash_dedup, toxicity,
 )
 from lorewell.llm.common import id_remainder, table
 from lorewell.session import configure
@@ -104,8 +104,24 @@ def op10_bpe(spark, sf_dir):
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    """Leaf, roots and proof of every document, and whether a copy that may have lost its line breaks still leads to the root."""
+
+    def stripped(columns):
+        tampered = F.coalesce((id_remainder(columns["doc_id"], 2) == 0) & columns["doc_id"].isNotNull(), F.lit(False))
+        return {"text": F.when(tampered, F.replace(columns["text"], F.lit("\n"), F.lit(""))).otherwise(columns["text"])}
+
+    manifest = merkle.build(table(configure(spark), sf_dir, "documents"), claim=stripped)
+    root = F.lit(manifest.root).cast("string")
+    return merkle.check(manifest).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root",
+        (F.col("folded_root") == root).alias("verified"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_toxicity, op3_pii_spans, op4_secret_scan, op5_decontamination, op6_lm_scoring, op7_quality_rules, op8_simhash_dedup, op9_license_scan, op10_bpe,
+    op13_merkle_manifest,
 )}
 
 OP7_SQL = r"""
@@ -246,6 +262,66 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base
 FROM w LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN top USING (r)
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE
+bits(k, i, c) AS (
+  SELECT 0, range, range FROM range(256)
+  UNION ALL SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+ids AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda crc, b: xor(crc >> 8, t[CAST(xor(crc, b) & 255 AS INT) + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), tab
+),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('1' || source, '0') AS tree, text,
+    CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS shown,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents LEFT JOIN ids USING (doc_id)
+),
+h AS (
+  SELECT r, doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS claim
+  FROM d
+),
+leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM h
+),
+low(tree, level, idx, node, n) AS (
+  SELECT tree, 0, idx, leaf, n FROM leaf
+  UNION ALL SELECT tree, level + 1, idx // 3, sha256(string_agg(node, '' ORDER BY idx)), (n + 2) // 3
+  FROM low WHERE n > 1 GROUP BY tree, level, idx // 3, n
+),
+sub AS (SELECT tree AS name, node, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+high(tree, level, idx, node, n) AS (
+  SELECT '', 0, place, node, n FROM sub
+  UNION ALL SELECT tree, level + 1, idx // 3, sha256(string_agg(node, '' ORDER BY idx)), (n + 2) // 3
+  FROM high WHERE n > 1 GROUP BY tree, level, idx // 3, n
+),
+sib AS (
+  SELECT tree, level, idx, n,
+    coalesce(string_agg(node, '') OVER (PARTITION BY tree, level, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(node, '') OVER (PARTITION BY tree, level, idx // 3 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS g
+  FROM (SELECT * FROM low UNION ALL SELECT * FROM high) WHERE n > 1
+),
+climb(r, tree, level, idx, n, cur, proof) AS (
+  SELECT r, tree, 0, idx, n, claim, '' FROM leaf
+  UNION ALL
+  SELECT c.r, CASE WHEN c.n > 1 THEN c.tree ELSE '' END, CASE WHEN c.n > 1 THEN c.level + 1 ELSE 0 END,
+    CASE WHEN c.n > 1 THEN c.idx // 3 ELSE sub.place END, CASE WHEN c.n > 1 THEN (c.n + 2) // 3 ELSE sub.n END,
+    CASE WHEN c.n > 1 THEN sha256(s.l || c.cur || s.g) ELSE c.cur END, CASE WHEN c.n > 1 THEN c.proof || s.l || s.g ELSE c.proof END
+  FROM climb c LEFT JOIN sib s ON s.tree = c.tree AND s.level = c.level AND s.idx = c.idx LEFT JOIN sub ON sub.name = c.tree
+  WHERE c.n > 1 OR c.tree <> ''
+),
+fin AS (SELECT r, cur, sha256(proof) AS proof FROM climb WHERE n = 1 AND tree = ''),
+top AS (SELECT node AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, sub.node AS subroot, root, proof AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM leaf JOIN fin USING (r) JOIN sub ON sub.name = leaf.tree, top
+"""
+
 SQL: dict[str, str] = {
+    "op13_merkle_manifest": OP13_SQL,
     "op1_chat_format": OP1_SQL, "op4_secret_scan": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_license_scan": OP9_SQL,
 }
