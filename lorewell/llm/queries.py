@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorewell.llm import (
-    bpe, chat_format, decontamination, license_scan, lm_scoring, pii_spans, merkle, quality_rules, secret_scan, simhash_dedup, toxicity,
+    bpe, chat_format, decontamination, license_scan, lm_scoring, merkle, mixing, pii_spans, quality_rules, secret_scan,
+    simhash_dedup, toxicity,
 )
 from lorewell.llm.common import id_remainder, table
 from lorewell.session import configure
@@ -104,6 +105,12 @@ def op10_bpe(spark, sf_dir):
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op12_source_mixing(spark, sf_dir):
+    """How many words of every document the mix of all sources takes."""
+    found = mixing.taken(table(configure(spark), sf_dir, "documents"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def op13_merkle_manifest(spark, sf_dir):
     """Leaf, roots and proof of every document, and whether a copy that may have lost its line breaks still leads to the root."""
 
@@ -121,7 +128,7 @@ def op13_merkle_manifest(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_toxicity, op3_pii_spans, op4_secret_scan, op5_decontamination, op6_lm_scoring, op7_quality_rules, op8_simhash_dedup, op9_license_scan, op10_bpe,
-    op13_merkle_manifest,
+    op12_source_mixing, op13_merkle_manifest,
 )}
 
 OP7_SQL = r"""
