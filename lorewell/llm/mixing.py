@@ -196,7 +196,7 @@ def taken(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
     order = placed(numbered.filter("size > 0"), "no", ["key", "tie"], F.col("size"), name="mix-order")
     uses = slots(sources, settings).groupBy("no", "block").agg(F.count(F.lit(1)).alias("uses"))
     parts = pieces(order, settings.block).select("no", "block", "before", *columns, (F.col("last") - F.col("first")).alias("words"))
-    met = parts.join(uses, ["no", "block"], "left")
+    met = parts.join(uses.hint("merge"), ["no", "block"], "left")  # planned sizes do not see what the slots explode to
     some = met.groupBy("no", "before", *columns).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     none = numbered.filter("size = 0").select(*columns, F.lit(0).cast("bigint").alias("taken"))
     return some.select(*columns, "taken").unionByName(none)
@@ -214,6 +214,6 @@ def mix(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", s
         "no", "g", "block", "before", F.array_join(F.slice("words", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), " ").alias("part")
     )
     blocks = cut.groupBy("no", "block").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("before", "part"))).alias("parts"))
-    shown = slots(sources, settings).join(blocks, ["no", "block"])
+    shown = slots(sources, settings).hint("merge").join(blocks, ["no", "block"])
     name = F.when(F.col("g") != "1", F.expr("substring(g, 2)"))
     return shown.select("shard", name.alias("source"), "k", F.array_join("parts.part", " ").alias("text"))
