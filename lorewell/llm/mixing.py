@@ -40,6 +40,7 @@ MOST = 3
 BLOCK = 64
 SHARD = 1 << 16
 SEED = 2024
+TASK_SLOTS = 1 << 18  # slots made by one task
 FRACTION = 1 << 30  # fractions are summed as whole numbers of this part
 
 
@@ -140,10 +141,11 @@ def slots(sources: DataFrame, settings: Settings = Settings()) -> DataFrame:
         """The first draw at or after the place `at` of the summed fractions."""
         return F.ceil(at.cast("double") / F.greatest("total", F.lit(1)).cast("double") * drawn - offset).cast("bigint")
 
+    tasks = max(sources.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SLOTS))
     ranges = order.select("no", "blocks", "fixed", draw(F.col("before")).alias("first"), draw(F.col("before") + F.col("part")).alias("end"))
     fixed = (
         ranges.filter("fixed > 0").select("no", "blocks", "fixed", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
-        .repartition("no", "shard")
+        .repartition(tasks, "no", "shard")  # a stated number: few rows here, but each makes many slots
         .select("no", "blocks", "shard", F.lit(None).cast("bigint").alias("draw"), F.explode(F.expr("sequence(shard * fixed, shard * fixed + fixed - 1)")).alias("k"))
     )
     drawn_slots = ranges.filter("end > first").withColumn("draw", F.explode(F.expr("sequence(first, end - 1)")))
