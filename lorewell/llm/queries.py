@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorewell.llm import (
-    bpe, chat_format, decontamination, license_scan, lm_scoring, merkle, mixing, pii_spans, quality_rules, secret_scan,
+    bpe, chat_format, decontamination, license_scan, lm_scoring, merkle, mixing, pii_spans, quality_rules, ranked_search, secret_scan,
     simhash_dedup, toxicity,
 )
 from lorewell.llm.common import id_remainder, table
@@ -105,6 +105,13 @@ def op10_bpe(spark, sf_dir):
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_ranked_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    segments = ranked_search.index(table(configure(spark), sf_dir, "documents"))
+    found = ranked_search.search(segments, table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("item", "item_id")
+
+
 def op12_source_mixing(spark, sf_dir):
     """How many words of every document the mix of all sources takes."""
     found = mixing.taken(table(configure(spark), sf_dir, "documents"))
@@ -128,7 +135,7 @@ def op13_merkle_manifest(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_toxicity, op3_pii_spans, op4_secret_scan, op5_decontamination, op6_lm_scoring, op7_quality_rules, op8_simhash_dedup, op9_license_scan, op10_bpe,
-    op12_source_mixing, op13_merkle_manifest,
+    op11_ranked_search, op12_source_mixing, op13_merkle_manifest,
 )}
 
 OP7_SQL = r"""
@@ -269,6 +276,27 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base
 FROM w LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN top USING (r)
 """
 
+_TERMS = rf"regexp_extract_all({_LOWER}, {_WORDS})"
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+big AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_words FROM d WHERE len(ws) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term
+),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), big
+),
+m AS (SELECT r, doc_id, 10 + (90 * len(ws) * n_docs) // n_words AS m FROM d, big WHERE len(ws) > 0),
+s AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 OP13_SQL = r"""
 WITH RECURSIVE
 bits(k, i, c) AS (
@@ -329,6 +357,6 @@ FROM leaf JOIN fin USING (r) JOIN sub ON sub.name = leaf.tree, top
 """
 
 SQL: dict[str, str] = {
-    "op13_merkle_manifest": OP13_SQL,
+    "op11_ranked_search": OP11_SQL, "op13_merkle_manifest": OP13_SQL,
     "op1_chat_format": OP1_SQL, "op4_secret_scan": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_license_scan": OP9_SQL,
 }
