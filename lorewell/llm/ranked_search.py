@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import words as W
@@ -40,12 +41,26 @@ from lorewell.session import materialize
 
 BLOCK_TERMS = 500_000  # terms of the items that are searched for at a time
 TASK_POSTINGS = 1 << 23  # postings of the index that one task searches
+SEGMENT_BYTES = 2 << 20  # text of one segment; a longer text is a segment of its own
+BATCH_BYTES = "16MB"  # segments are large rows: few of them at a time between Spark and Python
 SEGMENT = (
     "ids array<bigint>, sizes array<bigint>, terms array<string>, counts array<int>, rows array<int>, occurrences array<int>, "
     "n_docs bigint, n_words bigint, n_postings bigint"
 )
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While the passes inside run to their end, Arrow batches are of `BATCH_BYTES`."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def _list(values) -> pa.Array:
     """An array of one list."""
     values = values if isinstance(values, pa.Array) else pa.array(values)
@@ -58,7 +73,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     names = [part.split()[0] for part in SEGMENT.split(", ")]
 
     def segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part, texts in W.slices(batch, "text"):
+        for part, texts in W.slices(batch, "text", SEGMENT_BYTES):
             words = W.split(texts, W.ALPHANUMERIC, lower=True)
             sizes = np.diff(words.first)
             if not len(words.starts):
@@ -76,7 +91,8 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*map(_list, columns), *[pa.array([t], pa.int64()) for t in totals]], names=names)
 
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return materialize(arrow_pass(rows, segments, SEGMENT), "search-index")
+    with small_batches(docs.sparkSession):
+        return materialize(arrow_pass(rows, segments, SEGMENT), "search-index")
 
 
 @dataclass(frozen=True)
@@ -264,12 +280,13 @@ def search(segments: DataFrame, items: DataFrame, k: int = 10, item: str = "item
         rows = order.filter(F.expr(f"before div {block_terms}") == block).select("position", "item", "terms").orderBy("position").collect()
         if not rows:  # at most `block_terms` terms and those of one item
             continue
-        asked = _questions(rows, segments, corpus)
-        names = spark.createDataFrame([(i, r["item"]) for i, r in enumerate(rows)], f"number bigint, item {kind}")
-        hits = _search_block(segments, asked, corpus, k, tasks)
-        ranked = top_per_key(hits, ["item"], [F.col("score").desc(), F.col("doc_id").asc_nulls_last()], k, "rank")
-        named = ranked.withColumnRenamed("item", "number").join(names, "number")
-        found.append(materialize(named.select("item", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "search-found"))
+        with small_batches(spark):
+            asked = _questions(rows, segments, corpus)
+            names = spark.createDataFrame([(i, r["item"]) for i, r in enumerate(rows)], f"number bigint, item {kind}")
+            hits = _search_block(segments, asked, corpus, k, tasks)
+            ranked = top_per_key(hits, ["item"], [F.col("score").desc(), F.col("doc_id").asc_nulls_last()], k, "rank")
+            named = ranked.withColumnRenamed("item", "number").join(names, "number")
+            found.append(materialize(named.select("item", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "search-found"))
     for part in found:
         empty = empty.unionByName(part)
     return empty
