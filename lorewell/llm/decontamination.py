@@ -3,10 +3,15 @@
 1. Test items are cut in passages of at most `PASSAGE` words (overlapping by half; most items are one passage). Passages
    are handled in blocks of a bounded number of words; a block is what is broadcast, whatever the number of items.
 2. Every n-gram of a passage is a seed, however many documents hold it, so what is found in a document depends on that
-   document and the item alone.
-3. One pass joins document passages with test passages on the seeds, by diagonals, and aligns each joined pair in
-   the task that holds the text: match 2, mismatch and gap -1, on words. `score` is the alignment's share of a full
-   match, so that edited or paraphrased copies are found as well as exact ones.
+   document and the item alone. (Rare seeds only, or the rarest of every stretch, would lose links: at a threshold of one half a third
+   of the words, evenly spread, may be replaced, and then no stretch longer than a seed is sure to survive.)
+3. One pass joins document passages with test passages on the seeds, by diagonals. An alignment that reaches the threshold holds that
+   share of the passage's words and has a bounded number of gaps (`slack`). So a joined pair's window reaches that far to both
+   sides, and pairs whose window holds too few of the passage's words are dropped unaligned: common seeds such as "one of
+   the" meet many passages, but few windows hold half the words of one.
+4. The pairs left are aligned in the task that holds the text: match 2, mismatch and gap -1, on words. `score` is the
+   alignment's share of a full match, so that edited or paraphrased copies are found as well as exact ones. It equals plain
+   Smith-Waterman on the whole text wherever that reaches the threshold and the two share a seed.
 
 Words are runs of letters and digits, lower-cased (A-Z). Edge cases: NULL and empty texts match nothing; items with fewer
 than `NGRAM` words are too short to be evidence and match nothing, items below `SHORT` words count only as full
@@ -33,10 +38,12 @@ PASSAGE = 128
 BLOCK_WORDS = 500_000
 THRESHOLD = 0.5
 SHORT = 8
-#: Joined pairs share one window per this many diagonals, with this many words of slack for insertions.
-BAND, SLACK = 32, 16
+#: Joined pairs share one window per this many diagonals.
+BAND = 32
 MATCH, MISMATCH, GAP = 2, -1, -1
 ALIGN_STEP = 2048
+#: (window, word) marks held at once.
+WORD_STEP = 1 << 24
 #: Joined places held at once (one n-gram's places may be more).
 JOIN_STEP = 1 << 20
 
@@ -93,6 +100,32 @@ def _keys(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return key
 
 
+def slack(length: int, threshold: float) -> int:
+    """The most gaps of an alignment that reaches the threshold: every word matched, and the rest of the score spent on gaps."""
+    return int(np.floor(MATCH * (1 - threshold) * length / -GAP + 1e-9))
+
+
+def _enough_words(query: np.ndarray, window: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether at least `least` words of each query row are in the same row of `window`. An alignment matches no more words than that."""
+    size = int(query.max(initial=0)) + 1
+    step = max(1, WORD_STEP // size)
+    enough = np.zeros(len(query), bool)
+    for a in range(0, len(query), step):
+        q, w = query[a : a + step], window[a : a + step]
+        row = np.arange(len(q))[:, None] * size
+        held = np.zeros(len(q) * size, bool)
+        held[(row + w)[w >= 0]] = True
+        enough[a : a + step] = (held[np.where(q >= 0, row + q, 0)] & (q >= 0)).sum(axis=1) >= least[a : a + step]
+    return enough
+
+
+def _local(query: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, query) with small word numbers: those of the queries' words; other words of the windows are padding."""
+    known = np.unique(query[query >= 0])
+    place = np.minimum(np.searchsorted(known, window), len(known) - 1)
+    return np.where(known[place] == window, place, -2), np.where(query >= 0, np.searchsorted(known, query), -1)
+
+
 def align(query: np.ndarray, window: np.ndarray) -> np.ndarray:
     """Best local alignment score of each row of `query` with the same row of `window` (negative ids: padding).
 
@@ -113,7 +146,7 @@ def align(query: np.ndarray, window: np.ndarray) -> np.ndarray:
 
 
 def _candidates(block: Passages, w: words.Words, ids: np.ndarray):
-    """(text, passage, first word of the window) of the joined pairs, without repeats."""
+    """(text, passage, first diagonal of the band) of the joined pairs, without repeats."""
     at, gram = block.occurrences(w, ids)
     n = np.diff(block.post_first)[gram]
     total = np.concatenate(([0], np.cumsum(n)))
@@ -131,7 +164,7 @@ def _candidates(block: Passages, w: words.Words, ids: np.ndarray):
         a = b
     keys = np.unique(np.concatenate(found))
     pair, band = keys // bands, keys % bands - lowest
-    return pair // len(block.first), pair % len(block.first), band * BAND - SLACK
+    return pair // len(block.first), pair % len(block.first), band * BAND
 
 
 def hits(block: Passages, texts: pa.Array, threshold: float) -> list:
@@ -144,18 +177,22 @@ def hits(block: Passages, texts: pa.Array, threshold: float) -> list:
     text, passage, begin = text[order], passage[order], begin[order]
     score = np.zeros(len(text))
     for k in range(0, len(text), ALIGN_STEP):
-        part = slice(k, k + ALIGN_STEP)
+        part = np.arange(k, min(k + ALIGN_STEP, len(text)))
         length = size[passage[part]]
         longest = int(length.max())
         row = np.arange(longest)
         query = np.where(
             row < length[:, None], block.ids[np.minimum(block.first[passage[part]][:, None] + row, len(block.ids) - 1)], -1
         )
-        column = begin[part][:, None] + np.arange(longest + BAND + 2 * SLACK)
+        wide = slack(longest, threshold)
+        column = (begin[part] - wide)[:, None] + np.arange(longest + BAND + 2 * wide)
         start, stop = w.first[text[part]][:, None], w.first[text[part] + 1][:, None]
         inside = (column >= 0) & (start + column < stop)
         window = np.where(inside, ids[np.clip(start + column, 0, len(ids) - 1)], -2)
-        score[part] = align(query, window) / (MATCH * length)
+        own, query = _local(query, window)
+        least = np.where(length < SHORT, length, np.ceil(threshold * length - 1e-9))
+        left = _enough_words(query, own, least)
+        score[part[left]] = align(query[left], own[left]) / (MATCH * length[left])
     hit = score >= np.where(size[passage] < SHORT, 1.0, threshold)
     item = block.item[passage[hit]]
     text, score = text[hit], score[hit]

@@ -130,3 +130,56 @@ def test_odd_rows(spark, odd_documents, empty_documents):
     assert D.contamination(odd_documents, bench.limit(0)).collect() == []
     kept = D.drop_contaminated(odd_documents, bench)
     assert kept.columns == odd_documents.columns and kept.count() == odd_documents.count() - 3
+
+
+def broken_copies(n, rng, parts, longest):
+    """Texts with an item in `parts` pieces, up to `longest` other words between them, and some words replaced."""
+    item = [f"q{rng.randrange(400)}" for _ in range(100)]
+    cuts = [0, *sorted(rng.sample(range(10, 90), parts - 1)), 100]
+    docs = []
+    for i in range(n):
+        words = [f"x{rng.randrange(900)}" for _ in range(rng.randrange(80))]
+        for a, b in zip(cuts, cuts[1:]):
+            words += [w if rng.random() > 0.04 else "other" for w in item[a:b]]
+            words += [f"x{rng.randrange(900)}" for _ in range(rng.randrange(longest + 1))]
+        docs.append((i, " ".join(words)))
+    return " ".join(item), docs
+
+
+def test_long_insertions_lose_nothing(spark):
+    rng = random.Random(8)
+    for n, parts, longest in ((1, 3, 40), (30, 2, 100), (400, 3, 45), (60, 4, 30)):
+        item, docs = broken_copies(n, rng, parts, longest)
+        number = {}
+        ids = lambda words: np.array([[number.setdefault(w, len(number)) for w in words]])
+        query = ids(word_list(item))
+        full = {i: int(D.align(query, ids(word_list(t)))[0]) / 200 for i, t in docs}
+        wanted = {i: s for i, s in full.items() if s >= D.THRESHOLD}
+        found = D.contamination(
+            spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")
+        )
+        assert {r["doc_id"]: r["score"] for r in found.collect()} == wanted
+        assert n < 30 or 0 < len(wanted)
+
+
+def test_common_phrases_are_not_aligned(monkeypatch):
+    """Alignments grow with the copies in a text, not with the items that share a phrase of common words with it."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    phrase = ["one", "of", "the"]
+
+    def text(n):
+        return [w for _ in range(n) for w in (phrase if rng.random() < 0.01 else [rng.choice(vocabulary)])]
+
+    items = [[*text(20), *phrase, *text(20)] for _ in range(4000)]
+    doc = text(2000) + items[3] + text(2000)
+    aligned, plain = [], D.align
+    monkeypatch.setattr(D, "align", lambda q, w: aligned.append(len(q)) or plain(q, w))
+    counts = []
+    for n in (500, 4000):
+        aligned.clear()
+        block = D.Passages.build(list(range(n)), [" ".join(i) for i in items[:n]])
+        found, scores = D.hits(block, D.words.text_column(D.pa.array([" ".join(doc)])), D.THRESHOLD)
+        assert found.to_pylist() == [[3]] and scores.to_pylist() == [[1.0]]
+        counts.append(sum(aligned))
+    assert counts[1] < 2 * counts[0] + 20, counts
