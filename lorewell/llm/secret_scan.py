@@ -37,11 +37,12 @@ class Rule:
     least: int = 0
 
 
-# The base patterns and their limits.
+# The base patterns and their limits. Where a match is one run of characters, its least length is part of the pattern:
+# shorter runs hold no match and end where the next one may begin, so the spans are the same.
 BASE_RULES = [
     Rule("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
+    Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 #: Further formats of published token kinds.
 MORE_RULES = [
