@@ -10,10 +10,9 @@ from lorewell.catalog.texts import AS_OF, BLANKS, COMMON_WORDS, sql_words
 from lorewell.operators import chunking as C
 from lorewell.operators import indexing as I
 from lorewell.operators import retrieval as R
-from lorewell.operators.approx import approx_topk as approx_search
-from lorewell.operators.approx import recall_at_k
+from lorewell.operators import approx as X
 from lorewell.plans import retrieve as P
-from lorewell.session import materialize
+from lorewell.session import materialize, shared_dir
 
 QUERIES = {}
 SQL = {}
@@ -165,16 +164,44 @@ SQL["vector_topk"] = V.with_views(
 )
 
 
+def _cells(spark, chunks):
+    """The chunks as an inverted file: (stored index, cells)."""
+    cells, path = X.fit_cells(chunks), shared_dir(spark, "cells")
+    X.write_index(chunks, cells, path)
+    return X.read_index(spark, path, chunks.schema), cells
+
+
 @query
 def approx_topk(spark, d):
-    return approx_search(_valid(spark, d), V.chunks(spark, d)).withColumn("similarity", F.round("similarity", 6))
+    """The nearest chunks of each question, from the cells nearest to it."""
+    index, cells = _cells(spark, materialize(V.chunks(spark, d), "chunks"))
+    return X.approx_topk(_valid(spark, d), index, cells).withColumn("similarity", F.round("similarity", 6))
+
+
+def _embedded_documents(spark, d):
+    """Documents as chunks, and the first half of every fourth one as a question."""
+    none = F.lit(None).cast("string")
+    docs = V.table(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_key"), F.col("source"), none.alias("user_id"), none.alias("filename"), none.alias("doc_type"),
+        F.lit(AS_OF).cast("timestamp").alias("created_at"), F.col("text").alias("content"),
+    )
+    embedder = I.fit_embedder(docs)
+    chunks = materialize(I.embed(docs, embedder), "documents")
+    asked = chunks.filter(F.col("chunk_key") % 4 == 0).select(
+        F.col("chunk_key").alias("query_id"), F.expr("substring(content, 1, length(content) div 2)").alias("query"),
+        *[none.alias(c) for c in ("user_id", "date_from", "source_filter", "doc_type")], F.lit(K.K_DEFAULT).cast("bigint").alias("k_results"),
+    )
+    return chunks, materialize(I.embed(asked, embedder, "query"), "questions")
 
 
 @query
 def approx_recall(spark, d):
-    """Share of the exact top candidates that the hashed search finds, per question."""
-    questions, chunks = _valid(spark, d), V.chunks(spark, d)
-    return recall_at_k(approx_search(questions, chunks), R.vector_topk(questions, chunks))
+    """Share of the exact top candidates that the probed cells give, and of the chunks that were scored, per question."""
+    chunks, questions = _embedded_documents(spark, d)
+    index, cells = _cells(spark, chunks)
+    found = X.approx_topk(questions, index, cells, exact_fallback=False)
+    recall = X.recall_at_k(found, R.vector_topk(questions, chunks))
+    return recall.join(X.scored_pairs(questions, index, cells), "query_id")
 
 
 @query

@@ -8,7 +8,7 @@ blocks of a checked size, and the hits of one block are a few rows per question.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,52 +125,80 @@ class _Scorer:
         order = np.lexsort((keys[candidates], -similarity[candidates]))
         return candidates[order[:n]]
 
+    def _score(self, batch: pd.DataFrame, questions: np.ndarray, held: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Adds the batch to what is `held` per question, at most its n best rows; only the numbered questions ask."""
+        chunk_unit = self._normal(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
+        codes = {}
+        for name in ("user_id", "source", "filename", "doc_type"):
+            numbers, values = pd.factorize(batch[name])
+            codes[name] = (numbers, {v: i for i, v in enumerate(values)})
+        created = batch["created_us"].to_numpy()
+        keys = batch["chunk_key"].to_numpy()
+        if keys.dtype == object:
+            keys = keys.astype(str)
+
+        def equals(name: str, value) -> np.ndarray:
+            numbers, known = codes[name]
+            return numbers == known.get(value, -2)
+
+        for start in range(0, len(questions), self.slice):
+            part = questions[start : start + self.slice]
+            scores = np.round(chunk_unit @ self.unit[part].T, DIGITS)
+            for j, number in enumerate(part):
+                _, user, since, source, doc_type, n = self.rows[number]
+                allowed = np.ones(len(batch), dtype=bool)
+                if user is not None:
+                    allowed &= equals("user_id", user)
+                if since is not None:
+                    allowed &= created >= since
+                if source is not None:
+                    allowed &= equals("source", source) | equals("filename", source)
+                if doc_type is not None:
+                    allowed &= equals("doc_type", doc_type)
+                rows = np.flatnonzero(allowed)
+                best = rows[self._best(scores[rows, j], keys[rows], n)]
+                values, found = scores[best, j], keys[best]
+                if number in held:
+                    values, found = np.concatenate((held[number][0], values)), np.concatenate((held[number][1], found))
+                    order = np.lexsort((found, -values))[:n]
+                    values, found = values[order], found[order]
+                if len(values):
+                    held[number] = (values, found)
+
+    def _batch(self, batch: pd.DataFrame, held: dict) -> None:
+        self._score(batch, np.arange(len(self.rows)), held)
+
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # per question at most its n best rows so far
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if not len(batch):
-                continue
-            chunk_unit = self._normal(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
-            codes = {}
-            for name in ("user_id", "source", "filename", "doc_type"):
-                numbers, values = pd.factorize(batch[name])
-                codes[name] = (numbers, {v: i for i, v in enumerate(values)})
-            created = batch["created_us"].to_numpy()
-            keys = batch["chunk_key"].to_numpy()
-            if keys.dtype == object:
-                keys = keys.astype(str)
-
-            def equals(name: str, value) -> np.ndarray:
-                numbers, known = codes[name]
-                return numbers == known.get(value, -2)
-
-            for start in range(0, len(self.rows), self.slice):
-                scores = np.round(chunk_unit @ self.unit[start : start + self.slice].T, DIGITS)
-                for j, (_, user, since, source, doc_type, n) in enumerate(self.rows[start : start + self.slice]):
-                    allowed = np.ones(len(batch), dtype=bool)
-                    if user is not None:
-                        allowed &= equals("user_id", user)
-                    if since is not None:
-                        allowed &= created >= since
-                    if source is not None:
-                        allowed &= equals("source", source) | equals("filename", source)
-                    if doc_type is not None:
-                        allowed &= equals("doc_type", doc_type)
-                    rows = np.flatnonzero(allowed)
-                    best = rows[self._best(scores[rows, j], keys[rows], n)]
-                    values, found = scores[best, j], keys[best]
-                    if start + j in held:
-                        values, found = np.concatenate((held[start + j][0], values)), np.concatenate((held[start + j][1], found))
-                        order = np.lexsort((found, -values))[:n]
-                        values, found = values[order], found[order]
-                    if len(values):
-                        held[start + j] = (values, found)
+            if len(batch):
+                self._batch(batch, held)
         for number in sorted(held):
             values, found = held[number]
             yield pd.DataFrame({"query_id": [self.rows[number][0]] * len(values), "chunk_key": found, "similarity": values})
 
 
-def _topk_block(block: DataFrame, chunks: DataFrame, n: Column, limit: int | None) -> DataFrame:
+class _CellScorer(_Scorer):
+    """As `_Scorer`, but a question meets only the chunks of its own cells; `cells` has a row of cells per question."""
+
+    def __init__(self, rows: list, cells: np.ndarray):
+        super().__init__(rows)
+        order = np.argsort(cells.ravel(), kind="stable")
+        self.cells, first = np.unique(cells.ravel()[order], return_index=True)
+        self.asking = np.split(order // cells.shape[1], first[1:])
+
+    def _batch(self, batch: pd.DataFrame, held: dict) -> None:
+        for cell, part in batch.groupby("cell"):
+            at = np.searchsorted(self.cells, cell)
+            if at < len(self.cells) and self.cells[at] == cell:
+                self._score(part, self.asking[at], held)
+
+
+def _topk_block(
+    block: DataFrame, chunks: DataFrame, n: Column, limit: int | None, probe: Callable[[np.ndarray], np.ndarray] | None = None
+) -> DataFrame:
+    """Best rows of one block of questions. `probe` gives the cells of each question's vector; then `chunks` have a column
+    `cell`, only the partitions of asked cells are read, and a question meets the chunks of its own cells alone."""
     as_key = block.select(
         *QUESTION_COLUMNS[:6], F.unix_micros(strict_date(F.col("date_from"))).alias("from_us"),
         n.alias("n"), "embedding",
@@ -187,10 +215,13 @@ def _topk_block(block: DataFrame, chunks: DataFrame, n: Column, limit: int | Non
     limit = max(int(r["n"]) for r in rows) if limit is None else limit
     wanted = _scan_filter(rows)
     scanned = chunks if wanted is None else chunks.filter(wanted)
-    scored = scanned.select(
-        "chunk_key", "user_id", "source", "filename", "doc_type",
-        F.unix_micros("created_at").alias("created_us"), "embedding",
-    ).mapInPandas(_Scorer(rows), schema)
+    columns = ["chunk_key", "user_id", "source", "filename", "doc_type", F.unix_micros("created_at").alias("created_us"), "embedding"]
+    if probe is None:
+        scorer = _Scorer(rows)
+    else:
+        scorer = _CellScorer(rows, probe(np.array([r["embedding"] for r in rows], dtype=np.float64)))
+        scanned, columns = scanned.filter(F.col("cell").isin(scorer.cells.tolist())), [*columns, "cell"]
+    scored = scanned.select(*columns).mapInPandas(scorer, schema)
     ranked = top_per_key(
         scored, ["query_id"], [F.col("similarity").desc(), F.col("chunk_key")], limit, "vector_rank"
     )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lorewell import constants as K
 from lorewell.operators import retrieval as R
-from lorewell.operators.approx import Projections, approx_topk, recall_at_k
+from lorewell.operators import approx as X
+from lorewell.catalog.search import QUERIES
 from lorewell.plans import retrieve as P
 
 CHUNK = (
@@ -88,20 +89,77 @@ def test_topk_matches_brute_force(spark, many, monkeypatch, block):
     assert got == brute_force(questions, chunks)
 
 
-def test_approx_topk(spark, many):
-    q, c, questions, chunks = many
+@pytest.fixture(scope="module")
+def celled(spark, many, tmp_path_factory):
+    _, c, _, _ = many
+    path = str(tmp_path_factory.mktemp("cells") / "index")
+    cells = X.fit_cells(c, 24)
+    X.write_index(c, cells, path)
+    return X.read_index(spark, path, c.schema), cells
+
+
+def counts(df):
+    return {r.query_id: r["count"] for r in df.groupBy("query_id").count().collect()}
+
+
+def test_every_chunk_is_in_its_nearest_cell(spark, many, celled):
+    _, c, _, _ = many
+    index, cells = celled
+    assert len(cells.centres) == 24 and index.count() == 900
+    for r in index.select("embedding", "cell").distinct().collect():
+        v = np.array(r.embedding)
+        assert r.cell == int(np.round(cells.centres @ v / np.linalg.norm(v), R.DIGITS).argmax())
+
+
+def test_cells_split_dense_regions():
+    rng = np.random.default_rng(1)
+    dense = np.array([1.0, 0, 0, 0]) + 0.1 * rng.standard_normal((900, 4))
+    vectors = np.concatenate((dense, rng.standard_normal((100, 4))))
+    centres = X.split_cells(vectors, 40)
+    size = np.bincount((X._unit(vectors) @ centres.T).argmax(1), minlength=40)
+    assert len(centres) == 40 and size.max() < 100
+    assert len(X.split_cells(np.ones((50, 4)), 8)) == 1 and len(X.split_cells(np.zeros((5, 4)), 8)) == 1
+
+
+def test_approx_topk(spark, many, celled):
+    q, c, _, _ = many
+    index, cells = celled
     exact = R.vector_topk(q, c)
-    found = approx_topk(q, c, lsh=Projections(4, tables=16, width=1.0))
-    counts = lambda df: {r.query_id: r["count"] for r in df.groupBy("query_id").count().collect()}
+    everywhere = X.approx_topk(q, index, cells, probes=24, exact_fallback=False)
+    assert rows(everywhere) == rows(exact)
+    found = X.approx_topk(q, index, cells, probes=6)
     assert counts(found) == counts(exact)
-    recalls = [r.recall for r in recall_at_k(found, exact).collect()]
+    recalls = [r.recall for r in X.recall_at_k(found, exact).collect()]
     assert sum(recalls) / len(recalls) > 0.8
-    # a question whose buckets give too little is answered exactly
-    narrow = approx_topk(q, c, lsh=Projections(4, tables=1, width=1e-6))
-    assert counts(narrow) == counts(exact)
-    # hashes stored with the chunks give the same answer
-    lsh = Projections(4, tables=16, width=1.0)
-    assert rows(approx_topk(q, lsh.add_hashes(c), lsh=lsh)) == rows(found)
+    # a question whose cells give too little is answered exactly
+    assert counts(X.approx_topk(q, index, cells, probes=1)) == counts(exact)
+
+
+def test_only_asked_cells_are_read(spark, many, celled):
+    _, _, questions, _ = many
+    index, cells = celled
+    one = spark.createDataFrame([question(3, user=None, vector=questions[3][-1])], QUESTION)
+    asked = {r.cell for r in X.add_cells_of(one, cells, 2).collect()}
+    plan = R._topk_block(one, index, F.lit(5), None, lambda v: cells.nearest(v, 2))
+    assert "PartitionFilters: [cell" in plan._jdf.queryExecution().executedPlan().toString()
+    part = index.filter(F.col("cell").isin(list(asked)))
+    assert X.scored_pairs(one, index, cells, 2).first().scored == part.count() < 0.5 * index.count()
+    keys = {r.chunk_key for r in plan.collect()}
+    assert keys <= {r.chunk_key for r in part.collect()} and len(keys) == 5
+
+
+def test_recall_of_the_registered_settings(spark):
+    found = QUERIES["approx_recall"](spark, "/root/testdata/sf0.01").toPandas()
+    assert len(found) >= 200
+    assert found["recall"].mean() >= 0.9
+    assert found["scored"].sum() <= 0.2 * found["chunks"].sum()
+
+
+def test_odd_vectors(spark, tmp_path):
+    made = spark.createDataFrame([chunk("a"), chunk("b", vector=(0, 0)), chunk("c", vector=()), chunk("d", vector=(0, 1))], CHUNK)
+    assert [r.cell is not None for r in X.add_cells(made, X.fit_cells(made)).collect()] == [True] * 4
+    empty = made.limit(0)
+    assert X.add_cells(empty, X.fit_cells(empty)).count() == 0
 
 
 def test_chunk_table_is_not_shuffled(spark, many):
