@@ -632,6 +632,20 @@ frames AS (SELECT turn_id, seq, ts, type, CASE WHEN event = 'on_chat_model_start
   CASE WHEN type = 'tool-start' THEN data END AS input FROM typed WHERE type IS NOT NULL)"""
 
 
+def _in_parts(spark, d):
+    """Events whose content comes as a list of objects, a list of texts, plain, or as a broken list."""
+    content, n = F.col("content"), F.col("seq") % 4
+    part = F.struct(F.lit("text").alias("type"), content.alias("text"))
+    listed = (
+        F.when(n == 0, F.to_json(F.array(part))).when(n == 1, F.to_json(F.array(content, F.lit(""))))
+        .when(n == 3, F.concat(F.lit("["), content)).otherwise(content)
+    )
+    return V.graph_events(spark, d).withColumn("content", F.when(content.isNotNull(), listed))
+
+
+_PARTS = "v_parts AS (SELECT * REPLACE (CASE WHEN seq % 4 = 3 THEN '[' || content ELSE content END AS content) FROM v_graph_events)"
+
+
 @query
 def frames_from_events(spark, d):
     return E.frames_from_events(V.graph_events(spark, d))
@@ -640,6 +654,17 @@ def frames_from_events(spark, d):
 SQL["frames_from_events"] = V.with_views("v_graph_events", f"WITH {_FRAMES} SELECT * FROM frames")
 
 
+@query
+def frames_from_events_parts(spark, d):
+    """Frames of events whose content is a list of parts."""
+    return E.frames_from_events(_in_parts(spark, d))
+
+
+SQL["frames_from_events_parts"] = V.with_views(
+    "v_graph_events", f"WITH {_PARTS}, {_FRAMES.replace('v_graph_events', 'v_parts')} SELECT * FROM frames"
+)
+
+
 @query
 def parse_frames(spark, d):
     """Events as raw lines: some without the prefix, some with broken JSON."""
@@ -658,6 +683,20 @@ SQL["parse_frames"] = f"""SELECT event_id, event_type AS type, props AS content,
 FROM events WHERE {V.SQL_K} % 7 > 1"""
 
 
+@query
+def assemble_answer_parts(spark, d):
+    """Answers whose tokens are lists of parts."""
+    return E.assemble_answer(_in_parts(spark, d))
+
+
+SQL["assemble_answer_parts"] = V.with_views(
+    "v_graph_events",
+    f"""WITH {_PARTS}, s AS (SELECT turn_id, max(seq) AS last_start FROM v_parts WHERE {_GEN_START} GROUP BY turn_id)
+SELECT turn_id, string_agg(content, '' ORDER BY seq) AS answer FROM v_parts LEFT JOIN s USING (turn_id)
+WHERE {_TOKEN} AND (last_start IS NULL OR seq > last_start) GROUP BY turn_id""",
+)
+
+
 @query
 def assemble_answer(spark, d):
     return E.assemble_answer(V.graph_events(spark, d))
@@ -709,7 +748,7 @@ def latest_feedback(spark, d):
 
 
 SQL["latest_feedback"] = V.with_views(
-    "v_feedback", "SELECT id, thread_id, score, timestamp FROM v_feedback ORDER BY timestamp DESC, id LIMIT 100"
+    "v_feedback", "SELECT id, thread_id, score, timestamp FROM v_feedback ORDER BY timestamp DESC, id"
 )
 
 

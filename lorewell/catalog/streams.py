@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from lorewell.catalog import conversations as CV
@@ -18,7 +20,9 @@ from lorewell.sources import sinks as K
 from lorewell.sources import tables as ST
 from lorewell.streaming import events as E
 from lorewell.streaming import folds as FO
+from lorewell.streaming import turns as TU
 from lorewell.streaming.ingest import DocumentIngest
+from lorewell.streaming.late import LateGate
 from lorewell.streaming.tables import batch_writer, read_latest, run_to_end
 
 QUERIES = {}
@@ -114,6 +118,104 @@ def dedup_event_stream(spark, d):
 SQL["dedup_event_stream"] = "SELECT DISTINCT user_id || '/' || event_type AS doc_id FROM events"
 
 
+DELAY = dt.timedelta(days=10)
+
+
+def _gated(spark, parts, delay, name):
+    """A gate that has seen the parts one after the other, each as a stream's new files."""
+    base = shared_dir(spark, name)
+    gate = LateGate(f"{base}/gate", delay)
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        gate.run(spark.readStream.schema(part.schema).parquet(f"{base}/in"), f"{base}/checkpoint")
+    return gate
+
+
+def _gated_events(spark, d):
+    """Two thirds of the events arrive first, the others after them: some of those too late."""
+    events = V.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    after = F.col("event_id") % 3 == 0
+    return _gated(spark, [events.filter(~after), events.filter(after)], DELAY, "late"), events.schema
+
+
+_GATED = f"""g AS (SELECT event_id, ts, event_type, event_id % 3 = 0 AND ts < (SELECT max(ts) FROM events WHERE event_id % 3 <> 0)
+  - INTERVAL {DELAY.days} DAY AS late FROM events)"""
+
+
+@query
+def late_events(spark, d):
+    """Every event with what the gate made of it, and the number of late events that it counted in the event's batch."""
+    gate, schema = _gated_events(spark, d)
+    on_time = spark.read.parquet(gate.on_time_path).withColumn("late", F.lit(False))
+    both = on_time.unionByName(gate.late(spark, schema).withColumn("late", F.lit(True)))
+    counted = gate.counts(spark).select("batch", "n", "n_late")
+    return both.join(counted, "batch").select("event_id", "late", "n", "n_late")
+
+
+SQL["late_events"] = f"""WITH {_GATED}
+SELECT event_id, late, count(*) OVER (PARTITION BY event_id % 3 = 0) AS n, count(*) FILTER (late) OVER (PARTITION BY event_id % 3 = 0) AS n_late FROM g"""
+
+
+@query
+def success_rate_on_time(spark, d):
+    """Success rate over the on-time events, as a stream; a delay as long as the gate's drops none of them."""
+    gate, schema = _gated_events(spark, d)
+    tasks = gate.on_time(spark, schema).select("ts", (F.col("event_type") != "error").alias("succeeded"))
+    return _run(spark, T.success_rate(tasks.withWatermark("ts", f"{DELAY.days} days")), "rate", ["window_start"])
+
+
+SQL["success_rate_on_time"] = f"WITH {_GATED}, on_time AS (SELECT * FROM g WHERE NOT late) " + TL.SQL["success_rate"].replace(
+    "FROM events", "FROM on_time"
+)
+
+
+@query
+def live_turns(spark, d):
+    """Turns that answer when they have been silent for half an hour, with their late tokens; `open`: whether a state is left."""
+    events = V.graph_events(spark, d)
+    again = events.filter(CV.E.token()).groupBy("turn_id").agg(F.max_by(F.struct(*events.columns), "seq").alias("e")).select("e.*")
+    again = again.withColumn("seq", F.col("seq") + 1_000_000_000)
+    last = events.agg(F.max("ts").alias("ts"))
+    closing = lambda days: last.select(
+        F.lit("closing").alias("turn_id"), F.lit(days).cast("bigint").alias("seq"), F.expr(f"ts + INTERVAL {days} DAYS").alias("ts"),
+        F.lit("on_chain_end").alias("event"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns[4:]],
+    )
+    parts = [events, again.unionByName(closing(2)), closing(3)]
+    base, gate = shared_dir(spark, "live"), None
+    gate = LateGate(f"{base}/gate", dt.timedelta(hours=1))
+    for part in parts:  # the second stream follows the first one batch by batch
+        part.write.mode("append").parquet(f"{base}/in")
+        gate.run(spark.readStream.schema(part.schema).parquet(f"{base}/in"), f"{base}/gate-checkpoint")
+        finished = TU.live_turns(gate.on_time(spark, events.schema), "1 hour", 1800)
+        writer = finished.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+        run_to_end(writer, f"{base}/checkpoint")
+    late = gate.late(spark, events.schema).groupBy("turn_id").agg(F.count(F.lit(1)).alias("late_tokens"))
+    left = TU.open_turns(spark, f"{base}/checkpoint").select("turn_id", F.lit(True).alias("open"))
+    done = spark.read.schema(TU.FINISHED).parquet(f"{base}/out")
+    return done.join(late, "turn_id", "left").join(left, "turn_id", "full").select(
+        "turn_id", "answer", "n_tokens", "first_token_seconds", "total_seconds", F.coalesce("late_tokens", F.lit(0)).alias("late_tokens"),
+        F.coalesce("open", F.lit(False)).alias("open"),
+    )
+
+
+SQL["live_turns"] = V.with_views(
+    "v_graph_events",
+    f"""WITH again AS (SELECT * REPLACE (seq + 1000000000 AS seq) FROM v_graph_events WHERE {CV._TOKEN}
+  QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY seq DESC) = 1),
+bound AS (SELECT max(ts) - INTERVAL 1 HOUR AS least FROM v_graph_events),
+seen AS (SELECT * FROM v_graph_events UNION ALL SELECT * FROM again WHERE ts >= (SELECT least FROM bound)),
+late AS (SELECT turn_id, count(*) AS n FROM again WHERE ts < (SELECT least FROM bound) GROUP BY turn_id),
+s AS (SELECT turn_id, max(seq) FILTER (WHERE {CV._GEN_START}) AS last_start, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us,
+  epoch_us(min(ts) FILTER (WHERE {CV._TOKEN})) AS token_us FROM seen GROUP BY turn_id),
+a AS (SELECT turn_id, string_agg(content, '' ORDER BY seq) AS answer, count(*) AS n_tokens FROM seen JOIN s USING (turn_id)
+  WHERE {CV._TOKEN} AND (last_start IS NULL OR seq > last_start) GROUP BY turn_id)
+SELECT s.turn_id, answer, coalesce(n_tokens, 0) AS n_tokens, (token_us - first_us) / 1000000 AS first_token_seconds,
+  (last_us - first_us) / 1000000 AS total_seconds, coalesce(late.n, 0) AS late_tokens, false AS open
+FROM s LEFT JOIN a ON s.turn_id = a.turn_id LEFT JOIN late ON s.turn_id = late.turn_id
+UNION ALL SELECT 'closing', NULL, NULL, NULL, NULL, 0, true""",
+)
+
+
 def _messages(spark, d):
     """Documents as messages: some without id, with a broken id, with broken JSON or a forbidden file type."""
     n = F.col("doc_id")

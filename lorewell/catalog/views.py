@@ -427,16 +427,19 @@ FROM (SELECT *, CASE WHEN role = 'assistant' AND length(text) > 500 THEN 'tool'
 
 
 def feedback(spark: SparkSession, d: str) -> DataFrame:
-    """Each assistant row rated by its thread's labelled document: quality gives the score, toxic a correction."""
+    """Each assistant row rated by its thread's labelled document: quality gives the score, toxic a correction.
+
+    Threads without a label are not rated: score 0, no correction.
+    """
     conv = table(spark, d, "conversations").filter(F.col("role") == "assistant")
     labels = table(spark, d, "labels")
     n, t = F.col("conv_id"), F.col("turn")
-    return conv.join(labels, n == F.col("doc_id")).select(
+    return conv.join(labels, n == F.col("doc_id"), "left").select(
         F.concat_ws("-", F.lit("fb"), n.cast("string"), t.cast("string")).alias("id"),
         n.cast("string").alias("thread_id"),
         F.when(n % 13 != 0, F.concat(F.lit("question "), n.cast("string"))).alias("user_prompt"),
         F.when(t % 4 != 3, F.col("text")).alias("ai_response"),
-        F.when(F.col("quality") == 1, 1).when(n % 10 == 0, 0).otherwise(-1).cast("bigint").alias("score"),
+        F.when(F.col("quality") == 1, 1).when(F.col("quality").isNull() | (n % 10 == 0), 0).otherwise(-1).cast("bigint").alias("score"),
         F.when(n % 2 == 0, F.concat(F.lit("better "), F.col("toxic").cast("string"))).alias("user_correction"),
         micros(F.lit(EPOCH_2024) + n * HOUR + t * MINUTE).alias("timestamp"),
     )
@@ -447,10 +450,10 @@ _sql(
     f"""SELECT 'fb-' || conv_id || '-' || turn AS id, CAST(conv_id AS VARCHAR) AS thread_id,
   CASE WHEN conv_id % 13 <> 0 THEN 'question ' || conv_id END AS user_prompt,
   CASE WHEN turn % 4 <> 3 THEN text END AS ai_response,
-  CAST(CASE WHEN quality = 1 THEN 1 WHEN conv_id % 10 = 0 THEN 0 ELSE -1 END AS BIGINT) AS score,
+  CAST(CASE WHEN quality = 1 THEN 1 WHEN quality IS NULL OR conv_id % 10 = 0 THEN 0 ELSE -1 END AS BIGINT) AS score,
   CASE WHEN conv_id % 2 = 0 THEN 'better ' || toxic END AS user_correction,
   make_timestamp({EPOCH_2024} + conv_id * {HOUR} + turn * {MINUTE}) AS timestamp
-FROM conversations JOIN labels ON conv_id = doc_id WHERE role = 'assistant'""",
+FROM conversations LEFT JOIN labels ON conv_id = doc_id WHERE role = 'assistant'""",
 )
 
 

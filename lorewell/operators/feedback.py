@@ -16,9 +16,10 @@ def append_feedback(feedback: DataFrame, new: DataFrame) -> DataFrame:
     return feedback.unionByName(made, allowMissingColumns=True)
 
 
-def latest_feedback(feedback: DataFrame, limit: int = 100) -> DataFrame:
-    """The newest ratings, newest first; planned as a top-n, not a full sort."""
-    return feedback.orderBy(F.col("timestamp").desc(), "id").limit(limit)
+def latest_feedback(feedback: DataFrame, limit: int | None = None) -> DataFrame:
+    """The ratings, newest first; `limit` keeps the newest ones, planned as a top-n, not a full sort."""
+    ordered = feedback.orderBy(F.col("timestamp").desc(), "id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def export_golden(feedback: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -38,16 +38,24 @@ def parse_frames(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def flatten_content(content: Column) -> Column:
-    """Model content as text: a JSON list of parts is joined, anything else stays as it is."""
-    parts = F.from_json(content, "array<string>")
-    texts = F.transform(parts, lambda p: F.coalesce(F.get_json_object(p, "$.text"), p))
-    return F.when(F.startswith(content, F.lit("[")) & parts.isNotNull(), F.array_join(texts, "")).otherwise(content)
+    """Model content as text: a JSON list of parts is joined (the `text` of an object, else the part itself), anything else
+    stays as it is."""
+    parts = F.try_variant_get(F.try_parse_json(content), "$", "array<variant>")
+    texts = F.transform(
+        parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"))
+    )
+    return F.when(F.startswith(content, F.lit("[")), F.coalesce(F.array_join(texts, ""), content)).otherwise(content)
+
+
+def flattened(events: DataFrame) -> DataFrame:
+    """Events with list content as text."""
+    return events.withColumn("content", flatten_content(F.col("content")))
 
 
 def assemble_answer(events: DataFrame) -> DataFrame:
     """(turn_id, answer): the tokens after the turn's last model start, joined; earlier tokens are discarded."""
     starts = events.filter(model_start()).groupBy("turn_id").agg(F.max("seq").alias("last_start"))
-    kept = lookup(events.filter(token()), starts, ["turn_id"]).filter(
+    kept = lookup(flattened(events).filter(token()), starts, ["turn_id"]).filter(
         F.col("last_start").isNull() | (F.col("seq") > F.col("last_start"))
     )
     return ordered_concat(kept, ["turn_id"], "seq", F.col("content"), "", "answer")
@@ -58,6 +66,7 @@ def frames_from_events(events: DataFrame) -> DataFrame:
 
     A model start after text was already shown announces a correction.
     """
+    events = flattened(events)
     # among model starts and visible tokens, a start that directly follows a token is a restart
     starts = model_start()
     visible = token() & ~is_blank(F.col("content"))

@@ -63,10 +63,17 @@ def parse_document_events(messages: DataFrame) -> DataFrame:
     )
 
 
-def retries(failed: DataFrame, limit: int = K.MAX_CONSUMER_RETRIES) -> DataFrame:
-    """Failed messages that go round again, with their retry count one higher."""
-    count = F.struct(F.lit("retry-count").alias("key"), (F.col("retry_count") + 1).cast("string").alias("value"))
-    return failed.filter(F.col("retry_count") < limit).select("key", "value", F.array(count).alias("headers"), "timestamp")
+def due() -> Column:
+    """When a retried message may be taken again; NULL for a message that is no retry."""
+    return F.timestamp_seconds(F.try_to_number(header("due"), F.lit("999999999999")))
+
+
+def retries(failed: DataFrame, failed_at: Column, limit: int = K.MAX_CONSUMER_RETRIES) -> DataFrame:
+    """Failed messages that go round again: their retry count one higher, due 60, 120, ... seconds after `failed_at`."""
+    entry = lambda name, value: F.struct(F.lit(name).alias("key"), value.cast("string").alias("value"))
+    wait = F.lit(K.RETRY_BASE_SECONDS) * F.pow(F.lit(2.0), F.col("retry_count")).cast("bigint")
+    headers = F.array(entry("retry-count", F.col("retry_count") + 1), entry("due", F.unix_seconds(failed_at) + wait))
+    return failed.filter(F.col("retry_count") < limit).select("key", "value", headers.alias("headers"), "timestamp")
 
 
 def dead_letters(failed: DataFrame, topic: str, failed_at: Column, limit: int = K.MAX_CONSUMER_RETRIES) -> DataFrame:

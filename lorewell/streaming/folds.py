@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.operators.frames import model_start, token
+from lorewell.operators.frames import flattened, model_start, token
 from lorewell.operators.skew import DEFAULT_BLOCK, lookup, ordered_concat
 
 
@@ -29,7 +29,7 @@ def turn_blocks(events: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     A state row never holds more than one range of a turn, however long the turn grows.
     """
     piece = F.when(token(), F.struct("seq", "content"))
-    return events.groupBy("turn_id", F.floor(F.col("seq") / block).alias("block")).agg(
+    return flattened(events).groupBy("turn_id", F.floor(F.col("seq") / block).alias("block")).agg(
         F.collect_list(piece).alias("tokens"),
         F.max(F.when(model_start(), F.col("seq"))).alias("last_start"),
         F.min("ts").alias("first_ts"),

@@ -2,12 +2,17 @@
 
 At-least-once in, idempotent out. Everything a batch writes is named after the batch, and the chunk store
 skips a version it already holds, so a batch that failed half-way can run again.
+
+Failed messages are written to the retry folder with the time they are due, and the stream reads that folder as its second source.
+A batch takes the messages that are due by its own time, which is stored once per batch, and hands the others on in the waiting
+folder, the third source, whose files are deleted once they have been read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +22,7 @@ from lorewell import constants as K
 from lorewell.operators import admission as A
 from lorewell.operators import chunking as C
 from lorewell.operators.indexing import chunk_key
-from lorewell.schemas import CHUNKS, JOB_EVENTS, JOBS
+from lorewell.schemas import CHUNKS, JOB_EVENTS, JOBS, MESSAGE
 from lorewell.session import materialize
 from lorewell.sources.sinks import ChunkStore, write_dead_letters
 from lorewell.streaming import events as E
@@ -36,6 +41,7 @@ class DocumentIngest:
     source_buckets: int = 16
     allowed_delay_seconds: int | None = None
     objects: str | None = None
+    clock: Callable[[], datetime] = lambda: datetime.now(UTC)
 
     @property
     def jobs_path(self) -> str:
@@ -49,6 +55,10 @@ class DocumentIngest:
     def retry_path(self) -> str:
         return f"{self.base}/retry"
 
+    @property
+    def waiting_path(self) -> str:
+        return f"{self.base}/waiting"
+
     @property
     def dead_path(self) -> str:
         return f"{self.base}/dead"
@@ -70,10 +80,26 @@ class DocumentIngest:
         """The current chunk table."""
         return self.store.read(spark, _parse_datatype_string(CHUNKS), users)
 
+    def _one_value(self, spark: SparkSession, name: str, batch: int):
+        """The one value that a batch stored under a name."""
+        rows = read_batches(spark, f"{self.base}/{name}", _parse_datatype_string("value timestamp"))
+        row = rows.filter(F.col("batch") == batch).select("value").first()
+        return row and row["value"]
+
+    def _store_value(self, spark: SparkSession, name: str, batch: int, value: datetime | None) -> None:
+        batch_writer(f"{self.base}/{name}")(spark.createDataFrame([(value,)], "value timestamp"), batch)
+
+    def now(self, spark: SparkSession, batch: int) -> datetime:
+        """The time of a batch: read from the clock once, so that the batch gives the same result when it runs again."""
+        stored = self._one_value(spark, "clock", batch)
+        if stored is None:
+            self._store_value(spark, "clock", batch, self.clock())
+            stored = self._one_value(spark, "clock", batch)
+        return stored
+
     def watermark(self, spark: SparkSession, before: int):
-        """The latest accepted event time of the batches before this one, less the allowed delay."""
-        accepted = read_batches(spark, self.events_path, _parse_datatype_string(JOB_EVENTS)).filter(F.col("batch") < before)
-        latest = accepted.agg(F.max("ts")).first()[0]
+        """The latest event time of the batches before this one, kept by the last of them, less the allowed delay."""
+        latest = self._one_value(spark, "latest", before - 1) if before else None
         return None if latest is None else latest - timedelta(seconds=self.allowed_delay_seconds)
 
     def with_objects(self, parsed: DataFrame) -> DataFrame:
@@ -107,21 +133,26 @@ class DocumentIngest:
         )
 
     def process(self, messages: DataFrame, batch_id: int) -> None:
-        """One micro-batch. Reads the clock of the messages only, so a replay gives the same result."""
+        """One micro-batch. Its time is stored, so a replay gives the same result."""
         spark = messages.sparkSession
+        now = F.lit(self.now(spark, batch_id))
+        early = F.coalesce(E.due() > now, F.lit(False))
+        waiting = materialize(messages.filter(early).select("key", "value", "headers", "timestamp"), "waiting")
+        waiting.write.mode("overwrite").json(f"{self.waiting_path}/batch={batch_id}")
+        messages = messages.filter(~early)
         parsed = self.with_objects(E.parse_document_events(messages)).withColumn("length", F.octet_length("content"))
         checked = A.validate_files(parsed.withColumnRenamed("error", "unreadable"), max_bytes=self.max_bytes)
         checked = checked.withColumn("error", F.coalesce("unreadable", "error")).drop("unreadable")
         watermark = None if self.allowed_delay_seconds is None else self.watermark(spark, batch_id)
         if watermark is not None:
             # too late to be taken in: kept as dead letters, whatever their retry count
-            late = F.coalesce(F.col("timestamp") < F.lit(watermark), F.lit(False))
+            late = F.coalesce((F.col("timestamp") < F.lit(watermark)) & E.due().isNull(), F.lit(False))  # a retry was in time once
             checked = checked.withColumn("retry_count", F.when(late, K.MAX_CONSUMER_RETRIES).otherwise(F.col("retry_count")))
             checked = checked.withColumn("error", F.when(late, "late event").otherwise(F.col("error")))
         checked = materialize(checked, "events")
 
         failed = checked.filter(F.col("error").isNotNull())
-        E.retries(failed).write.mode("overwrite").json(f"{self.retry_path}/batch={batch_id}")
+        E.retries(failed, now).write.mode("overwrite").json(f"{self.retry_path}/batch={batch_id}")
         write_dead_letters(E.dead_letters(failed, self.topic, F.col("timestamp")), self.dead_path, batch_id)
 
         uploads = checked.filter(F.col("error").isNull()).select(
@@ -171,6 +202,9 @@ class DocumentIngest:
         outcomes = done.select("doc_id", "ts", F.array(F.lit("received"), F.lit("queued"), last).alias("steps"), problem.alias("problem")).unionByName(
             refused.select("doc_id", "ts", F.array(F.lit("received"), F.when(over, "dead").otherwise("failed")).alias("steps"), "problem")
         )
+        if self.allowed_delay_seconds is not None:
+            seen = (self._one_value(spark, "latest", batch_id - 1) if batch_id else None, outcomes.agg(F.max("ts")).first()[0])
+            self._store_value(spark, "latest", batch_id, max((t for t in seen if t is not None), default=None))
         events = outcomes.select("doc_id", "ts", "problem", F.size("steps").alias("n"), F.posexplode("steps").alias("step", "status"))
         batch_writer(self.events_path)(
             events.select(
@@ -181,9 +215,17 @@ class DocumentIngest:
         )
 
     def start(self, messages: DataFrame, checkpoint: str, **trigger):
-        """Run the stream; `trigger` as for writeStream.trigger."""
+        """Run the stream over new messages and retries; `trigger` as for writeStream.trigger.
+
+        Waiting retries are handed on by every batch, so an interval of about the shortest wait is sensible.
+        """
+        reader = lambda: messages.sparkSession.readStream.schema(MESSAGE)
+        retried = reader().json(f"{self.retry_path}/batch=*")
+        waited = reader().option("cleanSource", "delete").json(f"{self.waiting_path}/batch=*")
+        columns = ["key", "value", "headers", "timestamp"]
+        both = messages.select(*columns).unionByName(retried.select(*columns)).unionByName(waited.select(*columns))
         return (
-            messages.writeStream.foreachBatch(self.process)
+            both.writeStream.foreachBatch(self.process)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start()

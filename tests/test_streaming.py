@@ -14,7 +14,9 @@ from lorewell.operators import telemetry as TL
 from lorewell.schemas import MESSAGE
 from lorewell.streaming import events as E
 from lorewell.streaming import folds as FO
+from lorewell.streaming import turns as TU
 from lorewell.streaming.ingest import DocumentIngest
+from lorewell.streaming.late import LateGate
 from lorewell.streaming.tables import batch_writer, read_latest, run_to_end
 
 T0 = dt.datetime(2026, 1, 1)
@@ -44,7 +46,7 @@ def inbox(tmp_path):
 
 
 def run(spark, inbox, out, checkpoint):
-    job = DocumentIngest(str(out), user_buckets=2, source_buckets=2)
+    job = DocumentIngest(str(out), user_buckets=2, source_buckets=2, clock=lambda: T0.replace(tzinfo=dt.UTC))  # no retry comes due
     stream = E.read_document_events(spark, str(inbox), max_files=1)
     job.start(stream, str(checkpoint)).awaitTermination()
     return job
@@ -203,3 +205,71 @@ def test_events_by_reference(spark, inbox, tmp_path):
     states = {r.doc_id: (r.status, r.error_msg) for r in job.job_events(spark).collect() if r.status not in ("received", "queued")}
     assert states[ID % 1] == ("indexed", None) and states[ID % 3] == ("failed", "no text to index")
     assert states[ID % 2] == ("dead", "FileNotFoundError: nothing.txt")
+
+
+def test_retries_return_when_they_are_due(spark, inbox, tmp_path):
+    objects = tmp_path / "objects"
+    objects.mkdir()
+    by_name = lambda doc, name: {"doc_id": doc, "filename": "a.txt", "user_id": "u", "object_name": name}
+    put(inbox, "1.json", [
+        message(by_name(ID % 1, "slow.txt"), 0), message(by_name(ID % 2, "never.txt"), 0), message(event(ID % 3, "Texto."), 500),
+    ])
+    time = [T0.replace(tzinfo=dt.UTC)]
+
+    def step(seconds):
+        time[0] += dt.timedelta(seconds=seconds)
+        job = DocumentIngest(str(tmp_path / "out"), user_buckets=2, source_buckets=2, objects=str(objects),
+                             allowed_delay_seconds=60, clock=lambda: time[0])
+        job.start(E.read_document_events(spark, str(inbox)), str(tmp_path / "cp")).awaitTermination()
+        last = job.job_events(spark).groupBy("doc_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("s"))
+        count = job.job_events(spark).filter("status = 'received'").groupBy("doc_id").count()
+        return {r.doc_id[-1]: (r.s, r["count"]) for r in last.join(count, "doc_id").collect()}
+
+    assert step(0) == {"1": ("failed", 1), "2": ("failed", 1), "3": ("indexed", 1)}
+    assert step(59) == {"1": ("failed", 1), "2": ("failed", 1), "3": ("indexed", 1)}  # not due yet
+    assert step(1) == {"1": ("failed", 2), "2": ("failed", 2), "3": ("indexed", 1)}
+    (objects / "slow.txt").write_text("Ya está aquí.")
+    assert step(119) == {"1": ("failed", 2), "2": ("failed", 2), "3": ("indexed", 1)}
+    assert step(1) == {"1": ("indexed", 3), "2": ("failed", 3), "3": ("indexed", 1)}
+    assert step(240) == {"1": ("indexed", 3), "2": ("dead", 4), "3": ("indexed", 1)}
+    assert step(10_000)["2"] == ("dead", 4)
+
+
+TIMED = "n int, ts timestamp"
+
+
+def test_late_rows_are_kept_and_counted(spark, tmp_path):
+    gate = LateGate(str(tmp_path / "gate"), dt.timedelta(minutes=10))
+    minute = lambda m: T0 + dt.timedelta(minutes=m)
+    batches = [[(1, minute(0)), (2, minute(30))], [(3, minute(20)), (4, minute(19)), (5, None)], [], [(6, minute(31)), (7, minute(19))]]
+    for number, data in enumerate(batches):
+        for _ in range(2):  # every batch runs twice
+            gate.process(spark.createDataFrame(data, TIMED), number)
+    on_time = spark.read.parquet(gate.on_time_path)
+    assert rows(on_time, "n") == [(1,), (2,), (3,), (5,), (6,)]
+    assert rows(gate.late(spark, on_time.select("n", "ts").schema), "n", "batch") == [(4, 1), (7, 3)]
+    assert rows(gate.counts(spark), "batch", "n", "n_late") == [(0, 2, 0), (1, 3, 1), (2, 0, 0), (3, 2, 1)]
+
+
+def test_silent_turns_answer_once(spark, tmp_path):
+    schema = "turn_id string, seq bigint, ts timestamp, event string, name string, is_generation boolean, content string, data string"
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    say = lambda turn, seq, m, text: (turn, seq, at(m), "on_chat_model_stream", "model", True, text, None)
+    start = lambda turn, seq, m: (turn, seq, at(m), "on_chat_model_start", "model", True, None, None)
+    steps = [
+        [start("a", 1, 0), say("a", 2, 1, "old "), start("b", 1, 1), say("b", 2, 2, '[{"text": "x"}, "y"]')],
+        [start("a", 3, 5), say("a", 4, 6, "new "), say("b", 3, 100, "far")],  # b goes on: its timer moves
+        [say("c", 1, 200, "later")],
+        [say("a", 5, 7, "too late"), say("d", 1, 400, "end")],
+        [say("d", 2, 900, "end")],
+    ]
+    for number, data in enumerate(steps):
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        writer = TU.live_turns(stream, "10 minutes", 1800).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        run_to_end(writer, str(tmp_path / "cp"))
+    found = spark.read.schema(TU.FINISHED).parquet(str(tmp_path / "out"))
+    wanted = [("a", "new ", 1), ("b", "xyfar", 2), ("c", "later", 1)]
+    assert rows(found, "turn_id", "answer", "n_tokens") == wanted
+    assert rows(found.filter("turn_id = 'a'"), "first_token_seconds", "total_seconds") == [(60.0, 360.0)]
+    assert rows(TU.open_turns(spark, str(tmp_path / "cp")), "turn_id") == [("d",)]
