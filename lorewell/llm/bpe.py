@@ -2,8 +2,9 @@
 
 Texts are cut in units (a word with the blank before it, or white space) by their bytes; distinct units of a slice
 are split into pieces by the tokenizer's pattern, and distinct pieces are merged together: their symbols lie in one flat
-array, each round finds every pair's rank by binary search over the sorted pair keys and merges each word's
-lowest-rank pair, and words without a mergeable pair leave the array. Results go back to the units by gathering.
+array, pairs find their rank by binary search over the sorted pair keys, each round merges every word's lowest-rank pair
+and looks up the pairs beside it, and words without a mergeable pair leave the array. In long words each round merges every
+pair that no lower rank can reach. Results go back to the units by gathering.
 
 The vocabulary file is read once on the driver and broadcast; its size is bounded by the vocabulary. Ids are those of the
 public library for the same file without special tokens added; a special token's string within a text is its id.
@@ -35,6 +36,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space beyond ASCII: texts with it are cut by the pattern itself.
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NONE = np.int32(2**31 - 1)
+#: Bytes of a word beyond which many of its pairs merge in one round.
+LONG = 400
 
 
 def _byte_letters() -> dict[str, int]:
@@ -100,44 +103,95 @@ class Tokenizer:
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in self.token_bytes])))
         return offsets, np.frombuffer(b"".join(self.token_bytes), np.uint8)
 
+    def _ranks(self, symbol: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at the places `at`; NONE where the pair is no merge or spans two words."""
+        key = symbol[at].astype(np.int64) * len(self.token_bytes) + symbol[at + 1]
+        place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        fits = (self.pair_keys[place] == key) & (word[at] == word[at + 1])
+        return np.where(fits, self.pair_rank[place], NONE)
+
+    def _merged(self, symbol, word, rank, at):
+        """The arrays after merging the pairs at the (ascending, disjoint) places `at`; only the pairs beside them get new ranks."""
+        symbol = symbol.copy()
+        symbol[at] = self.result_of_rank[rank[at]]
+        keep = np.ones(len(symbol), bool)
+        keep[at + 1] = False
+        symbol, word = symbol[keep], word[keep]
+        keep[at + 1], keep[at] = True, False  # the pair that began at the merged symbol's right part begins at its left now
+        rank = rank[keep]
+        changed = at - np.arange(len(at))
+        changed = np.concatenate((changed, changed[changed > 0] - 1))
+        inside = changed[changed < len(symbol) - 1]
+        rank[inside] = self._ranks(symbol, word, inside)
+        return symbol, word, rank
+
     def merge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of byte strings given as one flat array."""
-        size, n = len(self.token_bytes), len(offsets) - 1
-        symbol, word = self.byte_id[data], np.repeat(np.arange(n), np.diff(offsets))
-        done_symbol, done_word = [], []
+        n, sizes = len(offsets) - 1, np.diff(offsets)
+        symbol, word = self.byte_id[data], np.repeat(np.arange(n), sizes)
+        is_long = np.repeat(sizes > LONG, sizes)
+        done = [self._merge_long(data[is_long], symbol[is_long], word[is_long])]
+        symbol, word = symbol[~is_long], word[~is_long]
+        rank = np.full(len(symbol), NONE, np.int32)
+        rank[:-1] = self._ranks(symbol, word, np.arange(max(len(symbol) - 1, 0)))
         while len(symbol):
-            key = symbol[:-1].astype(np.int64) * size + symbol[1:]
-            place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            rank = np.full(len(symbol), NONE, np.int32)
-            fits = (self.pair_keys[place] == key) & (word[:-1] == word[1:])
-            rank[:-1][fits] = self.pair_rank[place[fits]]
             begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             lowest = np.repeat(np.minimum.reduceat(rank, begin), np.diff(np.append(begin, len(symbol))))
             ended = lowest == NONE
             if ended.any():
-                done_symbol.append(symbol[ended])
-                done_word.append(word[ended])
+                done.append((symbol[ended], word[ended]))
                 going = ~ended
                 symbol, word, rank, lowest = symbol[going], word[going], rank[going], lowest[going]
                 if not len(symbol):
                     break
-            chosen = rank == lowest
-            at = np.flatnonzero(chosen)
+            at = np.flatnonzero(rank == lowest)
             # in a run of overlapping equal pairs every other one merges, from the left
             new = np.concatenate(([True], np.diff(at) != 1))
             run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - run) % 2 == 0]
-            symbol = symbol.copy()
-            symbol[at] = self.result_of_rank[rank[at]]
-            keep = np.ones(len(symbol), bool)
-            keep[at + 1] = False
-            symbol, word = symbol[keep], word[keep]
-        if not done_symbol:
-            return np.zeros(n + 1, np.int64), np.zeros(0, np.int32)
-        symbol, word = np.concatenate(done_symbol), np.concatenate(done_word)
+            symbol, word, rank = self._merged(symbol, word, rank, at[(np.arange(len(at)) - run) % 2 == 0])
+        symbol, word = (np.concatenate(parts) for parts in zip(*done))
         order = np.argsort(word, kind="stable")
         return np.searchsorted(word[order], np.arange(n + 1)), symbol[order]
 
+    def _merge_long(self, data: np.ndarray, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, words) of long words, many merges of a word in each round.
+
+        A pair may merge once no pair within `width` symbols has a lower rank, if every token made by lower ranks has at most `width`
+        bytes: another token with one of its two symbols would begin with a pair in that reach. Ranks are taken in bands,
+        from those that make short tokens on, so that most rounds look at few neighbours.
+        """
+        if not len(symbol):
+            return symbol, word
+        rank = np.full(len(symbol), NONE, np.int32)
+        rank[:-1] = self._ranks(symbol, word, np.arange(len(symbol) - 1))
+        offsets, letters = self._decoding
+        strange = np.concatenate(([0], np.cumsum(~np.isin(letters, data))))
+        able = strange[offsets[1:]] == strange[offsets[:-1]]  # tokens of bytes that occur here
+        reach = np.maximum.accumulate(np.where(able, np.diff(offsets), 0)[self.result_of_rank])
+        width = 2
+        while width < 2 * max(int(reach[-1]), 2):
+            limit = np.searchsorted(reach, width, "right")
+            while True:
+                within = np.where(rank < limit, rank, NONE)
+                low = np.concatenate((np.full(width, NONE), within, np.full(width, NONE)))
+                span = 1
+                while span <= width:  # the least of each place and the `width` after it
+                    step = min(span, width + 1 - span)
+                    low = np.minimum(low[:-step], low[step:])
+                    span += step
+                low = np.minimum(low[: len(within)], low[width:])
+                at = np.flatnonzero((within == low) & (within != NONE))
+                if not len(at):
+                    break
+                # as above, but a run of equal pairs must be seen from its beginning
+                new = np.concatenate(([True], np.diff(at) != 1))
+                run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                first = at[run]
+                whole = (first == 0) | (rank[first - 1] != rank[first]) | (word[first - 1] != word[first])
+                symbol, word, rank = self._merged(symbol, word, rank, at[whole & ((np.arange(len(at)) - run) % 2 == 0)])
+            width *= 2
+        return symbol, word
+
     @cached_property
     def result_of_rank(self) -> np.ndarray:
         out = np.zeros(len(self.pair_rank), np.int32)
@@ -200,9 +254,14 @@ class Tokenizer:
         pieces: list[str] = []
         count = np.empty(len(units), np.int64)
         for i, unit in enumerate(units):
-            found = self._pieces(unit)
-            count[i] = len(found)
-            pieces += found
+            plain = unit[1:] if unit[:1] == " " else unit
+            if plain.isascii() and plain.isalpha() and unit not in self.special:  # letters are one piece, with a blank before them or not
+                count[i] = 1
+                pieces.append(unit)
+            else:
+                found = self._pieces(unit)
+                count[i] = len(found)
+                pieces += found
         encoded = pa.array(pieces, pa.large_string()).dictionary_encode()
         codes, distinct = encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary
         data, offsets = words.text_bytes(distinct)

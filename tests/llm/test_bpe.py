@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -40,6 +41,23 @@ def test_special_strings_and_long_words():
     check(["a" * 5001, "ab" * 3000, "é" * 1000, " " * 3000 + "x", "\n" * 999, "1" * 2000 + "!" * 2000, "the " * 4000])
 
 
+def test_long_pieces_merge_many_pairs_a_round(monkeypatch):
+    rng = np.random.default_rng(5)
+    alphabets = ["ab", "aaab", "etaoin", "abcdefghij", "aB\u00e9\u6f22", "-=", "the"]
+    monkeypatch.setattr(bpe, "LONG", 3)  # so that nearly every piece takes that way
+    for k in range(120):
+        check(["".join(rng.choice(list(alphabets[(k + i) % len(alphabets)]), rng.integers(1, 80))) for i in range(20)])
+    monkeypatch.undo()
+    check(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzXYZ"), n)) for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 30_000)] + ["q" * 70_001])
+
+
+def test_a_megabyte_without_blanks():
+    text = "".join(np.random.default_rng(6).choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 1_000_000))
+    begin = time.process_time()
+    check([text])
+    assert time.process_time() - begin < 20
+
+
 def test_every_code_point():
     for low in range(0, 0x30000, 0x800):
         points = [chr(c) for c in range(low, low + 0x800) if not 0xD800 <= c < 0xE000]
