@@ -24,7 +24,7 @@ def id_remainder(doc_id: str | Column, modulus: int = 5) -> Column:
 
 
 def arrow_pass(
-    df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str
+    df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType
 ) -> DataFrame:
     """`step` over every Arrow batch, in the tasks that hold the rows."""
 

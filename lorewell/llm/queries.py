@@ -63,7 +63,7 @@ def op5_decontamination(spark, sf_dir):
 def op6_lm_scoring(spark, sf_dir):
     """Unigram and attention-model scores of every document, learned from those that are not held out."""
     docs = table(configure(spark), sf_dir, "documents")
-    found = lm_scoring.score(docs, docs.filter(id_remainder("doc_id") != 1), vocabulary_path())
+    found = lm_scoring.score(docs, id_remainder("doc_id") != 1, vocabulary_path())
     return found.withColumn("held_out", id_remainder("doc_id") == 1)
 
 
