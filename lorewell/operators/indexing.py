@@ -25,18 +25,19 @@ def index_diff(incoming: DataFrame, current: DataFrame) -> DataFrame:
     """(chunk_key, source, op): what an incoming batch changes in the stored index.
 
     op is `added`, `skipped` (same key already there), `deleted` (vanished from a source of the batch) or
-    `untouched` (its source is not in the batch). Only keys and sources are read, never chunk texts.
+    `untouched` (its source is not in the batch). Only keys and sources are read, never chunk texts, and the stored
+    rows meet the batch's sources by semi- and anti-join: who drops `untouched` does not pay for it.
     """
     new = incoming.groupBy("chunk_key").agg(F.min("source").alias("source"))
-    touched = incoming.select("source").distinct()
-    stored = lookup(current.select("chunk_key", "source"), touched.withColumn("touched", F.lit(True)), ["source"])
-    old = stored.filter("touched").select(F.col("chunk_key").alias("old_key"), F.col("source").alias("old_source"))
+    touched = incoming.select(F.col("source").alias("batch_source")).distinct()
+    stored, same = current.select("chunk_key", "source"), F.col("source").eqNullSafe(F.col("batch_source"))
+    old = stored.join(touched, same, "left_semi").select(F.col("chunk_key").alias("old_key"), F.col("source").alias("old_source"))
     joined = new.join(old, F.col("chunk_key") == F.col("old_key"), "full_outer")
     op = F.when(F.col("old_key").isNull(), "added").when(F.col("chunk_key").isNull(), "deleted").otherwise("skipped")
     changed = joined.select(
         F.coalesce("chunk_key", "old_key").alias("chunk_key"), F.coalesce("source", "old_source").alias("source"), op.alias("op")
     )
-    untouched = stored.filter("touched IS NULL").select("chunk_key", "source", F.lit("untouched").alias("op"))
+    untouched = stored.join(touched, same, "left_anti").select("chunk_key", "source", F.lit("untouched").alias("op"))
     return changed.unionByName(untouched)
 
 

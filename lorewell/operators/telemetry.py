@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions.text import metric_file_type
 from lorewell.operators.percentiles import exact_percentiles
+from lorewell.operators.skew import lookup
 from lorewell.operators.skew import next_value
 
 # Default bucket bounds of the histogram, and the percentiles of the latency report.
@@ -70,9 +71,9 @@ def extraction_histogram(durations: DataFrame, bounds: list[float] = HISTOGRAM_B
     )
 
 
-def extraction_p95(durations: DataFrame, width: float = 0.5) -> DataFrame:
+def extraction_p95(durations: DataFrame) -> DataFrame:
     """95th percentile of the extraction seconds per file type."""
-    return exact_percentiles(durations, ["file_type"], "seconds", {"p95": 0.95}, width)
+    return exact_percentiles(durations, ["file_type"], "seconds", {"p95": 0.95})
 
 
 def token_usage(calls: DataFrame) -> DataFrame:
@@ -109,14 +110,14 @@ def token_usage(calls: DataFrame) -> DataFrame:
     )
 
 
-def latency_report(requests: DataFrame, width: float = 1.0) -> DataFrame:
+def latency_report(requests: DataFrame) -> DataFrame:
     """Load report per (type, name) plus the `Aggregated` row, from rows (type, name, ts, response_ms, failed).
 
     Counts, median, mean, extremes, rates over the whole span and percentiles.
     """
     # each request counts for its endpoint and for the aggregated row; both are combined before the shuffle
     span = F.greatest((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6, F.lit(1e-6))
-    overall = requests.agg(span.alias("span")).first()["span"]
+    seconds = requests.agg(span).scalar()
     rows = requests.select(
         F.explode(
             F.array(
@@ -126,19 +127,18 @@ def latency_report(requests: DataFrame, width: float = 1.0) -> DataFrame:
         ).alias("k"),
         "response_ms", "failed",
     ).select("k.*", "response_ms", "failed")
-    seconds = F.lit(overall)
     stats = rows.groupBy("type", "name").agg(
         F.count("*").alias("requests"),
         F.count_if("failed").alias("failures"),
         F.round(F.avg("response_ms"), 6).alias("mean_ms"),
         F.min("response_ms").alias("min_ms"),
         F.max("response_ms").alias("max_ms"),
-        F.round(F.count("*") / seconds, 6).alias("requests_per_second"),
-        F.round(F.count_if("failed") / seconds, 6).alias("failures_per_second"),
     )
-    points = exact_percentiles(rows, ["type", "name"], "response_ms", REPORT_PERCENTILES, width)
+    rates = [F.round(F.col(c) / seconds, 6).alias(f"{c}_per_second") for c in ("requests", "failures")]
+    stats = stats.select("*", *rates)
+    points = exact_percentiles(rows, ["type", "name"], "response_ms", REPORT_PERCENTILES)
     rounded = [F.round(c, 6).alias(c) for c in REPORT_PERCENTILES]
-    return stats.join(points, ["type", "name"], "left").select(
+    return lookup(stats, points, ["type", "name"]).select(
         *stats.columns, F.round("p50", 6).alias("median_ms"), *rounded
     )
 

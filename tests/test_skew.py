@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lorewell.operators import percentiles
 from lorewell.operators import skew as S
 from lorewell.operators.percentiles import exact_percentiles
 
@@ -115,7 +116,7 @@ def test_exact_percentiles(spark):
     data += [("one", 7.0), ("none", None)] + [("few", float(x)) for x in (3, 1, 2, 10)]
     fractions = {"p0": 0.0, "p50": 0.5, "p66": 0.66, "p95": 0.95, "p100": 1.0}
     df = spark.createDataFrame(data, "k string, x double")
-    got = {r.k: r for r in exact_percentiles(df, ["k"], "x", fractions, 0.7).collect()}
+    got = {r.k: r for r in exact_percentiles(df, ["k"], "x", fractions).collect()}
     assert "none" not in got
     for k in ("hot", "one", "few"):
         values = sorted(x for key, x in data if key == k)
@@ -123,3 +124,36 @@ def test_exact_percentiles(spark):
             at = f * (len(values) - 1)
             low, high = values[math.floor(at)], values[math.ceil(at)]
             assert math.isclose(got[k][name], low + (high - low) * (at - math.floor(at)), rel_tol=1e-9), (k, name)
+
+
+def crowded(spark):
+    """99 % of a key's values lie within one unit, the others reach up to 2e8 and below zero; a NULL key has the same values."""
+    v = F.when(F.col("id") % 100 == 0, (F.col("id") - 50_000) * 1000.0).otherwise(F.pmod(F.col("id") * 7919, F.lit(200_003)) / 1e6)
+    return spark.range(200_000).select(F.when(F.col("id") % 2 == 0, "a").alias("k"), v.alias("v"))
+
+
+def test_percentile_ranges_follow_crowded_values(spark):
+    counts = percentiles.counts_by_range(crowded(spark), ["k"], "v", [0.5, 0.95]).collect()
+    for key in ("a", None):
+        mine = sorted((r["__v"], r["__n"], r["__b"]) for r in counts if r["k"] == key)
+        total, by_range, upto = sum(n for _, n, _ in mine), {}, 0
+        assert [b for *_, b in mine] == sorted(b for *_, b in mine)
+        for _, n, b in mine:
+            by_range[b] = by_range.get(b, 0) + n
+        assert total == 100_000 and max(by_range.values()) < 1.2 * total / percentiles.EVEN
+        for _, n, b in mine:
+            if upto <= total // 2 < upto + n:
+                assert by_range[b] <= 6 * percentiles.ERROR * total + 2
+            upto += n
+
+
+def test_exact_percentiles_of_crowded_values(spark):
+    fractions = {"p50": 0.5, "p95": 0.95, "p999": 0.999}
+    df = crowded(spark)
+    rows = df.collect()
+    for r in exact_percentiles(df, ["k"], "v", fractions).collect():
+        values = sorted(x.v for x in rows if x.k == r.k)
+        for name, f in fractions.items():
+            at = f * (len(values) - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            assert math.isclose(r[name], low + (high - low) * (at - math.floor(at)), rel_tol=1e-9), (r.k, name)
