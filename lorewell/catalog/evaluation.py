@@ -187,6 +187,15 @@ gated AS (SELECT case_id, s.metric, score, threshold, score >= threshold AS pass
 SQL["threshold_gate"] = f"WITH {_GATED} SELECT * FROM gated"
 
 
+@query
+def agent_threshold_gate(spark, d):
+    return E.threshold_gate(_scores(spark, d), K.AGENT_THRESHOLDS)
+
+
+SQL["agent_threshold_gate"] = f"""WITH scores AS ({_scores_sql()}), limits AS (SELECT * FROM (VALUES ('faithfulness', 0.85::DOUBLE), ('answer_relevancy', 0.8::DOUBLE)) t(metric, threshold))
+SELECT case_id, s.metric, score, threshold, score >= threshold AS passed FROM scores s JOIN limits l ON s.metric = l.metric"""
+
+
 @query
 def case_verdict(spark, d):
     return E.case_verdict(E.threshold_gate(_scores(spark, d)))
