@@ -273,3 +273,19 @@ def test_silent_turns_answer_once(spark, tmp_path):
     assert rows(found, "turn_id", "answer", "n_tokens") == wanted
     assert rows(found.filter("turn_id = 'a'"), "first_token_seconds", "total_seconds") == [(60.0, 360.0)]
     assert rows(TU.open_turns(spark, str(tmp_path / "cp")), "turn_id") == [("d",)]
+
+
+def test_many_turns_share_few_states(spark, tmp_path):
+    schema = "turn_id string, seq bigint, ts timestamp, event string, name string, is_generation boolean, content string, data string"
+    say = lambda turn, seq, m: (turn, seq, T0 + dt.timedelta(minutes=m), "on_chat_model_stream", "model", True, f"{turn}.{seq} ", None)
+    steps = [[say(f"t{n}", s, 40 * s + n % 7) for n in range(60) for s in (2, 1)], [say("t3", 3, 125), say("end", 1, 300)], [say("end", 2, 301)]]
+    for data in steps:
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        writer = TU.live_turns(stream, "10 minutes", 1800, buckets=4).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        run_to_end(writer, str(tmp_path / "cp"))
+    found = rows(spark.read.schema(TU.FINISHED).parquet(str(tmp_path / "out")), "turn_id", "answer", "n_tokens", "total_seconds")
+    assert ("t3", "t3.1 t3.2 t3.3 ", 3, 82 * 60.0) in found and len(found) == 60
+    assert ("t4", "t4.1 t4.2 ", 2, 40 * 60.0) in found
+    assert spark.read.format("statestore").load(str(tmp_path / "cp")).count() <= 4
+    assert rows(TU.open_turns(spark, str(tmp_path / "cp")), "turn_id") == [("end",)]
