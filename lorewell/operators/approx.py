@@ -81,8 +81,11 @@ class Cells:
         """The `number` most similar cells of each vector, the best first; ties by number of the cell."""
         out = np.zeros((len(vectors), number), np.int64)
         for start in range(0, len(vectors), 1024):
-            order = np.argsort(-np.round(_unit(vectors[start : start + 1024]) @ self.centres.T, R.DIGITS), axis=1, kind="stable")
-            out[start : start + 1024] = order[:, :number]
+            near = np.round(_unit(vectors[start : start + 1024]) @ self.centres.T, R.DIGITS)
+            if number == 1:  # the first of equal ones, without ordering the others
+                out[start : start + 1024, 0] = near.argmax(axis=1)
+            else:
+                out[start : start + 1024] = np.argsort(-near, axis=1, kind="stable")[:, :number]
         return out
 
     @property

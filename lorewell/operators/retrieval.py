@@ -143,21 +143,24 @@ class _Scorer:
 
         for start in range(0, len(questions), self.slice):
             part = questions[start : start + self.slice]
-            scores = np.round(chunk_unit @ self.unit[part].T, DIGITS)
+            scores = np.round(self.unit[part] @ chunk_unit.T, DIGITS)
             for j, number in enumerate(part):
                 _, user, since, source, doc_type, n = self.rows[number]
-                allowed = np.ones(len(batch), dtype=bool)
-                if user is not None:
-                    allowed &= equals("user_id", user)
-                if since is not None:
-                    allowed &= created >= since
-                if source is not None:
-                    allowed &= equals("source", source) | equals("filename", source)
-                if doc_type is not None:
-                    allowed &= equals("doc_type", doc_type)
-                rows = np.flatnonzero(allowed)
-                best = rows[self._best(scores[rows, j], keys[rows], n)]
-                values, found = scores[best, j], keys[best]
+                if user is None and since is None and source is None and doc_type is None:
+                    best = self._best(scores[j], keys, n)
+                else:
+                    allowed = np.ones(len(batch), dtype=bool)
+                    if user is not None:
+                        allowed &= equals("user_id", user)
+                    if since is not None:
+                        allowed &= created >= since
+                    if source is not None:
+                        allowed &= equals("source", source) | equals("filename", source)
+                    if doc_type is not None:
+                        allowed &= equals("doc_type", doc_type)
+                    rows = np.flatnonzero(allowed)
+                    best = rows[self._best(scores[j, rows], keys[rows], n)]
+                values, found = scores[j, best], keys[best]
                 if number in held:
                     values, found = np.concatenate((held[number][0], values)), np.concatenate((held[number][1], found))
                     order = np.lexsort((found, -values))[:n]
