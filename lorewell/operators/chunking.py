@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from lorewell import constants as K
 from lorewell.functions import dates as D
 from lorewell.functions import text as T
 from lorewell.functions.grouping import assign_groups, describe, term_counts
+from lorewell.functions.rows import by_row
 from lorewell.functions.splitting import split_text
 
 # Words that speak for a document type, used when the caller brings no model and no list of their own.
@@ -208,13 +208,7 @@ def chunk_array(statements: Column, text: Column, size: int, overlap: int, thres
             for c in split_text(row, size, overlap)
         ]
 
-    def chunk_batch(statement_rows: pd.Series, texts: pd.Series) -> pd.Series:
-        made = [
-            semantic(s) if s is not None else structured(t or "") for s, t in zip(statement_rows, texts)
-        ]
-        return pd.Series(made, dtype="object")
-
-    return F.pandas_udf(chunk_batch, CHUNK)(statements, text)
+    return by_row(lambda s, t: semantic(s) if s is not None else structured(t or ""), CHUNK, statements, text)
 
 
 def chunk_documents(

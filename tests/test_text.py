@@ -3,6 +3,7 @@
 import re
 
 import pandas as pd
+import pyarrow as pa
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import dates as D
 from lorewell.functions import text as T
-from lorewell.functions.grouping import assign_groups, describe, term_counts
+from lorewell.functions.grouping import assign_groups, describe, group_numbers, term_counts
 from lorewell.functions.html import paragraph_text
 from lorewell.functions.splitting import split_text
 from lorewell.operators import chunking as C
@@ -258,3 +259,19 @@ def test_control_characters_survive_statement_splitting(spark):
     text = "a\x01b\x02c. d\x03e\x03A!\n- one. two\x01\n- three? \x02"
     found = spark.createDataFrame([(text,)], "t string").select(T.propositions(F.col("t"))).first()[0]
     assert found == ["a\x01b\x02c.", "d\x03e\x03A!\n- one.", "two\x01\n- three?", "\x02"]
+
+
+def test_results_leave_a_worker_in_slices(spark):
+    from lorewell.functions import rows as R
+    from lorewell.functions.splitting import split_structured, split_text
+    from lorewell.functions.text import propositions
+
+    texts = pa.array(["a" * 10, None, "b" * 25, "", "c" * 9, "d" * 9, "e" * 9])
+    assert [len(made) for made in R.slices(zip(texts), lambda t: t, 20)] == [3, 3, 1]
+    assert [x for made in R.slices(zip(texts), lambda t: t, 20) for x in made] == texts.to_pylist()
+    long = [f"# h{i}\n" + "word " * 900 for i in range(1200)]  # more than one slice in a batch
+    df = spark.createDataFrame([(i, t if i % 7 else None) for i, t in enumerate(long)], "i int, t string").coalesce(1)
+    found = {r.i: r.c for r in df.select("i", split_structured(F.col("t")).alias("c")).collect()}
+    assert found == {i: split_text(t) if i % 7 else None for i, t in enumerate(long)}
+    grouped = df.select("i", group_numbers(propositions(F.col("t"))).alias("g")).collect()
+    assert len(grouped) == 1200 and all((r.g is None) == (r.i % 7 == 0) for r in grouped)
