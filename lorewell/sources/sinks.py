@@ -107,7 +107,7 @@ class ChunkStore:
 
     def write(self, chunks: DataFrame, version: int) -> None:
         """Publish the chunks as the whole index."""
-        unique = materialize(_unique(chunks.withColumn("owner", _owner())), "whole")
+        unique = _stored_unique(chunks.withColumn("owner", _owner()), "whole")
         keys = unique.select(*IDENTITY, "source", F.lit(True).alias("live"))
         self._publish(chunks.sparkSession, version, "full", unique.drop("owner"), keys)
 
@@ -134,7 +134,7 @@ class ChunkStore:
     def update(self, incoming: DataFrame, version: int) -> dict[str, int]:
         """Bring the sources of a batch of chunks in step with it; returns how many chunks were added, skipped and deleted."""
         spark = incoming.sparkSession
-        incoming = materialize(_unique(incoming.withColumn("owner", _owner())), "incoming")
+        incoming = _stored_unique(incoming.withColumn("owner", _owner()), "incoming")
         new = incoming.select(F.col("chunk_key").cast("string").alias("chunk_key"), "owner", "source")
         old = self._live(spark, incoming.select("source"))
         old = old.select(*[F.col(c).alias(f"old_{c}") for c in old.columns])
@@ -148,9 +148,11 @@ class ChunkStore:
         if counts["num_added"] or counts["num_deleted"]:
             changed = diff.filter("op <> 'skipped'")
             keys = changed.select(*IDENTITY, "source", (F.col("op") == "added").alias("live"))
-            added = diff.filter("op = 'added'").select(F.col("chunk_key").alias("new_key"), F.col("owner").alias("new_owner"))
-            fresh = (F.col("chunk_key").cast("string") == F.col("new_key")) & (F.col("owner") == F.col("new_owner"))
-            self._publish(spark, version, "delta", incoming.join(added, fresh, "left_semi").drop("owner"), keys)
+            if counts["num_skipped"]:  # else every incoming chunk is new
+                kept = diff.filter("op = 'skipped'").select(F.col("chunk_key").alias("old_key"), F.col("owner").alias("old_owner"))
+                known = (F.col("chunk_key").cast("string") == F.col("old_key")) & (F.col("owner") == F.col("old_owner"))
+                incoming = incoming.join(kept, known, "left_anti")
+            self._publish(spark, version, "delta", incoming.filter("chunk_key IS NOT NULL").drop("owner"), keys)
         return counts
 
     def delete(self, sources: DataFrame, schema, version: int) -> int:
@@ -177,6 +179,19 @@ class ChunkStore:
         return old
 
 
+def _stored_unique(chunks: DataFrame, name: str) -> DataFrame:
+    """The chunks, written, and one row per identity of them. Texts are only shuffled for identities that occur more than once."""
+    stored = materialize(chunks, name)
+    repeated = stored.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = materialize(repeated.select(*[F.col(c).alias(f"again_{c}") for c in IDENTITY]), f"{name}-repeated")
+    if repeated.isEmpty():
+        return stored
+    same = F.lit(True)
+    for c in IDENTITY:
+        same = same & F.col(c).eqNullSafe(F.col(f"again_{c}"))
+    return stored.join(repeated, same, "left_anti").unionByName(_unique(stored.join(repeated, same, "left_semi")))
+
+
 def _unique(chunks: DataFrame) -> DataFrame:
     """One row per identity: of rows with one key and owner the one that comes first in its source."""
     others = [c for c in chunks.columns if c not in IDENTITY]

@@ -149,7 +149,11 @@ class DocumentIngest:
             late = F.coalesce((F.col("timestamp") < F.lit(watermark)) & E.due().isNull(), F.lit(False))  # a retry was in time once
             checked = checked.withColumn("retry_count", F.when(late, K.MAX_CONSUMER_RETRIES).otherwise(F.col("retry_count")))
             checked = checked.withColumn("error", F.when(late, "late event").otherwise(F.col("error")))
-        checked = materialize(checked, "events")
+        # a text is written once: as the message of a failure, or as the content of an upload; from here on rows without it meet it by `row`
+        bad = F.col("error").isNotNull()
+        checked = checked.withColumn("file_hash", F.when(~bad, A.content_hash(F.col("content"))))
+        checked = checked.withColumn("value", F.when(bad, F.col("value"))).withColumn("content", F.when(~bad, F.col("content")))
+        checked = materialize(checked.drop("headers").withColumn("row", F.monotonically_increasing_id()), "events")
 
         failed = checked.filter(F.col("error").isNotNull())
         E.retries(failed, now).write.mode("overwrite").json(f"{self.retry_path}/batch={batch_id}")
@@ -157,9 +161,7 @@ class DocumentIngest:
 
         uploads = checked.filter(F.col("error").isNull()).select(
             F.struct("timestamp", "doc_id").alias("arrival"),
-            F.col("doc_id").alias("new_doc_id"),
-            "user_id", "filename", "content", "metadata", "timestamp",
-            A.content_hash(F.col("content")).alias("file_hash"),
+            F.col("doc_id").alias("new_doc_id"), "user_id", "filename", "metadata", "timestamp", "file_hash", "row",
         )
         # only the jobs this batch can meet: its own hashes and ids are the small side of both joins
         stored = self.jobs(spark, before=batch_id)
@@ -178,10 +180,11 @@ class DocumentIngest:
         if not self.store.holds(spark, batch_id):
             # of several events with one doc_id in a batch, the latest content is indexed
             latest = queued.groupBy("doc_id").agg(
-                F.max_by(F.struct("user_id", "filename", "content", "metadata", "timestamp"), "arrival").alias("d")
+                F.max_by(F.struct("user_id", "filename", "metadata", "timestamp", "row"), "arrival").alias("d")
             )
-            docs = latest.select(
-                F.col("doc_id").alias("source"), "d.user_id", "d.filename", F.col("d.content").alias("text"),
+            texts = checked.filter(F.col("error").isNull()).select("row", "content")
+            docs = latest.select("doc_id", "d").join(texts, F.col("d.row") == F.col("row")).select(
+                F.col("doc_id").alias("source"), "d.user_id", "d.filename", F.col("content").alias("text"),
                 F.col("d.metadata")["document_date"].alias("document_date"), F.col("d.timestamp").alias("ingested_at"),
             )
             chunks = C.chunk_documents(docs, F.col("ingested_at"), lexicon=self.lexicon)

@@ -266,3 +266,16 @@ def test_csv_report_is_newest_first(spark, tmp_path):
     lines = spark.read.text(path).collect()
     assert lines[0][0].startswith("Run ID,Name,Start Time") and lines[1][0].startswith("r2")
     assert tables.scan_runs(spark, path).first().tags == "a, b"
+
+
+def test_repeated_chunks_alone_are_shuffled_with_their_text(spark, tmp_path):
+    schema = "chunk_key string, user_id string, source string, chunk_index bigint, content string"
+    store = sinks.ChunkStore(str(tmp_path / "s"), 2, 2)
+    first = [("a", "u", "s1", 0, "one"), ("a", "u", "s1", 0, "one"), ("a", None, "s1", 0, "one"), ("b", "u", "s2", 1, "two")]
+    assert store.update(spark.createDataFrame(first, schema), 0) == {"num_added": 3, "num_skipped": 0, "num_deleted": 0}
+    again = [("b", "u", "s2", 1, "two"), ("c", "u", "s2", 2, "x"), ("c", "u", "s2", 0, "y")]
+    assert store.update(spark.createDataFrame(again, schema), 1) == {"num_added": 1, "num_skipped": 1, "num_deleted": 0}
+    wanted = [("a", "u", "one"), ("a", None, "one"), ("b", "u", "two"), ("c", "u", "y")]
+    assert rows(store.read(spark, schema), "chunk_key", "user_id", "content") == sorted(wanted, key=repr)
+    plain = sinks._stored_unique(spark.createDataFrame(first[2:], schema).withColumn("owner", sinks._owner()), "plain")
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()

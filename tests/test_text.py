@@ -267,7 +267,7 @@ def test_results_leave_a_worker_in_slices(spark):
     from lorewell.functions.text import propositions
 
     texts = pa.array(["a" * 10, None, "b" * 25, "", "c" * 9, "d" * 9, "e" * 9])
-    assert [len(made) for made in R.slices(zip(texts), lambda t: t, 20)] == [3, 3, 1]
+    assert [len(made) for made in R.slices(zip(texts), lambda t: t, 20)] == [3, 4]
     assert [x for made in R.slices(zip(texts), lambda t: t, 20) for x in made] == texts.to_pylist()
     long = [f"# h{i}\n" + "word " * 900 for i in range(1200)]  # more than one slice in a batch
     df = spark.createDataFrame([(i, t if i % 7 else None) for i, t in enumerate(long)], "i int, t string").coalesce(1)
