@@ -342,7 +342,7 @@ def retrieve_contexts(spark, d):
     """Documents chunked and embedded, all benchmark texts asked as questions, contexts returned."""
     made = C.chunk_documents(V.texts(spark, d), F.lit(AS_OF).cast("timestamp"), lexicon=COMMON_WORDS)
     keyed = made.withColumn("chunk_key", I.chunk_key(F.col("content"), F.col("source"), F.col("chunk_index")))
-    stored = materialize(keyed, "chunks")
+    stored = materialize(I.count_words(keyed), "chunks")
     embedder = I.fit_embedder(stored)
     chunks = materialize(I.embed(stored, embedder), "index")
     none = F.lit(None).cast("string")

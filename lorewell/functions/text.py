@@ -109,13 +109,12 @@ def sentences(c: Column) -> Column:
     return _statements(F.split(_broken(c), "\n", -1))
 
 
-def first_sentences(c: Column, n: int) -> Column:
-    """The first `n` statements of a text, without taking the rest of it apart if that can be helped."""
-    broken = _broken(c)
-    pieces = F.split(broken, "\n", 4 * n + 1)
-    # the last piece is the undivided rest, unless there were fewer pieces
-    leading = _statements(F.slice(pieces, 1, 4 * n))
-    return F.slice(F.when(F.size(leading) >= n, leading).otherwise(_statements(F.split(broken, "\n", -1))), 1, n)
+def first_sentences(c: Column, n: int, chars: int = 512) -> Column:
+    """The first `n` statements of a text, without taking the rest of it apart if its first `chars` characters hold them."""
+    pieces = F.split(_broken(F.substring(c, 1, chars)), "\n", -1)
+    # what the cut changes is the last piece, and whether it belongs to the one before it
+    begun = _statements(F.slice(pieces, 1, F.greatest(F.size(pieces) - 2, F.lit(0))))
+    return F.slice(F.when(F.size(begun) >= n, begun).otherwise(_statements(F.split(_broken(c), "\n", -1))), 1, n)
 
 
 def propositions(c: Column) -> Column:

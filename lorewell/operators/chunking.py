@@ -66,7 +66,9 @@ def lexicon_hits(lowered: Column, lexicon: dict[str, list[str]]) -> Column:
     def count(listed: list[str] | None) -> Column:
         if not listed:
             return F.lit(0)
-        return F.regexp_count(lowered, F.lit(f"(?<!{word})(?:{'|'.join(sorted(listed))})(?!{word})"))
+        # a first letter is cheaper to look for than the end of a word; only plain words have one
+        first = f"(?=[{''.join(sorted({w[0] for w in listed}))}])" if all(w.isalnum() for w in listed) else ""
+        return F.regexp_count(lowered, F.lit(f"{first}(?<!{word})(?:{'|'.join(sorted(listed))})(?!{word})"))
 
     return F.array(*[count(lexicon.get(t)) for t in K.DOC_TYPES])
 

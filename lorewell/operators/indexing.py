@@ -14,6 +14,8 @@ from lorewell.functions.text import WORD_CLASS
 from lorewell.operators.skew import lookup
 
 FIELD_SEPARATOR = "\x1f"
+#: The column of hashed word counts.
+COUNTED = "__tf"
 
 
 def chunk_key(content: Column, source: Column, chunk_index: Column) -> Column:
@@ -147,30 +149,38 @@ def list_document_chunks(chunks: DataFrame, records: DataFrame, doc_ids: DataFra
     return listed.orderBy("doc_id", "chunk_index")
 
 
+def _counting(column: str, dims: int) -> list:
+    words = RegexTokenizer(inputCol=column, outputCol="__words", pattern=f"[{WORD_CLASS}]+", gaps=False, toLowercase=True)
+    return [words, HashingTF(inputCol="__words", outputCol=COUNTED, numFeatures=dims)]
+
+
+def count_words(texts: DataFrame, column: str = "content", dims: int = 256) -> DataFrame:
+    """Add the hashed word counts that `fit_embedder` and `embed` start from. A table written with them is not read as text again."""
+    return PipelineModel(_counting(column, dims)).transform(texts).drop("__words")
+
+
 def fit_embedder(texts: DataFrame, column: str = "content", dims: int = 256) -> PipelineModel:
     """Hashed tf-idf embedding, learnt in one pass; the state is one number per dimension.
 
     Vectors of a caller's own model can be used instead anywhere an `embedding` column is read.
     """
-    stages = [
-        RegexTokenizer(
-            inputCol=column, outputCol="__words", pattern=f"[{WORD_CLASS}]+", gaps=False, toLowercase=True
-        ),
-        HashingTF(inputCol="__words", outputCol="__tf", numFeatures=dims),
-        IDF(inputCol="__tf", outputCol="__tfidf"),
-        Normalizer(inputCol="__tfidf", outputCol="__unit"),
-    ]
-    return Pipeline(stages=stages).fit(texts.select(column))
+    counted = texts if COUNTED in texts.columns else count_words(texts.select(column), column, dims)
+    weighing = [IDF(inputCol=COUNTED, outputCol="__tfidf"), Normalizer(inputCol="__tfidf", outputCol="__unit")]
+    fitted = Pipeline(stages=weighing).fit(counted.select(COUNTED))
+    return PipelineModel([*_counting(column, dims), *fitted.stages])
 
 
 def embed(df: DataFrame, embedder: PipelineModel, column: str = "content") -> DataFrame:
     """Add `embedding` ARRAY<FLOAT> of unit length (all zero for text without words)."""
+    if COUNTED in df.columns:
+        made = PipelineModel(embedder.stages[2:]).transform(df)
+        return made.withColumn("embedding", vector_to_array("__unit", "float32")).drop(COUNTED, "__tfidf", "__unit")
     source = embedder.stages[0].getInputCol()
     named = df.withColumn("__text", F.col(column)) if column == source else df.withColumn(source, F.col(column))
     made = embedder.transform(named)
     result = made.withColumn("embedding", vector_to_array("__unit", "float32"))
     extra = ["__text"] if column == source else [source]
-    return result.drop("__words", "__tf", "__tfidf", "__unit", *extra)
+    return result.drop("__words", COUNTED, "__tfidf", "__unit", *extra)
 
 
 def cache_put(requests: DataFrame, as_of: Column, ttl_seconds: int = 3600) -> DataFrame:

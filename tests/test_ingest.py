@@ -223,6 +223,17 @@ def test_embedding_has_unit_length(spark):
     assert made.columns == ["content", "embedding"]
 
 
+def test_counted_words_are_not_counted_again(spark):
+    texts = spark.createDataFrame([(1, "gato negro gato"), (2, "perro blanco"), (3, "")], "id int, content string")
+    counted = spark.createDataFrame(I.count_words(texts, dims=64).collect(), I.count_words(texts, dims=64).schema)
+    blank = counted.withColumn("content", F.lit("otro"))  # the text itself is not looked at
+    plain = I.embed(texts, I.fit_embedder(texts, dims=64))
+    made = I.embed(blank, I.fit_embedder(blank, dims=64))
+    assert made.columns == plain.columns and rows(made, "id", "embedding") == rows(plain, "id", "embedding")
+    again = I.embed(texts, I.fit_embedder(counted, dims=64))  # questions come as texts
+    assert rows(again, "id", "embedding") == rows(plain, "id", "embedding")
+
+
 # --- files -------------------------------------------------------------------
 
 def test_scan_files(spark, tmp_path):

@@ -73,6 +73,21 @@ def test_first_sentences_agree_with_all_sentences(spark):
     assert some == [s[:2] for s in whole]
 
 
+def test_first_sentences_do_not_depend_on_the_cut(spark):
+    texts = ["Uno.  \n - a\n- b. c\n1. d\nFin. Otro! x\x01y\n\n  * e", "a.\n  - b\n  - c\nd. e", "x\n1.\n2) \ny. z", "sin fin " * 4]
+    whole = [s[:2] for s in evaluate(spark, texts, T.sentences)]
+    for chars in range(1, 48):
+        assert evaluate(spark, texts, lambda c: T.first_sentences(c, 2, chars)) == whole, chars
+
+
+def test_lexicon_counts_whole_words(spark):
+    listed = {"class_notes": ["der", "und"], "general": [r"a\w", "del"]}  # a pattern has no first letter of its own
+    values = ["der und under der_ der2 der.der", "ab a del modelo", "", "Ünd und"]
+    got = evaluate(spark, values, lambda c: C.lexicon_hits(c, listed))
+    first, last = C.K.DOC_TYPES.index("class_notes"), C.K.DOC_TYPES.index("general")
+    assert [(g[first], g[last]) for g in got] == [(4, 0), (0, 2), (0, 0), (1, 0)]
+
+
 # --- splitting ---------------------------------------------------------------
 
 def test_split_prefers_headings():
