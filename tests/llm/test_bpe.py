@@ -41,6 +41,30 @@ def test_special_strings_and_long_words():
     check(["a" * 5001, "ab" * 3000, "é" * 1000, " " * 3000 + "x", "\n" * 999, "1" * 2000 + "!" * 2000, "the " * 4000])
 
 
+def test_plain_words_are_split_without_the_pattern(monkeypatch):
+    plain = [" ", " dass,", " über!!", " 12ab3", "a", " x²٣", "(a)", " naïve_9"]
+    check(plain)
+    asked = []
+    pieces = OURS._pieces
+    monkeypatch.setattr(OURS, "_pieces", lambda unit: asked.append(unit) or pieces(unit))
+    check(plain)
+    assert set(asked) <= {" "}
+    check(["it's a—b 漢字"])
+    assert "it's" in asked
+
+
+def test_slots_hold_every_pair():
+    symbol = np.stack((OURS.pair_keys // len(OURS.token_bytes), OURS.pair_keys % len(OURS.token_bytes)), axis=1).ravel().astype(np.int32)
+    word = np.zeros(len(symbol), np.int64)
+    assert (OURS._ranks(symbol, word, np.arange(0, len(symbol), 2)) == OURS.pair_rank).all()
+    at = np.arange(1, len(symbol) - 1, 2)
+    known = dict(zip(OURS.pair_keys.tolist(), OURS.pair_rank.tolist()))
+    keys = symbol[at].astype(np.int64) * len(OURS.token_bytes) + symbol[at + 1]
+    assert OURS._ranks(symbol, word, at).tolist() == [known.get(k, bpe.NONE) for k in keys.tolist()]
+    word[1::2] = 1
+    assert (OURS._ranks(symbol, word, np.arange(0, len(symbol), 2)) == bpe.NONE).all()
+
+
 def test_long_pieces_merge_many_pairs_a_round(monkeypatch):
     rng = np.random.default_rng(5)
     alphabets = ["ab", "aaab", "etaoin", "abcdefghij", "aB\u00e9\u6f22", "-=", "the"]
