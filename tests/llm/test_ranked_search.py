@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import SparkSession
 
 from lorewell.llm import ranked_search as R
 
@@ -122,3 +124,52 @@ def test_best_keeps_ties_by_id():
     best.add(0, pa.array([3]), np.array([5]))
     assert best.least[0] == 5
     assert [b.to_pydict() for b in best.batch()] == [{"item": [0, 0], "doc_id": [3, 7], "score": [5, 5]}]
+
+
+def test_index_is_written_and_read_a_few_segments_at_a_time(spark, monkeypatch):
+    """Some 150 segments of 128 KB from one task: neither a row group nor a batch for Python nor one of the Parquet reader holds them all."""
+    monkeypatch.setattr(R, "SEGMENT_BYTES", 128 << 10)
+    docs = spark.range(0, 6400, 1, 1).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 500), j -> hex(id * 500 + j))) as text")
+    segments = R.index(docs)
+    assert segments.count() > 120
+    groups = []
+    for file in segments.inputFiles():
+        found = pq.ParquetFile(file.removeprefix("file://")).metadata
+        groups += [sum(found.row_group(i).column(c).total_compressed_size for c in range(found.num_columns)) for i in range(found.num_row_groups)]
+    assert max(groups) < 6 << 20
+
+    batches, reader, search_block = [], [], R._search_block
+
+    def watched(segments, *rest):
+        def sizes(parts):
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([part.nbytes], pa.int64())], names=["n"])
+
+        batches.extend(r["n"] for r in segments.mapInArrow(sizes, "n bigint").collect())
+        reader.append(int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")))
+        return search_block(segments, *rest)
+
+    monkeypatch.setattr(R, "_search_block", watched)
+    before = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    rows = R.search(segments, spark.createDataFrame([("a", f"{500 * 77 + 1:x} nowhere")], "item_id string, text string")).collect()
+    assert [(r["item"], r["rank"], r["doc_id"]) for r in rows] == [("a", 1, 77)]
+    assert len(batches) > 4 and max(batches) < 4 << 20 and reader == [1]
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == before
+
+
+def test_items_need_no_python_rows(spark, monkeypatch):
+    """The items are named from the table they came from; rows made by the driver would start a second set of Python workers."""
+    docs, items = corpus(60, 5), questions(6, 6)
+    segments = R.index(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    asked = spark.createDataFrame(items, "item_id string, text string")
+    made, create = [], SparkSession.createDataFrame
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, data, *a, **b: made.append(len(data)) or create(self, data, *a, **b))
+    rows = sorted(map(tuple, R.search(segments, asked, block_terms=20).collect()), key=repr)
+    assert rows == plain_search(docs, items) and not any(made)
+
+
+def test_numbers_of_every_width(spark):
+    """Row numbers, counts and lengths beyond one and two bytes, negative and NULL ids."""
+    docs = [(-(i + 1) if i % 7 else None, "a") for i in range(70_000)] + [(5, "b " * 70_000 + "c" * 300), (-9, "c" * 300 + " b"), (None, "c" * 300)]
+    items = [("x", "b"), ("y", "C" * 300), ("z", "a b")]
+    assert found(spark, docs, items, k=4, parts=1) == plain_search(docs, items, 4)
